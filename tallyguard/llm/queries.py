@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard import near_duplicates
 from .packing import pack
 from .pii import find_pii
 
@@ -21,9 +22,38 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five words, similarity 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_of")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard}
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w
+), copies AS (
+  SELECT g, min(doc_id) AS rep, count(*) AS cnt FROM g WHERE len(g) > 0 GROUP BY g
+), s AS (SELECT rep, cnt, len(g) AS n, unnest(g) AS x FROM copies
+), common AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(b.cnt) AS cnt, count(*) AS c, any_value(a.n) + any_value(b.n) AS n
+  FROM s a JOIN s b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep
+), links AS (SELECT a, b, cnt FROM common WHERE c >= 0.8 * (n - c)
+), reach(a, b) AS (
+  SELECT rep, rep FROM copies UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), class AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a
+), degree AS (SELECT a AS rep, sum(cnt) AS k FROM links GROUP BY a)
+SELECT g.doc_id, coalesce(class.class_id, g.doc_id) AS class_id,
+  CAST(coalesce(degree.k, 0) + coalesce(copies.cnt - 1, 0) AS BIGINT) AS n_links, coalesce(copies.rep, g.doc_id) AS copy_of
+FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.rep LEFT JOIN degree ON copies.rep = degree.rep
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard": OP3_SQL}
