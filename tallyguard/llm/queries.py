@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .jaccard import near_duplicates
+from .mixing import mix
 from .packing import pack
 from .pii import find_pii
 
@@ -27,8 +28,44 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_of")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(concat_ws('|', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 3 * source_size AS cap FROM s
+), r AS (
+  SELECT *, (sum(source_size) OVER ()) - coalesce(sum(cap) OVER before, 0) AS rest,
+    (sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0) AS open,
+    row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT rest, open FROM r WHERE cap * open >= rest * weight ORDER BY place LIMIT 1
+), t AS (
+  SELECT r.source, r.source_size,
+    CASE WHEN level.open IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), CAST(weight * level.rest AS DOUBLE) / CAST(level.open AS DOUBLE)) END AS target
+  FROM r LEFT JOIN level ON true
+), p AS (
+  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken
+FROM e
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing}
 
 
 OP3_SQL = r"""
@@ -56,4 +93,4 @@ FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL}
