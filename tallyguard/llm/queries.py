@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import MESSAGE, digests, format_conversations
 from .common import table
 from .jaccard import near_duplicates
 from .mixing import mix
@@ -64,8 +66,35 @@ FROM e
 """
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 formatted, as read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), ok)
+    events = rows.unionByName(own).withColumns({"seq": F.col("turn"), "kind": F.lit(MESSAGE)})
+    return digests(format_conversations(events))
+
+
+OP5_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, coalesce(len(regexp_extract_all(role || ' ' || text, '\\')), 0)
+    + coalesce(len(regexp_extract_all(role || ' ' || text, '<\||</?s>|\[/?INST\]')), 0)
+    + len(role) - len(replace(role, chr(10), '')) AS extra FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(len(role) + len(text) + extra + 17) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat}
 
 
 OP3_SQL = r"""
@@ -93,4 +122,4 @@ FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL}
