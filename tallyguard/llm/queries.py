@@ -13,6 +13,7 @@ from .jaccard import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
+from .syncmers import fingerprints
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +94,13 @@ FROM m GROUP BY conv_id
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints}
 
 
 OP3_SQL = r"""
