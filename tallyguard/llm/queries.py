@@ -13,7 +13,9 @@ from .jaccard import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
+from .quality import judge_quality
 from .syncmers import fingerprints
+from .urls import judge_urls, rule_table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +101,34 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every whole text."""
+    return judge_quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules."""
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+OP10_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r(action, r_host, r_path) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), keys AS (SELECT DISTINCT host, path FROM u
+), best AS (
+  SELECT host, path, arg_max({'rule': r_host || r_path, 'action': action}, len(r_host || r_path) * 10000 + len(r_host)) AS b
+  FROM keys JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY host, path
+)
+SELECT page_id, u.host, u.path, b.rule AS rule, coalesce(b.action, 'allow') AS verdict
+FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op9_quality": op9_quality, "op10_urls": op10_urls}
 
 
 OP3_SQL = r"""
@@ -128,4 +156,4 @@ FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op10_urls": OP10_SQL}
