@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import MESSAGE, digests, format_conversations
 from .common import table
 from .jaccard import near_duplicates
+from .langid import predict_language
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
@@ -101,6 +102,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every whole text."""
     return judge_quality(table(spark, sf_dir, "documents")).drop("cleaned")
@@ -128,7 +134,7 @@ FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op9_quality": op9_quality, "op10_urls": op10_urls}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_urls": op10_urls}
 
 
 OP3_SQL = r"""
