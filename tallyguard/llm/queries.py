@@ -16,6 +16,7 @@ from .packing import pack
 from .pii import find_pii
 from .quality import judge_quality
 from .syncmers import fingerprints
+from .toxicity import score_toxicity
 from .urls import judge_urls, rule_table
 
 
@@ -107,6 +108,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every whole text."""
     return judge_quality(table(spark, sf_dir, "documents")).drop("cleaned")
@@ -134,7 +140,7 @@ FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_urls": op10_urls}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_urls": op10_urls}
 
 
 OP3_SQL = r"""
