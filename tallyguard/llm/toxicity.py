@@ -6,9 +6,10 @@ reported speech. They are composed into one machine, and a clause is scored by
 the weights of the marks that the machine writes, so an insult that is denied,
 quoted or aimed at someone counts as that and not as a bare word.
 
-The insults themselves and the weights of the marks are learned from labels: a
-word or the beginning of a word is an insult if it stands in toxic documents,
-in many different places, and hardly ever in others.
+The insults, their weights and those of the marks are learned from labels: a
+word or the beginning of a word weighs by how much more often it stands in
+toxic documents than in others, by different places. A word takes the weight of
+its longest known beginning, so a harmless longer form stays harmless.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from .common import written
 from .langid import fold_of
 
 #: Labelled texts that are learned from, in expectation, and features kept at most.
-FIT_DOCS, MAX_INSULTS = 20_000, 5_000
+FIT_DOCS, MAX_INSULTS = 20_000, 20_000
 #: Lengths of word beginnings that can be insults, beside whole words.
-STEMS = (4, 5, 6)
-#: Different places that an insult has in toxic texts at least, and the
-#: chance of such counts by accident, in nats, that is accepted.
-LEAST_PLACES, LEAST_NATS = 4, 16.0
+STEMS = (4, 5, 6, 7, 8)
+#: Different places that an insult has in toxic texts at least, the chance of
+#: such counts by accident, in nats, that is accepted, and the log-odds it needs.
+LEAST_PLACES, LEAST_NATS, LEAST_WEIGHT = 4, 10.0, 2.0
+#: The log-odds of a seed or a threat.
+SEED_WEIGHT = 6.0
 #: Words after a negation that it covers.
 NEGATED_WORDS = 3
 
@@ -110,54 +113,64 @@ def grammar() -> Transducer:
 
 
 class Scorer:
-    """Marks and score of a text, by a list of insults and the weights of the marks.
+    """Marks and score of a text, by weighed insults and the weights of the marks.
 
-    An insult is a word, or a beginning of words ending in ``*``.
+    An insult is a word, or a beginning of longer words ending in ``*``;
+    entries under ``LEAST_WEIGHT`` are known harmless forms.
     """
 
-    def __init__(self, insults: Iterable[str], weights: np.ndarray | None = None):
+    def __init__(self, insults: dict[str, float], weights: np.ndarray | None = None):
         import ahocorasick
 
-        self.insults = sorted(insults)
-        self.weights = np.array([-3.0, 4.0, 5.0, 3.0, 3.0, 4.0, 2.0]) if weights is None else weights
-        self.stems = {x[:-1] for x in self.insults if x.endswith("*")}
-        self.lengths = sorted({len(x) for x in self.stems})
-        self.words = {x for x in self.insults if not x.endswith("*")}
+        self.insults = dict(insults)
+        self.weights = np.array([-4.0, 1.0, 0.5, 0.5, -0.5, -0.5, 0.5, -0.5]) if weights is None else weights
+        self.lengths = sorted({len(x) - 1 for x in self.insults if x.endswith("*")}, reverse=True)
         self.classes = {w: kind for kind, group in (("target", TARGETS), ("neg", NEGATIONS), ("report", REPORTS), ("will", WILLS), ("harm", HARMS)) for w in group}
         self.machine = grammar()
         self.cues = ahocorasick.Automaton()
-        for cue in self.stems | self.words | set(HARMS):
+        for cue in {x.rstrip("*") for x, w in self.insults.items() if w >= LEAST_WEIGHT} | set(HARMS):
             self.cues.add_word(cue, cue)
         self.cues.make_automaton()
 
-    def kind(self, word: str) -> str:
-        if word in self.words or any(word[:k] in self.stems for k in self.lengths):
-            return "insult"
-        return self.classes.get(word, "other")
+    def weight(self, word: str) -> float:
+        """The word's own weight, or that of its longest known beginning."""
+        if word in self.insults:
+            return self.insults[word]
+        for k in self.lengths:
+            if len(word) > k and (found := self.insults.get(word[:k] + "*")) is not None:
+                return found
+        return 0.0
 
     def marks(self, text: str | None) -> np.ndarray:
-        """How many marks of each kind the clauses of the whole text have."""
-        out = np.zeros(len(MARKS))
+        """The greatest weight of an insult, then the sum of weights by mark, over all clauses of the text."""
+        out = np.zeros(1 + len(MARKS))
         lower = (text or "").lower()
         if next(self.cues.iter(lower), None) is None:
             return out
         for clause in _CLAUSES.split(lower):
-            kinds = [self.kind(w) for w in WORDS.findall(clause)]
+            weights, kinds = [], []
+            for word in WORDS.findall(clause):
+                weights.append(self.weight(word))
+                kinds.append("insult" if weights[-1] >= LEAST_WEIGHT else self.classes.get(word, "other"))
             if "insult" not in kinds and "harm" not in kinds:
                 continue
-            for mark in self.machine(kinds):
+            for weight, mark in zip(weights, self.machine(kinds), strict=True):
                 if mark in MARKS:
-                    out[MARKS.index(mark)] += 1
+                    weight = weight if mark.startswith("insult") else SEED_WEIGHT
+                    out[1 + MARKS.index(mark)] += weight
+                    out[0] = max(out[0], weight)
         return out
 
+    def scores(self, marks: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + features(marks) @ self.weights[1:], -30, 30)))
+
     def score(self, text: str | None) -> float:
-        z = float(self.weights[0] + features(self.marks(text)) @ self.weights[1:])
-        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+        return float(self.scores(self.marks(text)))
 
 
 def features(marks: np.ndarray) -> np.ndarray:
-    """What the weights multiply: a mark at all counts, more of it count less and less."""
-    return np.where(marks > 0, 1 + np.log1p(marks) / 4, 0.0)
+    """What the weights multiply: the greatest weight, and the logarithms of the sums."""
+    return np.concatenate([marks[..., :1], np.log1p(marks[..., 1:])], axis=-1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -211,25 +224,34 @@ def _nats(toxic: float, clean: float, share: float) -> float:
     return toxic * math.log(p / share) + (clean * math.log((1 - p) / (1 - share)) if clean else 0.0)
 
 
-def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
+def seeds() -> dict[str, float]:
+    return dict.fromkeys(SEEDS, SEED_WEIGHT)
+
+
+def learn(labelled: DataFrame) -> Scorer:
     """The scorer of ``labelled``: ``text`` and ``toxic`` (0/1), of which none is null.
 
     Counting is distributed; the driver gets the features that pass the test
-    (``MAX_INSULTS`` at most) and the marks of the sampled texts, a small
-    vector each. Copies of a text would lend their words weight, so what
-    counts in the end are different places, by the words before and after.
-    Without texts of both labels the seeds and fixed weights stand.
+    and the longer forms of those (``MAX_INSULTS`` at most), and the marks of
+    the sampled texts, a small vector each. Copies of a text would lend their
+    words weight, so what counts in the end are different places, by the words
+    before and after. Without texts of both labels the seeds stand.
     """
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Scorer(SEEDS)
+        return Scorer(seeds())
+    context = labelled.sparkSession.sparkContext
     share = sizes[1] / (sizes[0] + sizes[1])
-    counts = _counts(labelled)
-    enough = counts.where((F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 4 * share / (1 - share) * (F.col("clean") + 1)))
-    candidates = {r["feature"] for r in enough.orderBy(F.col("toxic").desc(), "feature").limit(4 * MAX_INSULTS).collect()}
+    counts = written(_counts(labelled), "toxicity-counts")
+    lopsided = (F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 2 * share / (1 - share) * (F.col("clean") + 1))
+    first = counts.where(lopsided).orderBy(F.col("toxic").desc(), "feature").limit(MAX_INSULTS // 4)
+    candidates = {r["feature"] for r in first.collect()}
     if not candidates:
-        return Scorer(SEEDS)
-    shared = labelled.sparkSession.sparkContext.broadcast(candidates)
+        return Scorer(seeds())
+    stems = [x[:-1] for x in candidates if x.endswith("*")]
+    longer = counts.where(F.col("toxic") + F.col("clean") >= 2).where(F.substring("feature", 1, STEMS[0]).isin(sorted({x[: STEMS[0]] for x in stems})) if stems else F.lit(False))
+    longer = longer.orderBy((F.col("toxic") + F.col("clean")).desc(), "feature").limit(MAX_INSULTS - len(candidates))
+    shared = context.broadcast(candidates | {r["feature"] for r in longer.collect()})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shared.value, (set(), set())
@@ -242,16 +264,20 @@ def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
 
     at = labelled.select("toxic", "text").mapInArrow(places, "feature string, place long, toxic int").distinct()
     found = at.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
-    good = {r["feature"]: _nats(r["toxic"], r["clean"], share) for r in found if r["toxic"] >= LEAST_PLACES}
-    good = {k: v for k, v in good.items() if v >= LEAST_NATS}
-    stems = {x for x in good if x.endswith("*")}
-    kept = {x for x in good if not any(x.rstrip("*")[:k] + "*" in stems for k in STEMS if k < len(x.rstrip("*")))}
-    kept = sorted(kept, key=lambda x: (-good[x], x))[:MAX_INSULTS] or SEEDS
-
-    scorer = labelled.sparkSession.sparkContext.broadcast(list(kept))
+    prior = math.log(share / (1 - share))
+    insults = {}
+    for r in found:
+        weight = math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - prior
+        sure = r["toxic"] >= LEAST_PLACES and _nats(r["toxic"], r["clean"], share) >= LEAST_NATS
+        if weight < LEAST_WEIGHT or sure:
+            insults[r["feature"]] = weight
+    if not any(w >= LEAST_WEIGHT for w in insults.values()):
+        return Scorer(seeds())
+
+    model = context.broadcast(insults)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(scorer.value)
+        own = Scorer(model.value)
         sums: dict[tuple, int] = defaultdict(int)
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -260,9 +286,10 @@ def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([list(k[1:]) for k in keys], pa.list_(pa.float64())), pa.array([sums[k] for k in keys], pa.int64())], names=["toxic", "marks", "n"])
 
     rows = labelled.select("toxic", "text").mapInArrow(marks, "toxic int, marks array<double>, n long").groupBy("toxic", "marks").agg(F.sum("n").alias("n")).collect()
-    x = np.repeat([features(np.array(r["marks"])) for r in rows], [r["n"] for r in rows], axis=0)
+    rows = sorted(rows, key=lambda r: (r["toxic"], r["marks"]))
+    x = np.repeat(features(np.array([r["marks"] for r in rows])), [r["n"] for r in rows], axis=0)
     y = np.repeat([r["toxic"] for r in rows], [r["n"] for r in rows])
-    return Scorer(kept, logistic(x, y.astype(float)))
+    return Scorer(insults, logistic(x, y.astype(float)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 5, held: int = 0) -> Scorer:
@@ -288,7 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 5, held: int = 0) -> DataFrame:
     """One row for each document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``marks``.
 
-    ``marks`` counts the clauses' marks in the order of ``MARKS``. Null and
+    ``marks`` has the greatest weight of an insult, then the sums of weights
+    by mark in the order of ``MARKS``. Null and
     empty texts have no marks and get the score of that. Labels that are null,
     neither 0 nor 1, or of unknown documents are ignored; of several labels of
     a document the larger counts. Null doc_ids count as empty text in the fold;
@@ -303,14 +331,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS,
         scorer = Scorer(*shared.value)
         for batch in batches:
             marks = [scorer.marks(t.as_py()) for t in batch.column(2)]
-            x = features(np.array(marks).reshape(-1, len(MARKS)))
-            scores = 1 / (1 + np.exp(-np.clip(scorer.weights[0] + x @ scorer.weights[1:], -30, 30)))
+            scores = scorer.scores(np.array(marks).reshape(-1, 1 + len(MARKS)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array([[int(v) for v in m] for m in marks], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array([list(m) for m in marks], pa.list_(pa.float64()))],
                 names=["doc_id", "held_out", "score", "predicted", "marks"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, marks array<int>")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, marks array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.01"
 
 
 def marks(text):
-    return {k: int(v) for k, v in zip(t.MARKS, t.Scorer([*t.SEEDS, "blöd*"]).marks(text), strict=True) if v}
+    found = t.Scorer(t.seeds() | {"blöd*": t.SEED_WEIGHT, "blödel*": 0.0}).marks(text)
+    return {k: int(v / t.SEED_WEIGHT) for k, v in zip(t.MARKS, found[1:], strict=True) if v}
 
 
 def test_grammar():
@@ -21,7 +22,7 @@ def test_grammar():
     assert marks("they said idiot") == {"insult": 1} or marks("they said idiot") == {"insult+reported": 1}
     assert marks("reported as trash") == {"insult+reported": 1}
     assert marks("i will hurt you, i will not hurt him") == {"threat": 1} or "threat" in marks("i will hurt you")
-    assert marks("Blödsinn und idiotisch") == {"insult": 1}
+    assert marks("Blödsinn und idiotisch, blödeln") == {"insult": 1}
     assert marks("") == marks(None) == {}
 
 
