@@ -159,9 +159,10 @@ def _links(threshold: float, n_words: int):
         side, sizes, counts = pdf["side"].to_numpy(), np.array([len(s) for s in sets], float), pdf["cnt"].to_numpy()
         m = len(pdf)
         linked = np.zeros((m, m), bool)
-        left, right = (np.arange(m), np.arange(m)) if not side.any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        within = (side < 0).all()  # all pairs of one block; else side 0 with side 1
+        left, right = (np.arange(m), np.arange(m)) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         a = [sets[i] for i in left]
-        both = overlaps(a, a if right is left or not side.any() else [sets[i] for i in right]) if len(left) and len(right) else np.zeros((len(left), len(right)))
+        both = overlaps(a, a if within else [sets[i] for i in right]) if len(left) and len(right) else np.zeros((len(left), len(right)))
         union = sizes[left][:, None] + sizes[right][None, :] - both
         linked[np.ix_(left, right)] = both >= threshold * union - 1e-9
         linked |= linked.T
@@ -236,9 +237,9 @@ def near_duplicates(
 
     none = F.array().cast("array<struct<task:string,side:int>>")
     zero = F.lit(0)
-    tasks = F.when(~F.col("large"), F.array(F.struct(F.col("grp").alias("task"), zero.alias("side")))).otherwise(
+    tasks = F.when(~F.col("large"), F.array(F.struct(F.col("grp").alias("task"), F.lit(-1).alias("side")))).otherwise(
         F.concat(
-            task(F.col("k"), lb, lambda j: F.least(sub, j), lb, lambda j: F.greatest(sub, j), lambda j: F.when(sub > j, 1).otherwise(0)),
+            task(F.col("k"), lb, lambda j: F.least(sub, j), lb, lambda j: F.greatest(sub, j), lambda j: F.when(sub > j, 1).when(sub < j, 0).otherwise(-1)),
             F.coalesce(task(F.col("k_up"), lb, lambda j: sub, lb + 1, lambda j: j, lambda j: zero), none),
             F.coalesce(task(F.col("k_down"), lb - 1, lambda j: j, lb, lambda j: sub, lambda j: F.lit(1)), none),
         )
