@@ -1,4 +1,4 @@
 """Queries: each module registers its own when it is imported."""
 
-from . import claims  # noqa: F401
+from . import claims, duplicates, feedback  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
