@@ -29,7 +29,9 @@ from .common import written
 from .langid import fold_of
 
 #: Labelled texts that are learned from, in expectation, and features kept at most.
-FIT_DOCS, MAX_INSULTS = 20_000, 20_000
+FIT_DOCS, MAX_INSULTS = 10_000, 20_000
+#: Features that a task holds before it hands their counts on.
+HELD_FEATURES = 100_000
 #: Lengths of word beginnings that can be insults, beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 #: Different places that an insult has in toxic texts at least, the chance of
@@ -206,11 +208,19 @@ def _counts(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            every = list(found[0].keys() | found[1].keys())
+            columns = [pa.array(every, pa.string()), *(pa.array([found[k][x] for x in every], pa.int64()) for k in (1, 0))]
+            found[0].clear(), found[1].clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "clean"])
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found[toxic].update({x for x, _ in _grams(WORDS.findall(text.as_py().lower()))})
-        every = sorted(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([found[1][x] for x in every], pa.int64()), pa.array([found[0][x] for x in every], pa.int64())], names=["feature", "toxic", "clean"])
+                if len(found[0]) + len(found[1]) > HELD_FEATURES:
+                    yield out()
+        yield out()
 
     return train.select("toxic", "text").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -235,7 +245,8 @@ def learn(labelled: DataFrame) -> Scorer:
     and the longer forms of those (``MAX_INSULTS`` at most), and the marks of
     the sampled texts, a small vector each. Copies of a text would lend their
     words weight, so what counts in the end are different places, by the words
-    before and after. Without texts of both labels the seeds stand.
+    before and after, counted linearly in 256 bits. Without texts of both
+    labels the seeds stand.
     """
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -254,23 +265,30 @@ def learn(labelled: DataFrame) -> Scorer:
     shared = context.broadcast(candidates | {r["feature"] for r in longer.collect()})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = shared.value, (set(), set())
+        wanted, seen = shared.value, ({}, {})
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen[toxic].update(x for x in _grams(WORDS.findall(text.as_py().lower())) if x[0] in wanted)
+                own = seen[toxic]
+                for feature, place in _grams(WORDS.findall(text.as_py().lower())):
+                    if feature in wanted:
+                        own[feature] = own.get(feature, 0) | 1 << place * 0x9E3779B1 % (1 << 32) // (1 << 24)
         for toxic in (0, 1):
-            pairs = list(seen[toxic])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.int64()), pa.array([toxic] * len(pairs), pa.int32())], names=["feature", "place", "toxic"])
-
-    at = labelled.select("toxic", "text").mapInArrow(places, "feature string, place long, toxic int").distinct()
-    found = at.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
+            bits = [[(v >> 64 * k & (1 << 64) - 1) - (1 << 64) * (v >> 64 * k + 63 & 1) for k in range(4)] for v in seen[toxic].values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen[toxic]), pa.string()), pa.array([toxic] * len(bits), pa.int32()), *(pa.array([x[k] for x in bits], pa.int64()) for k in range(4))], names=["feature", "toxic", "b0", "b1", "b2", "b3"])
+
+    at = labelled.select("toxic", "text").mapInArrow(places, "feature string, toxic int, b0 long, b1 long, b2 long, b3 long")
+    merged = at.groupBy("feature", "toxic").agg(*(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(4)))
+    used = sum((F.bit_count(f"b{k}") for k in range(4)), F.lit(0))
+    places_of: dict[str, list[float]] = {}
+    for r in merged.select("feature", "toxic", used.alias("used")).collect():
+        places_of.setdefault(r["feature"], [0.0, 0.0])[r["toxic"]] = -256 * math.log(max(1, 256 - r["used"]) / 256)
     prior = math.log(share / (1 - share))
     insults = {}
-    for r in found:
-        weight = math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - prior
-        sure = r["toxic"] >= LEAST_PLACES and _nats(r["toxic"], r["clean"], share) >= LEAST_NATS
+    for feature, (clean, toxic) in places_of.items():
+        weight = math.log((toxic + 0.5) / (clean + 0.5)) - prior
+        sure = toxic >= LEAST_PLACES and _nats(toxic, clean, share) >= LEAST_NATS
         if weight < LEAST_WEIGHT or sure:
-            insults[r["feature"]] = weight
+            insults[feature] = weight
     if not any(w >= LEAST_WEIGHT for w in insults.values()):
         return Scorer(seeds())
 
