@@ -86,7 +86,7 @@ FROM {claims} c
 #: Views that only oracles use, in DuckDB's SQL; operators compute the same rows.
 ORACLE_VIEWS: dict[str, str] = {}
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
