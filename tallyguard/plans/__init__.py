@@ -1,4 +1,4 @@
 """Queries: each module registers its own when it is imported."""
 
-from . import claims, duplicates, feedback, text  # noqa: F401
+from . import calibration, claims, duplicates, feedback, rules, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
