@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fingerprints, hamming
+from ..functions.hashing import fingerprints
 from .warranty import parse_date, words
 
 # Words that carry no meaning in an issue, and thresholds.
@@ -50,19 +50,34 @@ def exact_images(images: DataFrame) -> DataFrame:
 def near_images(images: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
     """Pairs of different perceptual hashes at most ``bits`` apart, by the hashes' lowest images.
 
-    Equal hashes fold into one row first. Of ``bits + 1`` bands of the 64 bits
-    two such hashes share one at least, so bands are the join's key and the
-    distance is verified on the pairs that meet.
+    Equal hashes fold into one row first. Cut into ``bits // 2 + 1`` bands, two
+    such hashes differ by one bit at most in some band, or they would differ by
+    more than ``bits`` in all. So one side is keyed by its bands and the other
+    by its bands and all their one-bit changes; the distance is verified on the
+    pairs that meet, on integers made once for each hash.
     """
-    n = bits + 1
+    n = bits // 2 + 1
     cut = [64 * k // n for k in range(n + 1)]
-    hashes = images.groupBy("phash").agg(F.min("image_id").alias("image_id"), F.count("*").alias("copies"))
+    halves = [F.conv(F.substring("phash", k, 8), 16, 10).cast("long") for k in (1, 9)]
+    hashes = images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).groupBy("phash").agg(F.min("image_id").alias("image_id"))
     binary = F.concat(*(F.lpad(F.conv(F.substring("phash", 1 + 4 * k, 4), 16, 2), 16, "0") for k in range(4)))
-    bands = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("binary", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(n)))
-    keyed = hashes.withColumn("binary", binary).select("phash", "image_id", "copies", F.explode(bands).alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    rows = hashes.select("image_id", halves[0].alias("hi"), halves[1].alias("lo"), binary.alias("binary"))
+
+    def band(k: int, flip: int = -1):
+        """Band ``k`` with its number; the bit at ``flip`` changed."""
+        start, size = cut[k] + 1, cut[k + 1] - cut[k]
+        if flip < 0:
+            return F.concat(F.lit(f"{k}:"), F.substring("binary", start, size))
+        changed = F.translate(F.substring("binary", start + flip, 1), "01", "10")
+        return F.concat(F.lit(f"{k}:"), F.substring("binary", start, flip), changed, F.substring("binary", start + flip + 1, size - flip - 1))
+
+    plain = [band(k) for k in range(n)]
+    changed = [band(k, i) for k in range(n) for i in range(cut[k + 1] - cut[k])]
+    a = rows.select("image_id", "hi", "lo", F.explode(F.array(*plain, *changed)).alias("band")).alias("a")
+    b = rows.select("image_id", "hi", "lo", F.explode(F.array(*plain)).alias("band")).alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.image_id") < F.col("b.image_id")))
-    near = met.withColumn("distance", hamming(F.col("a.phash"), F.col("b.phash"))).where(F.col("distance") <= bits)
+    apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
+    near = met.withColumn("distance", apart).where(F.col("distance") <= bits)
     pairs = near.select(F.col("a.image_id").alias("image_1"), F.col("b.image_id").alias("image_2"), "distance").distinct()
     return pairs.withColumn("match_type", F.when(F.col("distance") <= SAME_BITS, "IMAGE_LIKELY_SAME").otherwise("IMAGE_SIMILAR"))
 
