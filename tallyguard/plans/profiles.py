@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import geo as G
+from ..operators import profiles as Q
 from ..operators import rules as R
 from ..operators import signals as S
 from ..operators import templates as T
@@ -157,3 +159,46 @@ def receipt_dates(spark, sf):
     written = F.when(F.col("id") % 3 == 0, F.col("receipt_date")).when(F.col("id") % 3 == 1, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
     first, other = (F.coalesce(*(F.try_to_timestamp("d", F.lit(f)).cast("date") for f in order)) for order in (("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"), ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy")))
     return view(spark, sf, "receipts").select("id", written.alias("d")).select("id", first.cast("string").alias("first_date"), (first != other).alias("ambiguous"))
+
+
+_CASES = [(s, w, word) for s, (w, words) in Q.KEYWORDS.items() for word in words]
+_ORDERS = [(s, i) for i, s in enumerate(Q.KEYWORDS)]
+
+
+@query("document_profile", with_views(f"""SELECT id, CASE WHEN score = 0 THEN 'UNKNOWN' WHEN s = 'SHIPPING_BILL' THEN 'LOGISTICS' WHEN s = 'PAYMENT_RECEIPT' THEN 'PAYMENT' ELSE 'TRANSACTIONAL' END AS family, CASE WHEN score = 0 THEN 'UNKNOWN' ELSE s END AS subtype,
+  CASE WHEN score = 0 THEN 0.0 ELSE round(CASE WHEN hits >= 2 AND s IN ('COMMERCIAL_INVOICE', 'SHIPPING_BILL') THEN greatest(raw, 0.55::DOUBLE) WHEN hits <= 2 AND s = 'MISC' THEN least(raw, 0.45::DOUBLE) WHEN hits <= 2 AND s = 'UTILITY' THEN least(raw, 0.35::DOUBLE) ELSE raw END, 6) END AS confidence, hits FROM (
+  SELECT *, CASE WHEN second > 0 THEN greatest(0.0::DOUBLE, r0 - least(0.65::DOUBLE, 0.55::DOUBLE * (second / score))) ELSE r0 END AS raw FROM (SELECT id, s, score, hits, lead(score) OVER w AS second, row_number() OVER w AS n, least(1.0::DOUBLE, 0.25::DOUBLE + 0.16::DOUBLE * hits) AS r0 FROM (
+  SELECT d.id, o.s, o.i, CAST(count(x.word) AS BIGINT) AS hits, coalesce(sum(x.w), 0) AS score FROM (SELECT id, lower(full_text) AS t, trim(regexp_replace(regexp_replace(lower(full_text), '[^\\w\\s/]', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM {{receipts}}) d CROSS JOIN ({values_sql(_ORDERS)}) AS o(s, i)
+  LEFT JOIN ({values_sql(_CASES)}) AS x(s, w, word) ON x.s = o.s AND (contains(d.t, x.word) OR contains(d.n, x.word)) GROUP BY d.id, o.s, o.i) WINDOW w AS (PARTITION BY id ORDER BY score DESC, i)) WHERE n = 1)"""))
+def document_profile(spark, sf):
+    return Q.profile(view(spark, sf, "receipts"))
+
+
+_MARK = "concat_ws(chr(10), full_text, CASE id % 5 WHEN 0 THEN 'TN 37087-1234 EIN 12-3456789' WHEN 1 THEN 'RFC ABCD010203XY9 C.P. 06600' WHEN 2 THEN 'Pin code: 560001' WHEN 3 THEN 'CNPJ 12.345.678/0001-95' ELSE 'VAT 312345678901233' END)"
+
+
+@query("country_fields", with_views("SELECT id, " + ", ".join(f"nullif(regexp_extract(t, '(?i){p}', 1), '') AS {n}" for n, p in Q.COUNTRY_FIELDS.items()) + f" FROM (SELECT id, {_MARK} AS t FROM {{receipts}})"))
+def country_fields(spark, sf):
+    k = F.col("id") % 5
+    mark = F.when(k == 0, "TN 37087-1234 EIN 12-3456789").when(k == 1, "RFC ABCD010203XY9 C.P. 06600").when(k == 2, "Pin code: 560001").when(k == 3, "CNPJ 12.345.678/0001-95").otherwise("VAT 312345678901233")
+    rows = view(spark, sf, "receipts").select("id", F.concat_ws("\n", "full_text", mark).alias("t"))
+    return rows.select("id", *(c.alias(n) for n, c in Q.country_fields(F.col("t")).items()))
+
+
+@query("multi_address")
+def multi_address(spark, sf):
+    """Addresses of texts that hold one, two or none."""
+    k = F.col("c_custkey")
+    one, two = F.concat(k.cast("string"), F.lit(" Main Street\nPune 411001\nMaharashtra India")), F.lit("Flat 7, Baker Street\nLondon 12345\nUnited Kingdom")
+    text = F.when(k % 3 == 0, one).when(k % 3 == 1, F.concat_ws("\n", one, F.lit("Thank you"), two)).otherwise("Thank you\nfor coming")
+    return Q.multi_address(view(spark, sf, "customer").select(k.alias("id"), text.alias("text")))
+
+
+@query("script_candidates", """SELECT conv_id, turn, CASE WHEN alpha = 0 THEN NULL WHEN latin > 0.05 * alpha THEN 'latin' END AS scripts, coalesce(latin < 0.95 * alpha AND latin > 0.05 * alpha, false) AS mixed FROM (SELECT conv_id, turn, length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')) AS alpha, length(text) - length(regexp_replace(text, '[A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) AS latin FROM conversations)""")
+def script_candidates(spark, sf):
+    """Scripts with over a twentieth of a text's letters, and whether letters are mixed."""
+    counts = X.script_counts(F.col("text"))
+    rows = view(spark, sf, "conversations").select("conv_id", "turn", *(c.alias(k) for k, c in counts.items()))
+    share = {n: F.col(n) > 0.05 * F.col("alpha") for n in X.SCRIPTS}
+    found = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in share.items()))), ",")
+    return rows.select("conv_id", "turn", F.nullif(found, F.lit("")).alias("scripts"), F.coalesce((F.col("latin") < 0.95 * F.col("alpha")) & share["latin"], F.lit(False)).alias("mixed"))

@@ -108,3 +108,11 @@ def test_windows_close_with_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{tmp_path}/in")
     out = registry.drained(registry.windowed(stream), f"{tmp_path}/out", f"{tmp_path}/check").collect()
     assert [r.n for r in out] == [1]
+
+
+def test_addresses_are_counted_once(spark):
+    from tallyguard.operators import profiles
+
+    texts = ["12 Main Street\nPune 411001\nMaharashtra India", "12 Main Street\nPune 411001\nThank you\nFlat 7, Baker Street\nLondon 12345\nUnited Kingdom", "hello\nthere", "", None]
+    rows = profiles.multi_address(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert {r.id: r.status for r in rows} == {0: "SINGLE", 1: "MULTIPLE", 2: "UNKNOWN", 3: "UNKNOWN", 4: "UNKNOWN"}
