@@ -14,7 +14,7 @@ from .langid import predict_language
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
-from .quality import judge_quality
+from .quality import BOILERPLATE, judge_quality
 from .syncmers import fingerprints
 from .toxicity import score_toxicity
 from .urls import judge_urls, rule_table
@@ -123,6 +123,29 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+_WS = "[\\x20\\x09-\\x0D]"
+_BOILER = " OR ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), again AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r
+), lines AS (
+  SELECT r, l, length(regexp_replace(l, '{_WS}+', '', 'g')) AS chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
+    len(regexp_extract_all(l, '[#*$%&|<>][^\x20\x09-\x0D]*')) AS symbols, len(regexp_extract_all(l || ' ', '!!{_WS}')) AS shouts
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+), kept AS (
+  SELECT r, count(*) FILTER (words > 0) - count(DISTINCT CASE WHEN words > 0 THEN l END) AS n_dup_lines, sum(chars) FILTER (NOT (words > 0 AND (10 * symbols >= 3 * words OR 10 * shouts >= 3 * words
+    OR (words >= 25 AND NOT regexp_matches(l, '[.!?:;,…]')) OR (words <= 25 AND ({_BOILER}))))) AS chars FROM lines GROUP BY r
+), base AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WS}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, coalesce(kept.chars, 0) AS chars FROM d JOIN kept ON d.r = kept.r LEFT JOIN again ON d.r = again.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * chars >= word_chars AS kept FROM base
+"""
 OP10_SQL = r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -168,4 +191,4 @@ FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op10_urls": OP10_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op9_quality": OP9_SQL, "op10_urls": OP10_SQL}
