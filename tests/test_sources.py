@@ -116,3 +116,17 @@ def test_addresses_are_counted_once(spark):
     texts = ["12 Main Street\nPune 411001\nMaharashtra India", "12 Main Street\nPune 411001\nThank you\nFlat 7, Baker Street\nLondon 12345\nUnited Kingdom", "hello\nthere", "", None]
     rows = profiles.multi_address(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
     assert {r.id: r.status for r in rows} == {0: "SINGLE", 1: "MULTIPLE", 2: "UNKNOWN", 3: "UNKNOWN", 4: "UNKNOWN"}
+
+
+def test_fuzzy_names_by_brute_force(spark):
+    import difflib
+
+    from tallyguard.operators import merchants
+
+    known = ["Walmart Supercenter", "Whole Foods Market", "Trader Joe's Store", "Costco Wholesale"]
+    names = ["walmart supercentre", "Whole Food Market", "Costco Wholesale", "Nothing alike here", "Trader Joes Stor", None]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {r.id: (r.known, r.match) for r in merchants.fuzzy_matches(df, spark.createDataFrame([(k,) for k in known], "known string")).collect()}
+    for i, name in enumerate(names):
+        ratio, best = max((difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio(), k.lower()) for k in known) if name else (0, None)
+        assert got[i] == ((best, "exact" if ratio == 1 else "hit" if ratio > 0.85 else "typo") if ratio >= 0.7 else (None, None))
