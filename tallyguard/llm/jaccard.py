@@ -221,7 +221,8 @@ def near_duplicates(
 
     members = written(groups.select(F.col("node").alias("dig"), F.col("root").alias("grp")).join(sets.select("dig", "rep", "cnt", "n"), "dig"), "jaccard-members")
     parts = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int")
-    members = members.join(members.groupBy("grp").agg((parts > 1).alias("large")), "grp")
+    sizes = written(members.groupBy("grp").agg((parts > 1).alias("large")), "jaccard-sizes")  # a table, so that a large group's rows can be split
+    members = members.join(sizes, "grp")
     members = members.withColumn("lb", F.when(F.col("large"), F.floor(F.log("n") / math.log(1 / threshold)).cast("int")).otherwise(0))
     cells = members.where("large").groupBy("grp", "lb").agg(parts.alias("k"))
     members = written(members, "jaccard-members")
