@@ -19,7 +19,13 @@ SELECT user_id AS doc_id, event_id AS judgment_id, CASE WHEN value < 40 THEN 'GE
 """
 
 
-@query("calibration_apply", with_views("SELECT id, p_c, CASE WHEN p_c >= 100 THEN 0.97 WHEN p_c <= 0 THEN 0.05 " + " ".join(f"WHEN p_c / 100.0 <= {x2!r} THEN {y1!r} + (p_c / 100.0 - {x1!r}) / ({x2!r} - {x1!r})::DOUBLE * ({y2!r} - {y1!r})::DOUBLE" for (x1, y1), (x2, y2) in zip(C.BREAKPOINTS, C.BREAKPOINTS[1:], strict=False)).replace("{", "(").replace("}", ")") + " END AS calibrated, CASE WHEN p_c >= 80 THEN 'HIGH' WHEN p_c >= 55 THEN 'MEDIUM' WHEN p_c >= 30 THEN 'LOW' ELSE 'NONE' END AS bucket FROM {predictions}").replace(" END AS calibrated", " END AS calibrated"))
+_PIECES = " ".join(
+    f"WHEN p_c / 100.0 <= {x2!r} THEN {y1!r} + (p_c / 100.0 - {x1!r}) / ({x2!r} - {x1!r})::DOUBLE * ({y2!r} - {y1!r})::DOUBLE" for (x1, y1), (x2, y2) in zip(C.BREAKPOINTS, C.BREAKPOINTS[1:], strict=False)
+)
+
+
+@query("calibration_apply", with_views(f"""SELECT id, p_c, CASE WHEN p_c >= 100 THEN 0.97 WHEN p_c <= 0 THEN 0.05 {_PIECES} END AS calibrated,
+  CASE WHEN p_c >= 80 THEN 'HIGH' WHEN p_c >= 55 THEN 'MEDIUM' WHEN p_c >= 30 THEN 'LOW' ELSE 'NONE' END AS bucket FROM {{predictions}}"""))
 def calibration_apply(spark, sf):
     p = F.col("p_c") / 100.0
     return view(spark, sf, "predictions").select("id", "p_c", C.calibrate(p).alias("calibrated"), C.bucket(p).alias("bucket"))

@@ -33,7 +33,16 @@ _CHECKS = [
     ("EXCESSIVE_LABOR_HOURS_FOR_PART", "MEDIUM", f"labor_hours > 2 * {_TYPICAL}"), ("TAX_INCONSISTENT_WITH_GEO", "MEDIUM", f"total > 0 AND ({_TAX})"),
     ("IMAGE_COUNT_MISMATCH", "LOW", "image_count < CASE WHEN regexp_matches(lower(issue), 'engine|transmission|body') THEN 3 ELSE 2 END"),
 ]
-ORACLE_VIEWS["signals"] = " UNION ALL ".join(f"SELECT id, '{n}' AS signal_type, '{s}' AS severity FROM {{m}} WHERE {c}" + (" AND (SELECT count(*) FROM {wmi}) > 0" if "wmi" in c else " AND (SELECT count(*) FROM {vin_years}) > 0" if "vin_years" in c else "") for n, s, c in _CHECKS)
+
+
+def _check(name: str, severity: str, condition: str) -> str:
+    """A check as SQL; the dimensions that its condition names are put in braces, so that they are among the views."""
+    for dim in ("wmi", "vin_years"):
+        condition = condition.replace(f"FROM {dim} ", f"FROM {{{dim}}} ")
+    return f"SELECT id, '{name}' AS signal_type, '{severity}' AS severity FROM {{m}} WHERE {condition}"
+
+
+ORACLE_VIEWS["signals"] = " UNION ALL ".join(_check(*c) for c in _CHECKS)
 ORACLE_VIEWS["risk"] = """
 SELECT c.id, least(10, coalesce(s.t, 0) + coalesce(d.t, 0)) / 10.0 AS risk_score, coalesce(s.n, 0) AS n_signals,
   CASE WHEN coalesce(d.exact, false) OR coalesce(s.grave, false) OR least(10, coalesce(s.t, 0) + coalesce(d.t, 0)) >= 7 THEN 'INVESTIGATE'
