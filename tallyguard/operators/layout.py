@@ -52,3 +52,45 @@ def forensics(metrics: DataFrame) -> DataFrame:
     hits = F.array_compact(F.array(*(F.when(c, n) for n, c in rules)))
     n = F.size(hits)
     return metrics.select("image_id", F.array_join(hits, ",").alias("signals"), n.cast("long").alias("n_signals"), F.when(n >= 3, "CRITICAL").when(n >= 2, "WARNING").alias("severity"))
+
+
+def line_anomalies(lined: DataFrame, off: float = 3.0, share: float = 0.15, spread: float = 0.25) -> DataFrame:
+    """Lines of three tokens or more whose baselines or heights don't agree.
+
+    ``lined`` has whole-number ``base`` (a token's lower edge) and ``height``.
+    A line is misaligned if ``share`` of its tokens stand more than ``off``
+    from the mean baseline, uneven if the heights' variation exceeds ``spread``.
+    """
+    by = W.partitionBy("page", "line")
+    mean = F.sum("base").over(by) / F.count("*").over(by)
+    rows = lined.withColumn("apart", F.abs(F.col("base") - mean) > off)
+    n, h, h2 = F.count("*"), F.sum("height"), F.sum(F.col("height") * F.col("height"))
+    out = rows.groupBy("page", "line").agg(n.alias("n_tokens"), F.count_if("apart").alias("n_apart"), ((h2 * n - h * h) / (h * h)).alias("variation2"))
+    known = out.where("n_tokens >= 3")
+    return known.select("page", "line", "n_tokens", "n_apart", (F.col("n_apart") / F.col("n_tokens") >= share).alias("misaligned"), (F.col("variation2") > spread * spread).alias("uneven"))
+
+
+def page_signals(anomalies: DataFrame, least: int = 2) -> DataFrame:
+    """Signals of pages with ``least`` odd lines or more."""
+    counted = anomalies.groupBy("page").agg(F.count("*").alias("n_lines"), F.count_if("misaligned").alias("n_misaligned"), F.count_if("uneven").alias("n_uneven"))
+    found = F.array_compact(F.array(F.when(F.col("n_misaligned") >= least, "BASELINE_MISALIGNMENT"), F.when(F.col("n_uneven") >= least, "INTRA_LINE_HEIGHT_VARIATION")))
+    return counted.select("page", "n_lines", F.array_join(found, ",").alias("signals")).where(F.col("signals") != "")
+
+
+# Text that stands for something else, and mail domains for a day.
+PLACEHOLDERS = r"lorem ipsum|xxx+|sample|\[.*?name.*?\]|john doe|jane doe|123 main st"
+BRIEF_DOMAINS = ("tempmail", "mailinator", "guerrillamail", "10minutemail", "throwaway", "example")
+
+
+def text_signals(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Placeholders, currencies, number formats, fixed phones and brief mail domains in a text: a row for each that is found."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    symbols = F.array_distinct(F.regexp_extract_all(t, F.lit(r"[$€£¥₹]"), F.lit(0)))
+    domains = F.regexp_extract_all(F.lower(t), F.lit(r"[a-z0-9._%+-]+@([a-z0-9-]+)\."), F.lit(1))
+    formats = t.rlike(r"\d{1,3}(?:,\d{3})+\.\d{2}\b") & t.rlike(r"\d{1,3}(?:\.\d{3})+,\d{2}\b")
+    rules = (
+        ("PLACEHOLDER_TEXT_DETECTED", "high", t.rlike("(?i)" + PLACEHOLDERS)), ("MULTIPLE_CURRENCIES", "medium", F.size(symbols) > 1), ("INCONSISTENT_NUMBER_FORMAT", "medium", formats),
+        ("PLACEHOLDER_PHONE_NUMBER", "high", t.rlike(r"\b(?:1234567890|0000000000|555-?01\d\d)\b")), ("SUSPICIOUS_EMAIL_DOMAIN", "medium", F.exists(domains, lambda d: d.isin(*BRIEF_DOMAINS))),
+    )
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("signal"), F.lit(s).alias("severity"))) for n, s, c in rules)))
+    return documents.select(key, F.explode(found).alias("s")).select(key, "s.*")

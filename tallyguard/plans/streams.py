@@ -132,3 +132,24 @@ def audit_log_page(spark, sf):
     rows = view(spark, sf, "events").where(F.col("event_type").isin("error", "signup") & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")))
     page = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "event_type", "ts")
     return page.crossJoin(rows.agg(F.count("*").alias("n_fit")))  # one row
+
+
+VIEWS["sized_tokens"] = "SELECT *, CAST(y AS BIGINT) + token_id % 7 + CASE WHEN token_id % 5 = 0 THEN 9 ELSE 0 END AS base, 10 + token_id % 3 + CASE WHEN token_id % 11 = 0 THEN 12 ELSE 0 END AS height FROM {tokens}"
+
+
+@query("page_anomalies", with_views("""SELECT page, n_lines, concat_ws(',', CASE WHEN m >= 2 THEN 'BASELINE_MISALIGNMENT' END, CASE WHEN u >= 2 THEN 'INTRA_LINE_HEIGHT_VARIATION' END) AS signals FROM (SELECT page, count(*) AS n_lines, count(*) FILTER (apart / n >= 0.15::DOUBLE) AS m, count(*) FILTER (v > 0.0625::DOUBLE) AS u FROM (
+  SELECT page, line, count(*) AS n, count(*) FILTER (abs(base - mean) > 3) AS apart, (sum(height * height) * count(*) - sum(height) * sum(height)) / (sum(height) * sum(height)) AS v FROM (SELECT *, sum(base) OVER (PARTITION BY page, line) / count(*) OVER (PARTITION BY page, line) AS mean FROM (
+  SELECT *, sum(jump) OVER (PARTITION BY page ORDER BY y, x, token_id) AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x, token_id) > 60 THEN 1 ELSE 0 END AS jump FROM {sized_tokens}))) GROUP BY page, line HAVING count(*) >= 3) GROUP BY page) WHERE m >= 2 OR u >= 2"""))
+def page_anomalies(spark, sf):
+    return L.page_signals(L.line_anomalies(L.text_lines(view(spark, sf, "sized_tokens"), 60.0)))
+
+
+VIEWS["noted"] = """SELECT id, concat_ws(chr(10), full_text, CASE id % 7 WHEN 0 THEN 'Lorem ipsum for John Doe' WHEN 1 THEN '$5 or €4' WHEN 2 THEN '1,234.50 and 1.234,50' WHEN 3 THEN 'call 555-0123' WHEN 4 THEN 'a.b@mailinator.com' WHEN 5 THEN 'c@shop.org' ELSE '[Your Name]' END) AS full_text FROM {receipts}"""
+_DOMAINS = "[" + ", ".join(f"'{d}'" for d in L.BRIEF_DOMAINS) + "]"
+
+
+@query("text_signals", with_views(f"""SELECT id, 'PLACEHOLDER_TEXT_DETECTED' AS signal, 'high' AS severity FROM {{noted}} WHERE regexp_matches(full_text, '(?i){L.PLACEHOLDERS}') UNION ALL SELECT id, 'MULTIPLE_CURRENCIES', 'medium' FROM {{noted}} WHERE len(list_distinct(regexp_extract_all(full_text, '[$€£¥₹]'))) > 1
+  UNION ALL SELECT id, 'INCONSISTENT_NUMBER_FORMAT', 'medium' FROM {{noted}} WHERE regexp_matches(full_text, '\\d{{1,3}}(?:,\\d{{3}})+\\.\\d{{2}}\\b') AND regexp_matches(full_text, '\\d{{1,3}}(?:\\.\\d{{3}})+,\\d{{2}}\\b')
+  UNION ALL SELECT id, 'PLACEHOLDER_PHONE_NUMBER', 'high' FROM {{noted}} WHERE regexp_matches(full_text, '\\b(?:1234567890|0000000000|555-?01\\d\\d)\\b') UNION ALL SELECT id, 'SUSPICIOUS_EMAIL_DOMAIN', 'medium' FROM {{noted}} WHERE list_has_any(regexp_extract_all(lower(full_text), '[a-z0-9._%+-]+@([a-z0-9-]+)\\.', 1), {_DOMAINS})"""))
+def text_signals(spark, sf):
+    return L.text_signals(view(spark, sf, "noted"), "id", "full_text")
