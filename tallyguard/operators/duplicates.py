@@ -25,11 +25,12 @@ def duplicate_registry(receipts: DataFrame, arrival: str = "id") -> DataFrame:
     """What the registry says of every receipt on arrival: new, exact or fuzzy, and of which one.
 
     A receipt is registered only if it is new, so a fuzzy key has one
-    representative: its first arrival, the running first value of its group.
+    representative: its first arrival. That is an aggregate with partial sums,
+    joined back, so a key that many receipts share is never one task's work.
     """
-    first = W.partitionBy("fuzzy_fp").orderBy(arrival)
-    rep = F.first(F.struct(F.col(arrival).alias("of"), "exact_fp")).over(first)
-    known = fingerprinted(receipts).withColumn("rep", F.when(F.col("fuzzy_fp").isNotNull(), rep))
+    known = fingerprinted(receipts)
+    rep = known.where("fuzzy_fp IS NOT NULL").groupBy(F.col("fuzzy_fp").alias("key")).agg(F.min(F.struct(F.col(arrival).alias("of"), "exact_fp")).alias("rep"))
+    known = known.join(rep, known["fuzzy_fp"] == rep["key"], "left")
     same = F.col("rep.of") == F.col(arrival)
     status = F.when(F.col("rep").isNull() | same, "new").when(F.col("rep.exact_fp") == F.col("exact_fp"), "exact").otherwise("fuzzy")
     return known.select(F.col(arrival).alias("id"), status.alias("status"), F.when(status != "new", F.col("rep.of")).alias("duplicate_of"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -40,9 +39,9 @@ def decisions(analyses: DataFrame) -> DataFrame:
 
 
 def latest(analyses: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """The newest row of every key."""
-    newest = F.row_number().over(W.partitionBy(key).orderBy(F.desc(time), F.desc(tie)))
-    return analyses.withColumn("__n", newest).where("__n = 1").drop("__n")
+    """The newest row of every key, as an aggregate: a key's rows are reduced before they are shuffled."""
+    newest = F.max_by(F.struct(*analyses.columns), F.struct(time, tie))
+    return analyses.groupBy(F.col(key).alias("__key")).agg(newest.alias("row")).select("row.*")
 
 
 def learn_rules(feedback: DataFrame, *, initial: dict[str, int], step: int = 5, most: int = 50) -> DataFrame:

@@ -200,12 +200,10 @@ def repeat_claims(claims: DataFrame, days: int = 90, common: int = 2) -> DataFra
 
 def vin_history(claims: DataFrame) -> DataFrame:
     """How many other claims a claim's vehicle has, over what dates and cents, and the signal of it."""
-    by = W.partitionBy("vin")
-    n = F.count("*").over(by) - 1
-    rows = claims.select(
-        "id", "vin", n.alias("other_claims"), (F.sum("total_c").over(by) - F.col("total_c")).alias("other_total_c"),
-        F.min("claim_date").over(by).alias("first_claim"), F.max("claim_date").over(by).alias("last_claim"),
-    )
+    per = claims.groupBy(F.col("vin").alias("h_vin")).agg(F.count("*").alias("n"), F.sum("total_c").alias("sum_c"), F.min("claim_date").alias("first_claim"), F.max("claim_date").alias("last_claim"))
+    rows = claims.join(per, claims["vin"].eqNullSafe(per["h_vin"])).select(
+        "id", "vin", (F.col("n") - 1).alias("other_claims"), (F.col("sum_c") - F.col("total_c")).alias("other_total_c"), "first_claim", "last_claim"
+    )
     return rows.withColumn("signal", F.when(F.col("other_claims") >= 3, "VIN_EXCESSIVE_CLAIMS").when(F.col("other_claims") >= 2, "VIN_MULTIPLE_CLAIMS"))
 
 
