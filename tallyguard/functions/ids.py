@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # First digits of mobile numbers, the checksum's alphabet, known fakes.
+LANDLINES = ("11", "22", "33", "40", "44", "80", "20", "79", "120", "124")
 MOBILE_PREFIXES, ALPHABET = "6789", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FAKES = ("1234567890", "9999999999", "0000000000", "1111111111")
 _ASCENDING, _DESCENDING = "0123456789", "9876543210"
@@ -21,7 +22,7 @@ def indian_phone(phone: Column) -> dict[str, Column]:
     repeated, sequential = d.rlike(r"(\d)\1{4}"), d.rlike("|".join(SEQUENCES))
     same = d.rlike(r"^(.)\1*$")
     off = (
-        F.when(mobile & ~F.substring(d, 1, 1).isin(*MOBILE_PREFIXES), 4).when(~mobile & ~landline, 5).otherwise(0)
+        F.when(mobile & ~F.substring(d, 1, 1).isin(*MOBILE_PREFIXES), 4).when(~mobile & ~landline, 5).when(landline & ~F.substring(d, 2, 2).isin(*LANDLINES) & ~F.substring(d, 2, 3).isin(*LANDLINES), 3).otherwise(0)
         + F.when(repeated, 5).otherwise(0)
         + F.when(sequential, 6).otherwise(0)
         + F.when(same, 8).otherwise(0)

@@ -35,7 +35,7 @@ SCRIPTS = {
     "katakana": "゠-ヿ", "hangul": "가-힯ᄀ-ᇿ", "latin": "A-Za-zÀ-ÖØ-öø-ɏ",
 }
 SCRIPT_LANGUAGES = {"arabic": "ar", "hebrew": "he", "cyrillic": "ru", "hangul": "ko", "hiragana": "ja", "katakana": "ja"}
-MIN_ALPHA, DOMINANT, KANA = 20, 0.85, 0.02
+MIN_ALPHA, DOMINANT, KANA = 30, 0.60, 0.02
 STREET = (
     "street st road rd avenue ave boulevard blvd lane ln drive dr way circle cir court ct place pl terrace ter parkway pkwy highway hwy "
     "nagar marg path gali colony sector cross main layout extension phase souq souk corniche madinat "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # Breakpoints of a calibrator, bucket limits, and constraints of labels.
 BREAKPOINTS = ((0.0, 0.05), (0.1, 0.12), (0.2, 0.2), (0.3, 0.31), (0.4, 0.42), (0.5, 0.55), (0.6, 0.66), (0.7, 0.76), (0.8, 0.85), (0.9, 0.92), (1.0, 0.97))
-BUCKETS = (("HIGH", 0.8), ("MEDIUM", 0.55), ("LOW", 0.3), ("NONE", 0.0))
+BUCKETS = (("HIGH", 0.8), ("MEDIUM", 0.55))
 
 
 def calibrate(raw: Column, points=BREAKPOINTS) -> Column:
@@ -24,7 +24,7 @@ def bucket(p: Column) -> Column:
     out = F.when(p >= BUCKETS[0][1], BUCKETS[0][0])
     for name, least in BUCKETS[1:]:
         out = out.when(p >= least, name)
-    return out
+    return out.when(p > 0, "LOW").otherwise("NONE")
 
 
 def bin_of(p: Column, bins: int = 10, closed: str = "right") -> Column:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 SOFT_TENTHS, FAKE, SUSPICIOUS = 7, 700, 350
 
 # Producers by risk, expected rates by country, subtypes, slabs.
-HIGH_RISK = ("photoshop", "gimp", "illustrator", "inkscape")
-MEDIUM_RISK = ("canva", "wps", "word")
+HIGH_RISK = ("canva", "photoshop", "illustrator", "sketch", "figma", "affinity", "gimp", "inkscape", "coreldraw", "pixlr", "fotor", "befunky", "snappa", "crello", "desygner")
+MEDIUM_RISK = ("wps", "ilovepdf", "smallpdf", "pdfcandy", "sejda")
 TAX_RANGES = {"US": (0.0, 12.0), "IN": (4.5, 30.0), "GB": (0.0, 22.0), "CA": (4.5, 16.0), "AU": (9.0, 11.0), "AE": (4.5, 6.0), "SA": (14.0, 16.0), "DE": (0.0, 21.0), "FR": (0.0, 22.0)}
 ROUND_BY_HUNDREDS = ("IN", "JP", "KR", "ID")
 ROUND_EXEMPT = ("PARKING", "TOLL", "SUBSCRIPTION", "MEMBERSHIP", "DONATION", "RENT", "UTILITY", "INSURANCE")

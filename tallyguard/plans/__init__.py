@@ -1,4 +1,4 @@
 """Queries: each module registers its own when it is imported."""
 
-from . import calibration, claims, duplicates, feedback, gates, lines, names, profiles, rules, streams, text  # noqa: F401
+from . import calibration, claims, consistency, duplicates, feedback, gates, lines, names, profiles, rules, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

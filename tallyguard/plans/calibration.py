@@ -25,7 +25,7 @@ _PIECES = " ".join(
 
 
 @query("calibration_apply", with_views(f"""SELECT id, p_c, CASE WHEN p_c >= 100 THEN 0.97 WHEN p_c <= 0 THEN 0.05 {_PIECES} END AS calibrated,
-  CASE WHEN p_c >= 80 THEN 'HIGH' WHEN p_c >= 55 THEN 'MEDIUM' WHEN p_c >= 30 THEN 'LOW' ELSE 'NONE' END AS bucket FROM {{predictions}}"""))
+  CASE WHEN p_c >= 80 THEN 'HIGH' WHEN p_c >= 55 THEN 'MEDIUM' WHEN p_c > 0 THEN 'LOW' ELSE 'NONE' END AS bucket FROM {{predictions}}"""))
 def calibration_apply(spark, sf):
     p = F.col("p_c") / 100.0
     return view(spark, sf, "predictions").select("id", "p_c", C.calibrate(p).alias("calibrated"), C.bucket(p).alias("bucket"))

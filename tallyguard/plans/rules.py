@@ -18,7 +18,7 @@ SELECT c.id, CASE WHEN c.id % 37 <> 0 THEN c.dealer_name END AS merchant, CASE W
   CASE c.id % 6 WHEN 0 THEN 'POS_RETAIL' WHEN 1 THEN 'TAX_INVOICE' WHEN 2 THEN 'MISC' WHEN 3 THEN 'FUEL' WHEN 4 THEN 'PARKING' ELSE 'COMMERCIAL_INVOICE' END AS doc_subtype,
   CAST(c.id % 140 AS INT) AS num_lines, CAST(c.id % 12 AS DOUBLE) / 10 AS numeric_ratio, CAST(c.id % 13 AS DOUBLE) / 10 AS upper_ratio, CAST(c.id % 60 AS INT) AS unique_chars, CAST(c.id % 3 AS INT) AS n_currencies,
   CASE WHEN c.id % 41 <> 0 THEN CAST(c.claim_date AS DATE) END AS receipt_date, CAST(c.decision_date AS DATE) AS creation_date, CAST(c.decision_date AS DATE) + CAST(c.id % 45 - 3 AS INT) AS mod_date,
-  CASE c.id % 23 WHEN 0 THEN 'Adobe Photoshop 21' WHEN 1 THEN 'Canva' WHEN 2 THEN 'iText' ELSE 'Scanner 2' END AS producer, CASE c.id % 83 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'new' END AS duplicate
+  CASE c.id % 23 WHEN 0 THEN 'Adobe Photoshop 21' WHEN 1 THEN 'Canva' WHEN 2 THEN 'WPS Writer' WHEN 3 THEN 'iText' ELSE 'Scanner 2' END AS producer, CASE c.id % 83 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'new' END AS duplicate
 FROM {claims} c
 """
 
@@ -29,7 +29,7 @@ _WARN16 = "(profile_conf < 0.4 AND gap < 540)"
 #: rule, condition, severity, hundredths: as SQL, in the registry's order.
 _RULES = [
     ("R_DUPLICATE_RECEIPT", "duplicate = 'exact'", "'HARD_FAIL'", "60"), ("R_DUPLICATE_RECEIPT", "duplicate = 'fuzzy'", "'CRITICAL'", "40"),
-    ("R1_SUSPICIOUS_SOFTWARE", "lower(producer) LIKE '%photoshop%'", "'HARD_FAIL'", "50"), ("R1_SUSPICIOUS_SOFTWARE", "lower(producer) LIKE '%canva%'", "'WARNING'", "10"),
+    ("R1_SUSPICIOUS_SOFTWARE", "regexp_matches(lower(producer), 'photoshop|canva')", "'HARD_FAIL'", "50"), ("R1_SUSPICIOUS_SOFTWARE", "lower(producer) LIKE '%wps%'", "'WARNING'", "10"),
     ("R1B_METADATA_TIMESTAMP_ANOMALY", "touched > 1", "CASE WHEN touched > 30 THEN 'CRITICAL' ELSE 'WARNING' END", "CASE WHEN touched > 30 THEN 25 ELSE 8 END"),
     ("R5_NO_AMOUNTS", f"{_ENABLED} AND total IS NULL AND items_sum IS NULL", "'CRITICAL'", "40"), ("R6_NO_TOTAL_LINE", f"{_ENABLED} AND total IS NULL AND items_sum IS NOT NULL", "'CRITICAL'", "15"),
     ("R7_TOTAL_MISMATCH", "ratio > 0.02", f"CASE WHEN {_MILD} THEN 'WARNING' ELSE 'CRITICAL' END", f"CASE WHEN {_MILD} THEN 15 ELSE 40 END"),

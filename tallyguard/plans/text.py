@@ -140,15 +140,16 @@ def address_score(spark, sf):
 
 
 _REP = " OR ".join(f"contains(d, '{str(i) * 5}')" for i in range(10))
+_LAND = ", ".join(f"'{c}'" for c in I.LANDLINES)
 _SEQ = " OR ".join(f"contains(d, '{s}')" for s in I.SEQUENCES)
 
 
 @query("phone_check", with_views(f"""SELECT id, d AS digits, CAST(greatest(0, 10 - off) AS DOUBLE) / 10.0 AS confidence, 10 - off > 5 AS valid, repeated, sequential FROM (SELECT id, d, {_REP} AS repeated, {_SEQ} AS sequential,
-  CASE WHEN length(d) = 10 AND d[1] NOT IN ('6', '7', '8', '9') THEN 4 WHEN length(d) <> 10 AND NOT (length(d) = 11 AND d[1] = '0') THEN 5 ELSE 0 END + CASE WHEN {_REP} THEN 5 ELSE 0 END + CASE WHEN {_SEQ} THEN 6 ELSE 0 END + CASE WHEN length(replace(d, d[1], '')) = 0 THEN 8 ELSE 0 END
-  + CASE WHEN d IN ('1234567890', '9999999999', '0000000000', '1111111111') THEN 9 ELSE 0 END AS off FROM (SELECT id, CASE WHEN id % 3 = 0 THEN regexp_extract(full_text, 'Phone: (\\d+)', 1) WHEN id % 3 = 1 THEN CAST(id * 11111 AS VARCHAR) ELSE lpad(CAST(id AS VARCHAR), 10, '12345') END AS d FROM {{receipts}}))"""))
+  CASE WHEN length(d) = 10 AND d[1] NOT IN ('6', '7', '8', '9') THEN 4 WHEN length(d) <> 10 AND NOT (length(d) = 11 AND d[1] = '0') THEN 5 WHEN length(d) = 11 AND d[2:3] NOT IN ({_LAND}) AND d[2:4] NOT IN ({_LAND}) THEN 3 ELSE 0 END + CASE WHEN {_REP} THEN 5 ELSE 0 END + CASE WHEN {_SEQ} THEN 6 ELSE 0 END + CASE WHEN length(replace(d, d[1], '')) = 0 THEN 8 ELSE 0 END
+  + CASE WHEN d IN ('1234567890', '9999999999', '0000000000', '1111111111') THEN 9 ELSE 0 END AS off FROM (SELECT id, CASE WHEN id % 3 = 0 THEN regexp_extract(full_text, 'Phone: (\\d+)', 1) WHEN id % 3 = 1 THEN CAST(id * 11111 AS VARCHAR) WHEN id % 2 = 0 THEN lpad(CAST(id AS VARCHAR), 10, '12345') ELSE '0' || CASE WHEN id % 7 = 0 THEN '22' ELSE '23' END || lpad(CAST(id AS VARCHAR), 8, '4') END AS d FROM {{receipts}}))"""))
 def phone_check(spark, sf):
     own = F.regexp_extract("full_text", r"Phone: (\d+)", 1)
-    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("+91 "), own)).when(F.col("id") % 3 == 1, (F.col("id") * 11111).cast("string")).otherwise(F.lpad(F.col("id").cast("string"), 10, "12345"))
+    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("+91 "), own)).when(F.col("id") % 3 == 1, (F.col("id") * 11111).cast("string")).when(F.col("id") % 2 == 0, F.lpad(F.col("id").cast("string"), 10, "12345")).otherwise(F.concat(F.lit("0"), F.when(F.col("id") % 7 == 0, "22").otherwise("23"), F.lpad(F.col("id").cast("string"), 8, "4")))
     checked = I.indian_phone(F.col("raw"))
     return view(spark, sf, "receipts").select("id", raw.alias("raw")).select("id", *(c.alias(n) for n, c in checked.items()))
 
