@@ -57,8 +57,8 @@ def registry(as_of: str, gap_days: int = 540) -> list[RuleSpec]:
     ratio = F.try_divide(F.abs(total - items), total)
     mild = pos & (_c("ocr_conf") < 0.5) & (ratio > 0) & (ratio <= 0.05)
     expected = subtotal + tax + F.coalesce(_c("shipping"), F.lit(0.0)) - F.coalesce(_c("discount"), F.lit(0.0))
-    off = F.try_divide(F.abs(total - expected), expected)
-    tolerance = F.when(_c("ocr_conf") < 0.5, 0.10).when(_c("ocr_conf") < 0.8, 0.05).otherwise(0.02) * F.when(_c("doc_subtype") == "TAX_INVOICE", 0.5).otherwise(1.0)
+    off = F.when(total > 0, F.try_divide(F.abs(total - expected), total)).otherwise(0.0)
+    tolerance = F.when(_c("ocr_conf") < 0.5, 0.10).when(_c("ocr_conf") < 0.7, 0.05).otherwise(0.02) * F.when(_c("doc_subtype") == "TAX_INVOICE", 0.5).otherwise(1.0)
     reconciles = (_c("profile_conf") >= 0.75) & (expected > 0) & (F.abs(total - expected) >= 1.0) & (off > tolerance)
     rate = F.try_divide(tax, subtotal) * 100
     odd_rate = F.lit(False)

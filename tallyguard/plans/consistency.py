@@ -20,7 +20,7 @@ _CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(merchant, '')), '
 
 
 @query("business_hours", with_views(f"""SELECT id, category, CAST(h AS INT) AS hour, CAST(CASE WHEN h IS NULL THEN 5 WHEN a = 0 AND b = 24 THEN 10 ELSE greatest(0, 10 - CASE WHEN h < a OR h >= b THEN 3 ELSE 0 END - CASE WHEN h BETWEEN 2 AND 4 THEN 4 ELSE 0 END
-  - CASE WHEN (h >= 23 OR h < 2) AND category NOT IN ('pharmacy', 'gas_station', 'airport', 'convenience_store') THEN 2 ELSE 0 END - CASE WHEN h BETWEEN 5 AND 6 AND category NOT IN ('pharmacy', 'gas_station', 'airport', 'restaurant', 'cafe') THEN 1 ELSE 0 END) END AS DOUBLE) / 10.0 AS confidence
+  - CASE WHEN (h >= 23 OR h < 2) AND category NOT IN ('pharmacy', 'gas_station', 'airport', 'convenience_store') THEN 2 ELSE 0 END - CASE WHEN h BETWEEN 5 AND 6 AND category NOT IN ('pharmacy', 'gas_station', 'airport', 'restaurant', 'cafe') THEN 2 ELSE 0 END) END AS DOUBLE) / 10.0 AS confidence
   FROM (SELECT id, {_CAT} AS category, TRY_CAST(string_split(time, ':')[1] AS INT) AS h FROM {{visits}}) v JOIN ({values_sql([(k, a, b) for k, (a, b) in K.HOURS.items()])}) AS t(k, a, b) ON v.category = t.k"""))
 def business_hours(spark, sf):
     return K.business_hours(view(spark, sf, "visits"))

@@ -49,8 +49,8 @@ _RULES = [
     ("R7D_TAX_COMPONENT_VERIFICATION", "geo_country = 'IN' AND subtotal > 0 AND parts > 0 AND least(abs(pr - 0), abs(pr - 5), abs(pr - 12), abs(pr - 18), abs(pr - 28)) > 2.0", "'INFO'", "6"),
     ("R_HANDWRITTEN_RECEIPT", "ocr_conf < 0.35", "'WARNING'", "CASE WHEN ocr_conf < 0.20 THEN 12 ELSE 8 END"),
 ]
-ORACLE_VIEWS["judged"] = f"""SELECT *, abs(total - items_sum) / nullif(total, 0) AS ratio, abs(total - expected) / nullif(expected, 0) AS off, parts / nullif(subtotal, 0) * 100 AS pr FROM (SELECT *, subtotal + tax + coalesce(shipping, 0) - coalesce(discount, 0) AS expected,
-  CASE WHEN ocr_conf < 0.5 THEN 0.10::DOUBLE WHEN ocr_conf < 0.8 THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END * CASE WHEN doc_subtype = 'TAX_INVOICE' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS tol, tax / nullif(subtotal, 0) * 100 AS rate,
+ORACLE_VIEWS["judged"] = f"""SELECT *, abs(total - items_sum) / nullif(total, 0) AS ratio, CASE WHEN total > 0 THEN abs(total - expected) / total ELSE 0.0 END AS off, parts / nullif(subtotal, 0) * 100 AS pr FROM (SELECT *, subtotal + tax + coalesce(shipping, 0) - coalesce(discount, 0) AS expected,
+  CASE WHEN ocr_conf < 0.5 THEN 0.10::DOUBLE WHEN ocr_conf < 0.7 THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END * CASE WHEN doc_subtype = 'TAX_INVOICE' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS tol, tax / nullif(subtotal, 0) * 100 AS rate,
   CASE WHEN geo_country IN ('IN', 'JP', 'KR', 'ID') THEN 100.0::DOUBLE ELSE 10.0::DOUBLE END AS unit, coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0) AS parts, receipt_date - DATE '{CLAIMS_AS_OF}' AS ahead, creation_date - receipt_date AS gap, mod_date - creation_date AS touched FROM {{records}})"""
 ORACLE_VIEWS["fired"] = " UNION ALL ".join(f"SELECT id, {i} AS ordinal, '{n}' AS rule_id, {s} AS severity, {w} AS hundredths FROM {{judged}} WHERE {c}" for i, (n, c, s, w) in enumerate(_RULES))
 ORACLE_VIEWS["scored"] = """SELECT r.id, least(1000, coalesce(sum(CASE WHEN severity = 'HARD_FAIL' THEN hundredths * 10 ELSE hundredths * 7 END), 0)) / 1000.0 AS score, coalesce(bool_or(severity = 'HARD_FAIL'), false) AS hard_fail,
