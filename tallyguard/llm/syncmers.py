@@ -4,7 +4,8 @@ A text's letters here are its words (runs without white space, cut after
 ``MAX_WORD`` characters). Of all runs of ``K`` words those are chosen whose
 least inner pair of words, by hash, stands first or last in the run. Whether a
 run is chosen depends on its own words only, so an edit changes no anchor but
-those it touches, and any ``K - S`` runs in a row hold at least one.
+those it touches, and any ``K - S`` runs in a row hold at least one. A text of
+fewer runs may hold none; then all of its runs are anchors.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ def anchors(text: Column) -> Column:
     """The anchors of a text in order, as ``array<int>``.
 
     An anchor is a 24-bit hash of its ``K`` words. A text of fewer words has an
-    anchor for each word; an empty one has none.
+    anchor for each word, one without a chosen run an anchor for each run; only
+    a text without words has none.
     """
     words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{MAX_WORD}}}+"), F.lit(0))
 
@@ -36,7 +38,8 @@ def anchors(text: Column) -> Column:
         def pick(p: Column) -> Column:
             at = F.sequence(F.lit(0), F.size(p) - (K - S) - 1)
             edge = F.filter(at, lambda i: F.least(p[i], p[i + 3]) <= F.least(p[i + 1], p[i + 2]))
-            return F.transform(edge, lambda i: F.hash(p[i], p[i + 2], p[i + 3]).bitwiseAND((1 << 24) - 1))
+            kept = let(edge, lambda e: F.when(F.size(e) == 0, at).otherwise(e))
+            return F.transform(kept, lambda i: F.hash(p[i], p[i + 2], p[i + 3]).bitwiseAND((1 << 24) - 1))
 
         return let(pairs, pick)
 

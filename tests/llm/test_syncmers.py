@@ -57,3 +57,14 @@ def test_edited_texts_and_order(spark):
             assert got[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert 0 <= got[a].near_next <= 1
     assert syncmers.fingerprints(df.limit(0), 3).count() == 0
+
+
+def test_every_text_with_a_word_has_anchors_that_tell_it_apart(spark):
+    texts = [" ".join(f"{chr(97 + i % 26)}{i}w{k}" for k in range(n)) for n in range(1, 9) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, "", " \n"])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in syncmers.fingerprints(df, 2).select("doc_id", "fingerprint", "edited_fingerprint", "near_next", "near_edited").collect()}
+    assert all((rows[i].fingerprint != "") == (i < len(texts)) for i in rows)
+    for first in range(0, len(texts), 60):  # of as many words each
+        assert len({rows[i].fingerprint for i in range(first, first + 60)}) == 60
+    assert all(rows[i].near_next < 1 for i in range(1, len(texts)))
+    assert all(rows[i].near_edited < 1 for i in range(len(texts)) if len(texts[i].split()) in (5, 6) and i % 60)
