@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -29,9 +30,11 @@ from .common import written
 from .langid import fold_of
 
 #: Labelled texts that are learned from, in expectation, and features kept at most.
-FIT_DOCS, MAX_INSULTS = 10_000, 20_000
-#: Features that a task holds before it hands their counts on.
-HELD_FEATURES = 100_000
+FIT_DOCS, MAX_INSULTS = 20_000, 20_000
+#: Features, and places of features, that a task holds before it hands them on.
+HELD_FEATURES, HELD_PLACES = 100_000, 1_000_000
+#: Bits of a place: two hashes of 32 bits, the first times 31.
+PLACE_BITS = 37
 #: Lengths of word beginnings that can be insults, beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 #: Different places that an insult has in toxic texts at least, the chance of
@@ -245,8 +248,8 @@ def learn(labelled: DataFrame) -> Scorer:
     and the longer forms of those (``MAX_INSULTS`` at most), and the marks of
     the sampled texts, a small vector each. Copies of a text would lend their
     words weight, so what counts in the end are different places, by the words
-    before and after, counted linearly in 256 bits. Without texts of both
-    labels the seeds stand.
+    before and after, counted exactly. Without texts of both labels the seeds
+    stand.
     """
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -262,26 +265,30 @@ def learn(labelled: DataFrame) -> Scorer:
     stems = [x[:-1] for x in candidates if x.endswith("*")]
     longer = counts.where(F.col("toxic") + F.col("clean") >= 2).where(F.substring("feature", 1, STEMS[0]).isin(sorted({x[: STEMS[0]] for x in stems})) if stems else F.lit(False))
     longer = longer.orderBy((F.col("toxic") + F.col("clean")).desc(), "feature").limit(MAX_INSULTS - len(candidates))
-    shared = context.broadcast(candidates | {r["feature"] for r in longer.collect()})
+    features_at = sorted(candidates | {r["feature"] for r in longer.collect()})
+    shared = context.broadcast(features_at)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = shared.value, ({}, {})
+        first, held = {x: 2 * i << PLACE_BITS for i, x in enumerate(shared.value)}, array("q")
+
+        def out() -> pa.RecordBatch:
+            keys = np.unique(np.array(held, np.int64))
+            del held[:]
+            return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = seen[toxic]
                 for feature, place in _grams(WORDS.findall(text.as_py().lower())):
-                    if feature in wanted:
-                        own[feature] = own.get(feature, 0) | 1 << place * 0x9E3779B1 % (1 << 32) // (1 << 24)
-        for toxic in (0, 1):
-            bits = [[(v >> 64 * k & (1 << 64) - 1) - (1 << 64) * (v >> 64 * k + 63 & 1) for k in range(4)] for v in seen[toxic].values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen[toxic]), pa.string()), pa.array([toxic] * len(bits), pa.int32()), *(pa.array([x[k] for x in bits], pa.int64()) for k in range(4))], names=["feature", "toxic", "b0", "b1", "b2", "b3"])
-
-    at = labelled.select("toxic", "text").mapInArrow(places, "feature string, toxic int, b0 long, b1 long, b2 long, b3 long")
-    merged = at.groupBy("feature", "toxic").agg(*(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(4)))
-    used = sum((F.bit_count(f"b{k}") for k in range(4)), F.lit(0))
-    places_of: dict[str, list[float]] = {}
-    for r in merged.select("feature", "toxic", used.alias("used")).collect():
-        places_of.setdefault(r["feature"], [0.0, 0.0])[r["toxic"]] = -256 * math.log(max(1, 256 - r["used"]) / 256)
+                    if (own := first.get(feature)) is not None:
+                        held.append(own | toxic << PLACE_BITS | place)
+                if len(held) > HELD_PLACES:
+                    yield out()
+        yield out()
+
+    at = labelled.select("toxic", "text").mapInArrow(places, "key long").distinct()
+    places_of: dict[str, list[int]] = {}
+    for r in at.groupBy(F.shiftright("key", PLACE_BITS).alias("own")).count().collect():
+        places_of.setdefault(features_at[r["own"] // 2], [0, 0])[r["own"] % 2] = r["count"]
     prior = math.log(share / (1 - share))
     insults = {}
     for feature, (clean, toxic) in places_of.items():

@@ -1,5 +1,6 @@
 """The grammar by example, and held-out accuracy."""
 
+import math
 import os
 
 import pytest
@@ -43,6 +44,18 @@ def test_edge_cases(spark):
     assert t.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_places_are_counted_beyond_a_few_thousand(spark):
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    rows = [(1, f"{word(2 * i)} zork {word(2 * i + 1)}") for i in range(4000)] + [(0, f"{word(2 * i)} zork {word(2 * i + 1)}") for i in range(4000, 4200)]
+    rows += [(1, "fine zork day")] * 50 + [(0, f"{word(2 * i)} hello {word(2 * i + 1)}") for i in range(5000, 8850)]
+    model = t.learn(spark.createDataFrame(rows, "toxic int, text string").repartition(3))
+    prior = math.log(4050 / 4050)
+    assert model.insults["zork"] == pytest.approx(math.log(4001.5 / 200.5) - prior)
+    assert model.score("you zork") > 0.5
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
