@@ -181,24 +181,61 @@ def _iban(text: str, at: int) -> Span | None:
     return None
 
 
+def _groups(text: str, at: int, end: int) -> int:
+    """Where the number whose first group is ``at`` to ``end`` ends, with the groups of digits that follow a single space, dot or slash.
+
+    Two digits or fewer after a number's only dot are an amount's cents and no
+    group; of a number over ``_ACCOUNT_MOST`` the first groups that fit count.
+    """
+    ends, seps = [end], ""
+    while text[end : end + 1] in (" ", ".", "/") and end + 1 < len(text) and text[end + 1] in _DIGITS:
+        seps += text[end]
+        end += 1
+        while end < len(text) and text[end] in _LABEL and end - at <= _ACCOUNT_MOST:
+            end += 1
+        last = end
+        while text[last - 1] == "-":
+            last -= 1
+        if last - at > _ACCOUNT_MOST or not all(c in _DIGITS or c == "-" for c in text[ends[-1] + 1 : last]):
+            seps = seps[:-1]
+            break
+        ends.append(last)
+        if last < end:
+            break
+    if seps == "." and ends[1] - ends[0] <= 3:
+        return ends[0]
+    return ends[-1]
+
+
 def _account(text: str, cue_at: int, cue_end: int) -> Span | None:
-    """The number that follows a cue: at least four digits among letters, digits and hyphens."""
+    """The number that follows a cue: at least four digits among letters, digits, hyphens and separated groups of digits.
+
+    Words without digits between the cue and it, such as "Number" or "No.", are
+    passed over; the number is the first word that holds a digit.
+    """
     if cue_at and text[cue_at - 1].isalnum() or cue_end < len(text) and text[cue_end].isalnum():
         return None
-    at = cue_end
-    while at < len(text) and at - cue_end <= _CUE_GAP and not (text[at] in _DIGITS or text[at].isupper() and text[at] in _ALNUM):
-        at += 1
-    if at >= len(text) or at - cue_end > _CUE_GAP:
-        return None
-    if span := _iban(text, at):
-        return span
-    end = at
-    while end < len(text) and text[end] in _LABEL:
-        end += 1
-    while end > at and text[end - 1] == "-":
-        end -= 1
-    whole = text[at:end]
-    return ("account", at, end) if _ACCOUNT_LEAST <= end - at <= _ACCOUNT_MOST and sum(c in _DIGITS for c in whole) >= 4 else None
+    end = cue_end
+    while True:
+        at = end
+        while at < len(text) and at - cue_end <= _CUE_GAP and text[at] not in _ALNUM:
+            at += 1
+        if at >= len(text) or at - cue_end > _CUE_GAP:
+            return None
+        if span := _iban(text, at):
+            return span
+        end = at
+        while end < len(text) and text[end] in _LABEL and end - at <= _ACCOUNT_MOST + _CUE_GAP:
+            end += 1
+        if any(c in _DIGITS for c in text[at:end]):
+            break
+    last = end
+    while text[last - 1] == "-":
+        last -= 1
+    if last == end:
+        last = _groups(text, at, end)
+    digits = sum(c in _DIGITS for c in text[at:last])
+    return ("account", at, last) if _ACCOUNT_LEAST <= last - at <= _ACCOUNT_MOST and digits >= 4 else None
 
 
 def find(text: str, automaton) -> list[Span]:

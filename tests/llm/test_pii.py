@@ -54,6 +54,23 @@ def test_added_kinds_and_redaction():
     assert pii.find("", pii.anchors()) == []
 
 
+def test_labels_and_groups_after_a_cue():
+    numbers = {
+        "Account Number: {}": "12345678", "Account No. {}": "12345678", "Passport No: {}": "X1234567", "Social Security Number: {}": "123-45-6789",
+        "the account number is {}": "12345678", "SSN {}": "123 45 6789", "Steuernummer: {}": "12/345/67890", "account {}": "1234 5678 9012",
+        "Konto Nr. {}": "123.456.7890", "passport no. {}": "x1234567", "account no {}": "12345678",
+    }
+    for form, number in numbers.items():
+        for tail in ("", ", and", ". Then 3", " was", " 9th", "\n77"):
+            text = form.format(number) + tail
+            assert [text[a:b] for k, a, b in pii.find(text, pii.anchors()) if k == "account"] == [number], text
+    assert pii.redact("IBAN Number DE89 3704 0044 0532 0130 00.", pii.find("IBAN Number DE89 3704 0044 0532 0130 00.", pii.anchors())) == "IBAN Number <IBAN>."
+    row = "account 12345678 " + " ".join(map(str, range(10, 40)))
+    assert [(a, row[a:b].startswith("12345678 10"), b - a <= 34) for k, a, b in pii.find(row, pii.anchors()) if k == "account"] == [(8, True, True)]
+    for text in ("account balance 12345.50", "Account holder Jane", "account 1234", "Account", "the account of Mr Smith has 12345678"):
+        assert pii.find(text, pii.anchors()) == [], text
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "a@b.co", 6, "x"), (None, None, None, "y"), (1, "", 0, "z")], "doc_id long, text string, n_chars long, spans string")
     rows = pii.find_pii(df).collect()
