@@ -1,11 +1,12 @@
 """Language identification by prediction by partial matching.
 
 For each language a variable-order byte context tree is counted over the
-training texts; escape probabilities (method C, with exclusion) blend its
-orders into one exact probability of every byte after every context. The
-statistics are frozen, so the tree of a language is laid out as a table of code
-lengths, contexts by next byte, and a text's code length under a language is a
-sum of look-ups. The shortest code wins.
+training texts in lower case; escape probabilities (method C, with exclusion)
+blend its orders into one exact probability of every one of 256 bytes after
+every context. The statistics are frozen, so the tree of a language is laid out
+as sorted tables of what it has seen: code lengths of bytes in context, and of
+escapes from contexts, for each order. A text's code length under a language is
+a sum of look-ups. The shortest code wins.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of context, and entries of all tables at most (4 bytes each).
-ORDER, MAX_ENTRIES = 3, 16_000_000
-#: Byte classes at most: the most frequent bytes, and one for all others.
-MAX_CLASSES = 48
+from .common import written
+
+#: Bytes of context; with the byte itself they fill 32 bits.
+ORDER = 3
+#: Bytes that are looked up at once.
+STEP = 1 << 18
 #: Training texts of a language, in expectation; a language with fewer gives all.
 FIT_DOCS = 4000
 #: Bytes that the posterior counts as one independent observation.
@@ -41,12 +43,12 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
 
 
-def packed(data: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
-    """For each byte the number of its context and itself: ``ORDER + 1`` digits to the base ``n``."""
-    c = np.concatenate([np.full(ORDER, classes[32], np.int64), classes[data]])
+def packed(data: np.ndarray) -> np.ndarray:
+    """For each byte its context and itself, as one number of ``ORDER + 1`` bytes."""
+    c = np.concatenate([np.full(ORDER, 32, np.uint32), data.astype(np.uint32)])
     out = c[: len(data)]
     for k in range(1, ORDER + 1):
-        out = out * n + c[k : k + len(data)]
+        out = out << 8 | c[k : k + len(data)]
     return out
 
 
@@ -71,18 +73,56 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return -np.log2(np.maximum(p, 1e-300))
 
 
-def _classes(byte_counts: pd.DataFrame, n_langs: int) -> tuple[np.ndarray, int]:
-    """Class of each byte value, and how many classes there are."""
-    most = min(MAX_CLASSES, int((MAX_ENTRIES / max(1, n_langs)) ** (1 / (ORDER + 1))))
-    top = byte_counts.sort_values(["n", "gram"], ascending=[False, True])["gram"].tolist()[: most - 1]
-    classes = np.zeros(256, np.int64)  # class 0: all other bytes
-    for i, b in enumerate(sorted(top)):
-        classes[b] = i + 1
-    return classes, len(top) + 1
+Order = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
 
+def tree(grams: np.ndarray, counts: np.ndarray) -> list[Order]:
+    """``code_lengths`` over 256 bytes, of what was seen alone.
 
-def _counted(train: DataFrame, classes: np.ndarray | None, n: int) -> pd.DataFrame:
-    """Counts of bytes (without ``classes``) or of bytes in context, by language."""
+    For each order the sorted contexts with their byte and its bits, and the
+    sorted contexts and the bits of an escape from each: with those, a byte
+    that a context hasn't shown has the bits of the next shorter one.
+    """
+    orders, above, p = [], np.zeros(0, np.uint32), np.zeros(0)
+    for k in range(ORDER + 1):
+        keys, at = np.unique(grams.astype(np.uint32) & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        c = np.bincount(at, counts, len(keys))
+        contexts, own = np.unique(keys >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(own, c, len(contexts)), np.bincount(own, minlength=len(contexts))
+        lower = p[np.searchsorted(above, keys & np.uint32((1 << 8 * k) - 1))] if k else np.full(len(keys), 1 / 256)
+        full = kinds == 256
+        rest = np.where(full, 1.0, np.maximum(1 - np.bincount(own, lower, len(contexts)), 1e-15))
+        above, p = keys, c / (total + np.where(full, 0, kinds))[own]
+        orders.append((keys, -np.log2(p).astype(np.float32), contexts, -np.log2(kinds / (total + kinds) / rest).astype(np.float32)))
+    return orders
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are keys, and the values of those."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), values
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, values[at[hit]]
+
+
+def bits_of(orders: list[Order], grams: np.ndarray) -> np.ndarray:
+    """Bits of each byte in context, by the longest context that has shown it and the escapes on the way."""
+    out, left = np.zeros(len(grams)), np.arange(len(grams))
+    for k in range(ORDER, -1, -1):
+        keys, bits, contexts, escapes = orders[k]
+        g = grams[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+        hit, b = _found(keys, bits, g)
+        out[left[hit]] += b
+        left, g = left[~hit], g[~hit]
+        hit, b = _found(contexts, escapes, g >> np.uint32(8))
+        out[left[hit]] += b
+    out[left] += 8.0
+    return out
+
+
+def _counted(train: DataFrame) -> DataFrame:
+    """Counts of bytes in context, by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -98,66 +138,77 @@ def _counted(train: DataFrame, classes: np.ndarray | None, n: int) -> pd.DataFra
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = _bytes(text.as_py())
-                held.setdefault(lang, []).append(data.astype(np.int64) if classes is None else packed(data, classes, n))
+                held.setdefault(lang, []).append(packed(_bytes(text.as_py())))
                 if sum(map(len, held[lang])) > 1 << 21:
                     merge(lang)
         for lang in list(held):
             merge(lang)
         for lang, (grams, counts) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
-    return train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Languages, byte classes and their table of code lengths: contexts and symbols by language."""
-
-    def __init__(self, langs: list[str], classes: np.ndarray, n: int, bits: np.ndarray):
-        self.langs, self.classes, self.n, self.bits = langs, classes, n, bits
-
-    def code(self, text: str) -> np.ndarray:
-        """Bits of the whole text under each language."""
-        data, total = _bytes(text), np.zeros(len(self.langs))
-        step = 1 << 20
-        at = packed(data, self.classes, self.n)
-        for i in range(0, len(at), step):
-            total += self.bits[at[i : i + step]].sum(0, dtype=np.float64)
+    """Languages and the context tree of each."""
+
+    def __init__(self, langs: list[str], trees: list[list[Order]]):
+        self.langs, self.trees = langs, trees
+
+    def codes(self, texts: list[str]) -> np.ndarray:
+        """Bits of whole texts (rows) under each language."""
+        total = np.zeros((len(texts), len(self.langs)))
+        pieces: list[tuple[int, np.ndarray]] = []
+
+        def add() -> None:
+            every, at = np.unique(np.concatenate([x for _, x in pieces]), return_inverse=True)
+            starts = np.cumsum([0, *(len(x) for _, x in pieces[:-1])])
+            for j, orders in enumerate(self.trees):
+                np.add.at(total[:, j], [i for i, _ in pieces], np.add.reduceat(bits_of(orders, every)[at], starts))
+            pieces.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            grams = packed(_bytes(text))
+            for k in range(0, len(grams), STEP):
+                pieces.append((i, grams[k : k + STEP]))
+                held += len(pieces[-1][1])
+                if held >= STEP:
+                    add()
+                    held = 0
+        if pieces:
+            add()
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.code(text)
-        less = (bits - bits.min()) * (np.log(2) / DEPENDENCE)
-        return self.langs[int(bits.argmin())], float(1 / np.exp(-np.minimum(less, 700)).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, able = [(UNKNOWN, 0.0)] * len(texts), [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        for i, bits in zip(able, self.codes([texts[i] for i in able]), strict=True):
+            less = (bits - bits.min()) * (np.log(2) / DEPENDENCE)
+            out[i] = self.langs[int(bits.argmin())], float(1 / np.exp(-np.minimum(less, 700)).sum())
+        return out
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """The model of ``docs`` (``doc_id``, ``text``, ``lang``, all labelled).
 
     Counts are summed over a sample of whole texts, chosen by a hash of the id
-    so that a language gives ``fit_docs`` in expectation. What reaches the
-    driver is bounded by ``MAX_ENTRIES``.
+    so that a language gives ``fit_docs`` in expectation. The driver reads the
+    counts of one language at a time and keeps its tree.
     """
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros(256, np.int64), 1, np.zeros((1, 0), np.float32))
+        return Model([], [])
     share = F.lit(0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, int(1e6 * min(1.0, fit_docs / sizes[lang]))).otherwise(share)
     train = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share)
-    byte_counts = _counted(train, None, 256).groupby("gram", as_index=False)["n"].sum()
-    classes, n = _classes(byte_counts, len(langs))
-    grams = _counted(train, classes, n)
-    bits = np.empty((n ** (ORDER + 1), len(langs)), np.float32)
-    for i, lang in enumerate(langs):
-        counts = np.zeros(n ** (ORDER + 1), np.float32)
-        own = grams[grams["lang"] == lang]
-        counts[own["gram"].to_numpy(np.int64)] = own["n"].to_numpy(np.float32)
-        bits[:, i] = code_lengths(counts.reshape((n,) * (ORDER + 1))).ravel()
-    return Model(langs, classes, n, bits)
+    grams = written(_counted(train).sortWithinPartitions("lang"), "langid-grams")
+    trees = []
+    for lang in langs:
+        own = grams.where(F.col("lang") == lang).select("gram", "n").toPandas()
+        trees.append(tree(own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)))
+    return Model(langs, trees)
 
 
 def predict_language(docs: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 4, held: int = 2) -> DataFrame:
@@ -180,7 +231,7 @@ def predict_language(docs: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 4,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(2)]
+            found = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
