@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.unicode import sequence_ratio
-
 HIT, TYPO = 0.85, 0.70
+#: Names of a block.
+BLOCK = 512
 # Words that speak for a language's pack.
 PACKS = {
     "en": ("the", "and", "of", "total", "invoice", "amount", "date", "tax"), "de": ("der", "die", "das", "und", "rechnung", "betrag", "datum", "mwst"),
@@ -16,27 +19,48 @@ PACKS = {
 }
 
 
-def trigrams(name: Column) -> Column:
-    """Runs of three letters of a padded name, each once."""
-    padded = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+def _best(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
+    """For each name of a block the best known one of another block, by ratio, then name."""
+    names, known = left["name"].tolist(), sorted(right["known"])
+    shared = np.zeros((len(names), len(known)), np.int32)
+    for c in set("".join(names)) & set("".join(known)):
+        shared += np.minimum.outer([x.count(c) for x in names], [x.count(c) for x in known]).astype(np.int32)
+    total = np.add.outer([len(x) for x in names], [len(x) for x in known])
+    bounds = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+    found = []
+    for name, row in zip(names, bounds, strict=True):
+        top: tuple[float, str] | None = None
+        for j in np.argsort(-row, kind="stable"):
+            if row[j] < least or top and row[j] < -top[0]:
+                break
+            ratio = difflib.SequenceMatcher(None, name, known[j]).ratio()
+            if ratio >= least and (top is None or (-ratio, known[j]) < top):
+                top = -ratio, known[j]
+        if top:
+            found.append((name, top[1], -top[0]))
+    return pd.DataFrame(found, columns=["name", "known", "ratio"])
 
 
 def fuzzy_matches(names: DataFrame, known: DataFrame, least: float = TYPO) -> DataFrame:
     """For each name the best known one whose sequence ratio is ``least`` or more: a hit, or likely a misspelling.
 
-    A name and a known one that share no run of three letters can't reach the
-    ratio for names of ten letters and more, so they meet on shared runs and
-    the ratio is taken of the pairs that share a third of the shorter's.
+    Distinct names meet all known ones, in pairs of blocks. The letters that
+    two names share, in any order, bound their ratio from above, so the ratio
+    is taken only where that bound reaches ``least`` and the best found so far.
     """
-    a = names.select("id", F.lower("name").alias("name"), trigrams(F.col("name")).alias("grams"))
-    b = known.select(F.lower("known").alias("known"), trigrams(F.col("known")).alias("k_grams")).distinct()
-    keyed = a.select("name", "grams").distinct().select("name", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    other = b.select("known", F.size("k_grams").alias("k_n"), F.explode("k_grams").alias("g"))
-    met = keyed.join(other, "g").groupBy("name", "known", "n", "k_n").agg(F.count("*").alias("shared")).where(F.col("shared") * 3 >= F.least("n", "k_n"))
-    scored = met.withColumn("ratio", sequence_ratio("name", "known")).where(F.col("ratio") >= least)
-    best = F.row_number().over(W.partitionBy("name").orderBy(F.desc("ratio"), "known"))
-    top = scored.withColumn("r", best).where("r = 1").select(F.col("name").alias("t_name"), "known", "ratio")
+    a = names.select("id", F.lower("name").alias("name"))
+    one = a.where("name IS NOT NULL").select("name").distinct()
+    two = known.select(F.lower("known").alias("known")).where("known IS NOT NULL").distinct()
+    n, m = (max(1, -(-x.count() // BLOCK)) for x in (one, two))
+    one = one.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"))
+    two = two.select("known", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("known"), F.lit(m)).alias("j"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best(left, right, least)
+
+    scored = one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, "name string, known string, ratio double")
+    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "known")).alias("b"))
+    top = best.select(F.col("name").alias("t_name"), "b.known", (-F.col("b.less")).alias("ratio"))
     j = a.join(top, a["name"] == top["t_name"], "left")
     kind = F.when(F.col("ratio") == 1.0, "exact").when(F.col("ratio") > HIT, "hit").when(F.col("ratio").isNotNull(), "typo")
     return j.select("id", "known", F.round("ratio", 6).alias("ratio"), kind.alias("match"))

@@ -130,3 +130,19 @@ def test_fuzzy_names_by_brute_force(spark):
     for i, name in enumerate(names):
         ratio, best = max((difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio(), k.lower()) for k in known) if name else (0, None)
         assert got[i] == ((best, "exact" if ratio == 1 else "hit" if ratio > 0.85 else "typo") if ratio >= 0.7 else (None, None))
+
+
+def test_fuzzy_names_with_spread_substitutions(spark, monkeypatch):
+    import difflib
+    import random
+
+    from tallyguard.operators import merchants
+
+    rng = random.Random(3)
+    known = ["walmart", "supermarket", "aldi", "lidl", "a", ""] + ["".join(rng.choice("abcdeo") for _ in range(rng.randrange(3, 14))) for _ in range(30)]
+    names = ["wolmort", "sapermorkat", "", "b", "Aldo"] + ["".join(rng.choice("aeo") if rng.random() < 0.25 else c for c in rng.choice(known)) for _ in range(60)]
+    monkeypatch.setattr(merchants, "BLOCK", 16, raising=False)
+    got = {r.id: (r.known, r.ratio) for r in merchants.fuzzy_matches(spark.createDataFrame(list(enumerate(names)), "id long, name string"), spark.createDataFrame([(k,) for k in known], "known string")).collect()}
+    for i, name in enumerate(names):
+        less, best = min((-difflib.SequenceMatcher(None, name.lower(), k).ratio(), k) for k in known)
+        assert got[i] == ((best, round(-less, 6)) if -less >= 0.7 else (None, None))
