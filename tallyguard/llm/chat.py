@@ -1,9 +1,11 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions alone.
 
-A log of events is partitioned by conversation and turn, sorted by sequence and
-folded into the turn's final messages; turns are rendered one by one, joined in
-bounded chunks and the chunks joined to a conversation, so no task but the one
-that holds the finished row meets a whole conversation.
+A log of events is partitioned by conversation and, within it, by the turn that
+an event addresses; sorted by sequence it folds into the turn's final messages.
+What reaches across turns is the sequence: a regeneration voids all that later
+turns had said before it. Messages are rendered one by one, joined in bounded
+chunks and the chunks joined to a conversation, so no task but the one that
+holds the finished row meets a whole conversation.
 
 Rendered, a message is ``<|turn|>role\\ntext<|end|>\\n``. Control strings inside
 roles and texts get a backslash after their first character and backslashes are
@@ -14,18 +16,18 @@ escaping backslash restores the text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import let
 
 TURN, END = "<|turn|>", "<|end|>\n"
-#: Turns joined at once before the conversation is.
-CHUNK_TURNS = 64
+#: Turns joined at once before the conversation is, and turns that one window of sequence numbers spans.
+CHUNK_TURNS, CUT_TURNS = 64, 4096
 
 # What an event does to its turn.
 MESSAGE, DELTA, EDIT, REGENERATE = "message", "delta", "edit", "regenerate"
 
-MESSAGES = "array<struct<role:string,text:string>>"
 #: Where an escaping backslash goes: in "<|", in "<s>", "</s>", "[INST]", "[/INST]".
 _CONTROL = r"(<)(?=\||/?s>)|(\[)(?=/?INST\])"
 
@@ -43,59 +45,112 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log by which ``rows`` (``conv_id``, ``turn``, ``role``, ``text``) could have come about.
+
+    Turns take three forms, by number: a text streamed in thirds; a draft that
+    is edited to the text's first half, the rest streamed; a false start that
+    is answered in the next turn, then regenerated and streamed in halves.
+    Each row is a message of its own; ``seq`` is its turn and the event's
+    number. Null turns take the first form.
+    """
+    n, form = F.length(F.coalesce("text", F.lit(""))), F.coalesce(F.pmod("turn", F.lit(3)), F.lit(0))
+    after = F.try_add("turn", F.lit(1).cast("long"))
+
+    def event(k: int, kind: str, start: Column, length: Column, *, ahead: bool = False) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), start.cast("int").alias("start"), length.cast("int").alias("length"), F.lit(ahead).alias("ahead"))
+
+    one, third, half = F.lit(1), F.floor(n / 3), F.floor(n / 2)
+    thirds = F.array(event(0, MESSAGE, one, third), event(1, DELTA, third + 1, third), event(2, DELTA, 2 * third + 1, n))
+    edited = F.array(event(0, MESSAGE, half + 1, n), event(1, EDIT, one, half), event(2, DELTA, half + 1, n))
+    again = F.array(event(0, MESSAGE, half + 1, n), event(1, MESSAGE, one, half, ahead=True), event(2, REGENERATE, one, F.lit(0)), event(3, DELTA, one, half), event(4, DELTA, half + 1, n))
+    known = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", F.monotonically_increasing_id().alias("row"))
+    log = known.withColumn("e", F.explode(F.when(form == 0, thirds).when(form == 1, edited).otherwise(again)))
+    ahead = F.col("e.ahead")
+    return log.where(~ahead | after.isNotNull()).select(
+        "conv_id",
+        F.when(ahead, after).otherwise(F.col("turn")).alias("turn"),
+        F.when(ahead, -1 - F.col("row")).otherwise(F.col("row")).alias("message"),
+        F.struct("turn", "e.k").alias("seq"),
+        F.col("e.kind").alias("kind"),
+        "role",
+        F.substring("text", F.col("e.start"), F.col("e.length")).alias("text"),
+    )
+
+
+def _voids(log: DataFrame) -> DataFrame:
+    """For each ``at`` (conversation and turn) the last sequence number at which an earlier turn was regenerated, or null.
+
+    A running maximum over turns, in two steps: within ``CUT_TURNS`` turns, and
+    over the maxima of those.
+    """
+    turns = log.groupBy("at").agg(F.max(F.when(F.col("kind") == REGENERATE, F.col("seq"))).alias("own"))
+    turns = turns.select("at", "own", F.struct(F.col("at.conv_id").alias("conv_id"), F.floor(F.col("at.turn") / CUT_TURNS).alias("chunk")).alias("part"))
+    parts = turns.groupBy("part").agg(F.max("own").alias("most"))
+    over = W.partitionBy("part.conv_id").orderBy(F.col("part.chunk").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("part", F.max("most").over(over).alias("before"))
+    inside = W.partitionBy("part").orderBy(F.col("at.turn").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    turns = turns.withColumn("inner", F.max("own").over(inside))
+    return turns.join(parts, "part").select("at", F.greatest("inner", "before").alias("void"))
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """The final messages of every turn: ``conv_id``, ``turn``, ``messages``.
-
-    Events have ``conv_id``, ``turn``, ``seq``, ``kind``, ``role``, ``text``
-    and are folded in the order of seq, role, kind, text (nulls first):
-    ``message`` starts a message; ``delta`` appends to the turn's last message
-    of the same role, or starts one; ``edit`` replaces the last message's text;
-    ``regenerate`` empties it, for the deltas that follow. An edit of nothing
-    is a message, a regenerate of nothing does nothing. Other and null kinds
-    count as messages. Null roles and texts are empty.
+    """The final messages, a row each: ``conv_id``, ``turn``, ``seq`` (of its first event), ``role``, ``text``.
+
+    Events have ``conv_id``, ``turn``, ``seq`` (a number, or a struct of
+    them), ``kind``, ``role``, ``text`` and, where a turn holds several, may
+    name their ``message``. A message's events are folded in the order of seq,
+    role, kind, text (nulls first): ``message`` starts a message; ``delta``
+    appends to it, or starts one where there is none or the role is not that
+    of the event before; ``edit`` replaces the text; ``regenerate`` empties it,
+    for the deltas that follow, and voids all events of later turns with a
+    smaller seq. An edit of nothing is a message, a regenerate of nothing
+    does nothing. Other and null kinds count as messages, null roles and texts
+    as empty; a null seq comes first and is never void.
     """
     empty = F.lit("")
     log = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce("role", empty).alias("role"), F.coalesce("kind", F.lit(MESSAGE)).alias("kind"), F.coalesce("text", empty).alias("text")).alias("e"),
-    )
-    grouped = log.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("log"))
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        fresh = F.concat(done, F.array(F.struct(e["role"].alias("role"), e["text"].alias("text"))))
+        F.struct(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")).alias("at"),
+        (events["message"] if "message" in events.columns else F.lit(None).cast("long")).alias("message"),
+        "seq", F.coalesce("role", empty).alias("role"), F.coalesce("kind", F.lit(MESSAGE)).alias("kind"), F.coalesce("text", empty).alias("text"),
+    )
+    live = log.join(_voids(log), "at").where(~F.coalesce(F.col("seq") < F.col("void"), F.lit(False)))
+    grouped = live.groupBy("at", "message").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "kind", "text"))).alias("log"))
+
+    def starts(e: Column, i: Column, log: Column) -> Column:
+        follows = e["kind"].isin(EDIT, REGENERATE) | ((e["kind"] == DELTA) & (e["role"] == F.get(log, i - 1)["role"]))
+        return (i == 0) | ~F.coalesce(follows, F.lit(False))
+
+    def cut(log: Column) -> Column:
+        """Where messages start: positions from 1, and the end."""
+        at = F.filter(F.transform(log, lambda e, i: F.when(starts(e, i, log), i + 1)), lambda i: i.isNotNull())
+        return F.concat(at, F.array(F.size(log) + 1))
 
-        def changed(text):
-            return F.concat(head, F.array(F.struct(last["role"].alias("role"), text.alias("text"))))
+    def message(part: Column) -> Column:
+        base = F.array_max(F.transform(part, lambda e, i: F.when(e["kind"] != DELTA, i)))
+        tail = F.filter(part, lambda e, i: (i >= F.coalesce(base, F.lit(0))) & (e["kind"] != REGENERATE))
+        text = F.array_join(F.transform(tail, lambda e: e["text"]), "")
+        return F.when(F.exists(part, lambda e: e["kind"] != REGENERATE), F.struct(part[0]["seq"].alias("seq"), part[0]["role"].alias("role"), text.alias("text")))
 
-        some = F.size(done) > 0
-        return (
-            F.when((e["kind"] == DELTA) & some & (last["role"] == e["role"]), changed(F.concat(last["text"], e["text"])))
-            .when((e["kind"] == EDIT) & some, changed(e["text"]))
-            .when(e["kind"] == REGENERATE, F.when(some, changed(empty)).otherwise(done))
-            .otherwise(fresh)
-        )
+    def messages(log: Column) -> Column:
+        return let(cut(log), lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: let(F.slice(log, at[k], at[k + 1] - at[k]), message)))
 
-    plain = ~F.exists("log", lambda e: e["kind"].isin(DELTA, EDIT, REGENERATE))
-    straight = F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text"))).cast(MESSAGES)
-    folded = F.when(plain, straight).otherwise(F.aggregate("log", F.array().cast(MESSAGES), step))
-    return grouped.select("conv_id", "turn", folded.alias("messages"))
+    folded = grouped.select("at.conv_id", "at.turn", F.explode(F.array_compact(let(F.col("log"), messages))).alias("m"))
+    return folded.select("conv_id", "turn", "m.seq", "m.role", "m.text")
 
 
-def render(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def render(messages: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """One row for each conversation: ``conv_id``, ``formatted``.
 
-    ``turns`` is what ``fold`` returns. Turns are joined by number, nulls
-    first, in chunks of ``chunk_turns`` numbers and then whole.
+    ``messages`` is what ``fold`` returns. They are joined by turn, seq, role
+    and text, nulls first, in chunks of ``chunk_turns`` turns and then whole.
     """
-    message = F.transform("messages", lambda m: F.concat(F.lit(TURN), escape_role(m["role"]), F.lit("\n"), escape(m["text"]), F.lit(END)))
-    turn = turns.select("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"), F.struct("turn", F.array_join(message, "").alias("part")).alias("p"))
-    for by, order in ((["conv_id", "chunk"], "chunk"), (["conv_id"], None)):
-        joined = turn.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["part"]), "").alias("part"))
-        turn = joined.select("conv_id", F.struct(F.col(order), "part").alias("p")) if order else joined
-    return turn.withColumnRenamed("part", "formatted")
+    own = messages.select("conv_id", F.floor(F.col("turn") / chunk_turns).alias("chunk"), F.struct("turn", "seq", "role", "text").alias("m"))
+    parts = own.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    written = F.transform("ms", lambda m: F.concat(F.lit(TURN), escape_role(m["role"]), F.lit("\n"), escape(m["text"]), F.lit(END)))
+    parts = parts.select("conv_id", F.struct("chunk", F.array_join(written, "").alias("part")).alias("p"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return whole.select("conv_id", F.array_join(F.transform("ps", lambda p: p["part"]), "").alias("formatted"))
 
 
 def parse(formatted: Column) -> Column:
@@ -118,9 +173,10 @@ def format_conversations(events: DataFrame, **options) -> DataFrame:
     newline after ``<|turn|>assistant`` and ``<|end|>``.
 
     A null conv_id is a conversation of its own and null turns come first;
-    rows of one turn follow one another in the order of ``fold``. Repeated
-    rows are repeated messages. Extra columns are ignored; an empty table gives
-    no rows.
+    messages of one turn follow one another in the order of ``render``.
+    Repeated message events are repeated messages. Extra columns are ignored
+    (``message`` is one of the log's own); an empty table, and a conversation
+    of which nothing is left, give no rows. A text of any length is one text.
     """
     rendered = render(fold(events), **options)
     return rendered.withColumn("messages", parse(F.col("formatted")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import MESSAGE, digests, format_conversations
+from .chat import digests, format_conversations, streamed
 from .common import table
 from .jaccard import near_duplicates
 from .langid import predict_language
@@ -72,12 +72,11 @@ FROM e
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1 formatted, as read back from the output."""
+    """All conversations and conversation -1, each row a stream of events, folded and formatted, as read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = F.lit("</s>[INST] ok [/INST]").alias("text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), ok)
-    events = rows.unionByName(own).withColumns({"seq": F.col("turn"), "kind": F.lit(MESSAGE)})
-    return digests(format_conversations(events))
+    return digests(format_conversations(streamed(rows.unionByName(own))))
 
 
 OP5_SQL = r"""
