@@ -4,7 +4,8 @@ Small transducers read the words of a clause: one marks insults, one threats,
 one targets, one rewrites what stands under a negation and one what stands in
 reported speech. They are composed into one machine, and a clause is scored by
 the weights of the marks that the machine writes, so an insult that is denied,
-quoted or aimed at someone counts as that and not as a bare word.
+quoted or aimed at someone, before or after it, counts as that and not as a
+bare word, and a threat needs its intention: "will", "going to", "should".
 
 The insults, their weights and those of the marks are learned from labels: a
 word or the beginning of a word weighs by how much more often it stands in
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .langid import fold_of
 
-#: Labelled texts that are learned from, in expectation, and features kept at most.
-FIT_DOCS, MAX_INSULTS = 20_000, 20_000
+#: Labelled texts that are learned from, in expectation: what the driver gathers is bounded by their words.
+FIT_DOCS = 20_000
 #: Features, and places of features, that a task holds before it hands them on.
 HELD_FEATURES, HELD_PLACES = 100_000, 1_000_000
 #: Bits of a place: two hashes of 32 bits, the first times 31.
@@ -42,21 +43,38 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_PLACES, LEAST_NATS, LEAST_WEIGHT = 4, 10.0, 2.0
 #: The log-odds of a seed or a threat.
 SEED_WEIGHT = 6.0
-#: Words after a negation that it covers.
-NEGATED_WORDS = 3
+#: Words after a negation, and after a word of reporting, that it covers.
+NEGATED_WORDS, REPORTED_WORDS = 3, 8
 
 # Seed insults, used where no labels are, and the closed word classes.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-TARGETS = ("du", "elle", "er", "he", "il", "ils", "she", "they", "tu", "usted", "ustedes", "vous", "you", "your", "ihr", "él")
+TARGETS = (
+    "you", "your", "he", "him", "she", "her", "they", "them",
+    "du", "dich", "dir", "dein", "deine", "ihr", "euch", "er", "ihn", "ihm",
+    "tu", "te", "toi", "ton", "vous", "il", "elle", "ils", "elles", "lui", "leur",
+    "tú", "ti", "usted", "ustedes", "él", "ella", "ellos", "ellas",
+)
 NEGATIONS = ("aucun", "jamais", "kein", "keine", "never", "nicht", "ni", "nor", "not", "nunca", "pas", "sin")
 REPORTS = ("affirme", "asked", "behauptet", "called", "claimed", "dijo", "disait", "quoted", "reported", "said", "sagte", "says")
-WILLS = ("gonna", "will", "shall", "werde", "vais", "voy")
-HARMS = ("beat", "destroy", "hurt", "kill", "murder", "schlagen", "tuer", "töten", "matar", "golpear")
+CONTRASTS = ("but", "yet", "aber", "sondern", "mais", "pero", "sino")
+WILLS = (
+    "will", "ll", "shall", "should", "must", "gonna", "going", "want", "wanna", "plan",
+    "werde", "werden", "wird", "soll", "sollte", "muss", "will",
+    "vais", "va", "vas", "allons", "veux", "dois", "devrait",
+    "voy", "vas", "vamos", "quiero", "debo", "debería",
+)
+HARMS = (
+    "beat", "crush", "destroy", "hurt", "kill", "murder", "shoot", "smash", "stab", "strangle",
+    "schlagen", "töten", "umbringen", "verprügeln", "zerstören",
+    "cogner", "détruire", "frapper", "tuer",
+    "destruir", "golpear", "matar", "pegar",
+)
 
 WORDS = re.compile(r"[^\W\d_]+")
-_CLAUSES = re.compile(r"[.!?;:,\n]+")
+_CLAUSES = re.compile(r"[.!?;:\n]+")
+_SYMBOLS = re.compile(r"[^\W\d_]+|,")
 #: The marks that are weighed, in order.
-MARKS = ("insult", "insult+target", "insult+negated", "insult+reported", "threat", "threat+negated")
+MARKS = ("insult", "insult+target", "insult+negated", "insult+reported", "threat", "threat+target", "threat+negated")
 
 
 class Transducer:
@@ -98,21 +116,56 @@ class Transducer:
         return out
 
 
-ALPHABET = ("other", "insult", "target", "neg", "report", "will", "harm")
+ALPHABET = ("other", "insult", "target", "neg", "report", "will", "harm", "comma", "contrast")
 
 
-def grammar() -> Transducer:
-    """All transducers in one, over the word classes of ``ALPHABET``."""
-    threat = Transducer({(0, "will"): (1, None), (1, "harm"): (0, "threat"), (1, "target"): (1, None), (1, "other"): (2, None), (2, "harm"): (0, "threat"), (2, None): (0, None)})
-    negated = {(0, "neg"): (1, None)}
+def threats() -> Transducer:
+    """An intention, up to two words, a harm; a target between them or within two words after makes it aimed."""
+    return Transducer({
+        (0, "will"): ("will", None),
+        ("will", "harm"): ("done", "threat"), ("will", "target"): ("aimed", None), ("will", "other"): ("will1", None), ("will", "contrast"): (0, None),
+        ("will1", "harm"): ("done", "threat"), ("will1", "target"): ("aimed", None), ("will1", "neg"): ("will1", None), ("will1", "other"): ("will2", None), ("will1", None): (0, None),
+        ("will2", "harm"): ("done", "threat"), ("will2", "target"): ("aimed", None), ("will2", None): (0, None),
+        ("aimed", "harm"): (0, "threat+target"), ("aimed", "neg"): ("aimed", None), ("aimed", "other"): ("aimed1", None), ("aimed", None): (0, None),
+        ("aimed1", "harm"): (0, "threat+target"), ("aimed1", None): (0, None),
+        ("done", "target"): (0, "threat+target"), ("done", "other"): ("done1", None), ("done", None): (0, None),
+        ("done1", "target"): (0, "threat+target"), ("done1", None): (0, None),
+    })
+
+
+def negations() -> Transducer:
+    """What stands within ``NEGATED_WORDS`` words after a negation, up to a comma or a contrast."""
+    arcs: dict = {(0, "neg"): (1, None)}
     for k in range(1, NEGATED_WORDS + 1):
         after = k + 1 if k < NEGATED_WORDS else 0
-        negated |= {(k, "insult"): (after, "insult+negated"), (k, "threat"): (after, "threat+negated"), (k, "neg"): (1, None), (k, None): (after, None)}
-    reported = Transducer({(0, "report"): (1, None), (1, "insult"): (1, "insult+reported")})
-    target = Transducer({(0, "target"): (1, None), (1, "insult"): (1, "insult+target")})
-    whole = threat
-    alphabet = set(ALPHABET) | {"threat", *MARKS}
-    for machine in (Transducer(negated), reported, target):
+        arcs |= {(k, x): (after, f"{x.split('+')[0]}+negated") for x in ("insult", "threat", "threat+target")}
+        arcs |= {(k, "neg"): (1, None), (k, "comma"): (0, None), (k, "contrast"): (0, None), (k, None): (after, None)}
+    return Transducer(arcs)
+
+
+def reports() -> Transducer:
+    """Insults within ``REPORTED_WORDS`` words after a word of reporting, up to a contrast."""
+    arcs: dict = {(0, "report"): (1, None)}
+    for k in range(1, REPORTED_WORDS + 1):
+        after = k + 1 if k < REPORTED_WORDS else 0
+        arcs |= {(k, "insult"): (after, "insult+reported"), (k, "report"): (1, None), (k, "contrast"): (0, None), (k, None): (after, None)}
+    return Transducer(arcs)
+
+
+def targets() -> Transducer:
+    """Insults after a target, and targets within two words after an insult, up to a contrast."""
+    return Transducer({
+        (0, "target"): ("named", None), (0, "insult"): ("said", None),
+        ("named", "insult"): ("named", "insult+target"), ("named", "contrast"): (0, None),
+        ("said", "target"): ("named", "insult+target"), ("said", "comma"): ("said", None), ("said", "insult"): ("said", None), ("said", "other"): ("said1", None), ("said", None): (0, None),
+        ("said1", "target"): ("named", "insult+target"), ("said1", "comma"): ("said1", None), ("said1", "insult"): ("said", None), ("said1", None): (0, None),
+    })
+
+
+def grammar() -> Transducer:
+    """All transducers in one, over the word classes of ``ALPHABET``."""
+    whole, alphabet = threats(), {*ALPHABET, *MARKS}
+    for machine in (negations(), reports(), targets()):
         whole = whole.compose(machine, alphabet)
     return whole
 
@@ -128,9 +181,9 @@ class Scorer:
         import ahocorasick
 
         self.insults = dict(insults)
-        self.weights = np.array([-4.0, 1.0, 0.5, 0.5, -0.5, -0.5, 0.5, -0.5]) if weights is None else weights
+        self.weights = np.array([-4.0, 1.0, 0.5, 0.5, -1.5, -1.2, 0.5, 1.0, -1.5]) if weights is None else weights
         self.lengths = sorted({len(x) - 1 for x in self.insults if x.endswith("*")}, reverse=True)
-        self.classes = {w: kind for kind, group in (("target", TARGETS), ("neg", NEGATIONS), ("report", REPORTS), ("will", WILLS), ("harm", HARMS)) for w in group}
+        self.classes = {w: kind for kind, group in (("target", TARGETS), ("neg", NEGATIONS), ("report", REPORTS), ("will", WILLS), ("harm", HARMS), ("contrast", CONTRASTS), ("comma", (",",))) for w in group}
         self.machine = grammar()
         self.cues = ahocorasick.Automaton()
         for cue in {x.rstrip("*") for x, w in self.insults.items() if w >= LEAST_WEIGHT} | set(HARMS):
@@ -154,14 +207,16 @@ class Scorer:
             return out
         for clause in _CLAUSES.split(lower):
             weights, kinds = [], []
-            for word in WORDS.findall(clause):
+            for word in _SYMBOLS.findall(clause):
                 weights.append(self.weight(word))
                 kinds.append("insult" if weights[-1] >= LEAST_WEIGHT else self.classes.get(word, "other"))
             if "insult" not in kinds and "harm" not in kinds:
                 continue
-            for weight, mark in zip(weights, self.machine(kinds), strict=True):
-                if mark in MARKS:
-                    weight = weight if mark.startswith("insult") else SEED_WEIGHT
+            said = 0.0
+            for weight, kind, mark in zip(weights, kinds, self.machine(kinds), strict=True):
+                said = weight if kind == "insult" else said
+                if mark in MARKS:  # a target's mark is of the insult before it
+                    weight = said if mark.startswith("insult") else SEED_WEIGHT
                     out[1 + MARKS.index(mark)] += weight
                     out[0] = max(out[0], weight)
         return out
@@ -245,8 +300,8 @@ def learn(labelled: DataFrame) -> Scorer:
     """The scorer of ``labelled``: ``text`` and ``toxic`` (0/1), of which none is null.
 
     Counting is distributed; the driver gets the features that pass the test
-    and the longer forms of those (``MAX_INSULTS`` at most), and the marks of
-    the sampled texts, a small vector each. Copies of a text would lend their
+    and the longer forms of those, no more than the sample has words, and the
+    marks of the sampled texts, a small vector each. Copies of a text would lend their
     words weight, so what counts in the end are different places, by the words
     before and after, counted exactly. Without texts of both labels the seeds
     stand.
@@ -258,14 +313,12 @@ def learn(labelled: DataFrame) -> Scorer:
     share = sizes[1] / (sizes[0] + sizes[1])
     counts = written(_counts(labelled), "toxicity-counts")
     lopsided = (F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 2 * share / (1 - share) * (F.col("clean") + 1))
-    first = counts.where(lopsided).orderBy(F.col("toxic").desc(), "feature").limit(MAX_INSULTS // 4)
-    candidates = {r["feature"] for r in first.collect()}
+    candidates = {r["feature"] for r in counts.where(lopsided).select("feature").collect()}
     if not candidates:
         return Scorer(seeds())
     stems = [x[:-1] for x in candidates if x.endswith("*")]
     longer = counts.where(F.col("toxic") + F.col("clean") >= 2).where(F.substring("feature", 1, STEMS[0]).isin(sorted({x[: STEMS[0]] for x in stems})) if stems else F.lit(False))
-    longer = longer.orderBy((F.col("toxic") + F.col("clean")).desc(), "feature").limit(MAX_INSULTS - len(candidates))
-    features_at = sorted(candidates | {r["feature"] for r in longer.collect()})
+    features_at = sorted(candidates | {r["feature"] for r in longer.select("feature").collect()})
     shared = context.broadcast(features_at)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +419,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that are predicted toxic, all columns."""
+    """``docs`` without those that are predicted toxic, all columns and types as they are.
+
+    Null, empty and blank texts have no marks and stay unless the learned bias
+    alone rejects; repeated rows stay or go together; labels are read as
+    ``score_toxicity`` reads them, so an empty table of labels leaves the seeds.
+    Extra columns, whatever their names, pass through; an empty table stays
+    empty; a text of any length is read whole.
+    """
     model = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast((model.insults, model.weights))
     at = docs.columns.index("text")
