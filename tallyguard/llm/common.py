@@ -21,28 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where no cluster has set it (tests, local mode) a temporary folder is made
-    once and set as the checkpoint folder of the context.
+    In local mode, where nothing has set it (tests), a temporary folder is made
+    once and set as the checkpoint folder of the context; a cluster without
+    one is an error, since its executors could not read what others wrote.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyguard-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
+class Scratch:
+    """Tables that one run writes to the shared folder to cut lineage, in a folder of their own.
 
     A lost executor then costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete the run's tables: what still reads them must have been written elsewhere."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a table that outlives the call."""
+    return Scratch(df.sparkSession, name)(df, "table")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

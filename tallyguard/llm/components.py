@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, written: Scratch, name: str = "components") -> DataFrame:
     """``node`` and ``root`` (the component's least node) of every node of ``edges`` (a, b).
 
     Each round maps a node to the least of itself and its neighbours and
-    contracts the edges along that map, so stars vanish in one round and paths
-    shrink by a factor. Nothing is collected but a count; each round's tables
-    are written to the shared folder. Self loops give lone nodes; nulls are
+    contracts the edges along that map. Stars vanish in one round; a path
+    shrinks by a factor where its ids are in no order along it, as digests are,
+    but by one node a round where they ascend: give hashed ids. Nothing is
+    collected but a count; each round's tables go to ``written``. Self loops give lone nodes; nulls are
     dropped; an empty list gives no rows.
     """
     pairs = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())

@@ -8,11 +8,14 @@
 3. The band hashes are shuffled: every bucket of two or more names a star of
    candidate links to its least member, and connected stars are the candidate
    groups. Pairs are not written out anywhere.
-4. The candidates' texts alone are fetched, each group goes to one task, and
-   the full n-gram sets of all its pairs are compared as blocks of a matrix
-   product. Groups too large for a task are split by set size (a pair's sizes
-   differ by the threshold's factor at most, so only neighbouring sizes meet)
-   and then by hash, and each pair of blocks is a task.
+4. The candidates' texts alone are fetched, and the full n-gram sets of all
+   pairs of a unit are compared as a matrix product. A unit is a candidate group
+   or, where that is less work, each bucket of the group by itself: a large
+   group that few links chain together has far more pairs than its buckets. A
+   pair that shares several buckets counts in the first band of them only.
+   Units too large for a task are split by set size (a pair's sizes differ by
+   the threshold's factor at most, so only neighbouring sizes meet) and then by
+   hash, and each pair of blocks is a task.
 5. A task returns one row for each member: how many documents it is linked to
    and the least member of its linked part. Components over these give classes.
 """
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 from .components import components
 
 N_WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
-#: Documents and n-grams of one block of a candidate group.
-BLOCK_DOCS, BLOCK_GRAMS = 512, 2_000_000
+#: Documents and n-grams of one block of a unit of comparison.
+BLOCK_DOCS, BLOCK_GRAMS = 128, 2_000_000
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -165,6 +168,10 @@ def _links(threshold: float, n_words: int):
         both = overlaps(a, a if within else [sets[i] for i in right]) if len(left) and len(right) else np.zeros((len(left), len(right)))
         union = sizes[left][:, None] + sizes[right][None, :] - both
         linked[np.ix_(left, right)] = both >= threshold * union - 1e-9
+        if len(pdf) and (band := int(pdf["band"].iloc[0])) > 0:  # the unit is a bucket: pairs that share one of an earlier band count there
+            signed = np.stack(pdf["bands"].to_list())
+            for k in range(band):
+                linked &= signed[:, k][:, None] != signed[:, k][None, :]
         linked |= linked.T
         np.fill_diagonal(linked, False)
         root = np.arange(m)
@@ -208,49 +215,63 @@ def near_duplicates(
     """
     bands = bands_for(threshold, recall, rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+    run = Scratch(docs.sparkSession, "jaccard")
     seen = written(_sketches(texts, n_words, rows, bands), "jaccard-sketches")
-    sets = written(
+    sets = run(
         seen.where("n > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("copy_of"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("bands").alias("bands")),
-        "jaccard-sets",
+        "sets",
     )
 
-    in_bands = sets.select("dig", F.explode("bands").alias("bucket"))
-    stars = in_bands.groupBy("bucket").agg(F.min("dig").alias("b"), F.count("*").alias("c")).where("c > 1").select("bucket", "b")
-    stars = written(stars, "jaccard-stars")
-    groups = components(in_bands.join(stars, "bucket").select(F.col("dig").alias("a"), "b"), "jaccard-groups")
+    zero = F.lit(0)
+    in_bands = sets.select("dig", F.posexplode("bands").alias("band", "bucket"))
+    stars = in_bands.groupBy("bucket").agg(F.min("dig").alias("b"), F.count("*").alias("c")).where("c > 1")
+    stars = run(stars, "stars")
+    groups = components(in_bands.join(stars, "bucket").select(F.col("dig").alias("a"), "b"), run, "groups")
+
+    # Pairs of a group as a whole, and pairs of its buckets.
+    joined = groups.select(F.col("node").alias("dig"), F.col("root").alias("grp"))
+    of_buckets = stars.join(joined.withColumnRenamed("dig", "b"), "b").groupBy("grp").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("chained"))
+    of_groups = joined.groupBy("grp").agg(F.count("*").cast("double").alias("m")).join(of_buckets, "grp")
+    by_bucket = run(of_groups.select("grp", ((F.col("m") > block_docs) & (F.col("chained") < F.col("m") * F.col("m"))).alias("by_bucket")), "units")
+    members = run(joined.join(by_bucket, "grp").join(sets.select("dig", "rep", "cnt", "n", "bands"), "dig"), "members")
+    whole = members.where("NOT by_bucket").select(F.col("grp").alias("unit"), F.lit(-1).alias("band"), "dig", "rep", "cnt", "n", F.lit(None).cast("array<long>").alias("bands"))
+    apart = members.where("by_bucket").select("dig", "rep", "cnt", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
+    apart = apart.join(stars.select("bucket"), "bucket").select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("unit"), "band", "dig", "rep", "cnt", "n", "bands")
+    members = run(whole.unionByName(apart), "unit-members")
 
-    members = written(groups.select(F.col("node").alias("dig"), F.col("root").alias("grp")).join(sets.select("dig", "rep", "cnt", "n"), "dig"), "jaccard-members")
     parts = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int")
-    sizes = written(members.groupBy("grp").agg((parts > 1).alias("large")), "jaccard-sizes")  # a table, so that a large group's rows can be split
-    members = members.join(sizes, "grp")
+    sizes = run(members.groupBy("unit").agg((parts > 1).alias("large")), "unit-sizes")  # a table, so that a large unit's rows can be split
+    members = members.join(sizes, "unit")
     members = members.withColumn("lb", F.when(F.col("large"), F.floor(F.log("n") / math.log(1 / threshold)).cast("int")).otherwise(0))
-    cells = members.where("large").groupBy("grp", "lb").agg(parts.alias("k"))
-    members = written(members, "jaccard-members")
-    cells = written(cells, "jaccard-cells")
+    cells = members.where("large").groupBy("unit", "lb").agg(parts.alias("k"))
+    members = run(members, "sized-members")
+    cells = run(cells, "cells")
     for name, by in (("k", 0), ("k_up", 1), ("k_down", -1)):
-        at = cells.select("grp", (F.col("lb") - by).alias("lb"), F.col("k").alias(name))
-        members = members.join(at, ["grp", "lb"], "left")
+        at = cells.select("unit", (F.col("lb") - by).alias("lb"), F.col("k").alias(name))
+        members = members.join(at, ["unit", "lb"], "left")
     sub = F.pmod(F.xxhash64("dig"), F.col("k")).cast("int")
     lb = F.col("lb")
 
     def task(other, low, low_sub, high, high_sub, side):
-        return F.transform(F.sequence(F.lit(0), other - 1), lambda j: F.struct(F.concat_ws("/", "grp", low, low_sub(j), high, high_sub(j)).alias("task"), side(j).alias("side")))
+        return F.transform(F.sequence(F.lit(0), other - 1), lambda j: F.struct(F.concat_ws("/", "unit", low, low_sub(j), high, high_sub(j)).alias("task"), side(j).alias("side")))
 
     none = F.array().cast("array<struct<task:string,side:int>>")
-    zero = F.lit(0)
-    tasks = F.when(~F.col("large"), F.array(F.struct(F.col("grp").alias("task"), F.lit(-1).alias("side")))).otherwise(
+    tasks = F.when(~F.col("large"), F.array(F.struct(F.col("unit").alias("task"), F.lit(-1).alias("side")))).otherwise(
         F.concat(
             task(F.col("k"), lb, lambda j: F.least(sub, j), lb, lambda j: F.greatest(sub, j), lambda j: F.when(sub > j, 1).when(sub < j, 0).otherwise(-1)),
             F.coalesce(task(F.col("k_up"), lb, lambda j: sub, lb + 1, lambda j: j, lambda j: zero), none),
             F.coalesce(task(F.col("k_down"), lb - 1, lambda j: j, lb, lambda j: sub, lambda j: F.lit(1)), none),
         )
     )
-    wanted = members.select("dig", "cnt", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"), tasks.alias("tasks"))
-    fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["r_id"]) & (texts["th"] == wanted["r_th"]))
-    blocks = fetched.select("dig", "cnt", "text", F.explode("tasks").alias("t")).select("dig", "cnt", "text", "t.task", "t.side")
-    found = written(blocks.groupBy("task").applyInPandas(_links(threshold, n_words), "dig string, links long, root string"), "jaccard-links")
-
-    roots = components(found.where("links > 0").select(F.col("dig").alias("a"), F.col("root").alias("b")), "jaccard-classes")
+    wanted = members.select("dig", "cnt", "band", "bands", tasks.alias("tasks"))
+    of_sets = F.struct(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+    named_rows = run(members.select("dig", of_sets.alias("key")).distinct(), "fetched-keys")
+    fetched = texts.select(F.struct("doc_id", "th").alias("key"), "text").join(named_rows, "key")
+    fetched = run(fetched.groupBy("dig").agg(F.first("text").alias("text")), "texts")  # repeated rows fold before they are shuffled
+    blocks = fetched.join(wanted.withColumn("t", F.explode("tasks")), "dig").select("dig", "cnt", "text", "band", "bands", "t.task", "t.side")
+    found = run(blocks.groupBy("task").applyInPandas(_links(threshold, n_words), "dig string, links long, root string"), "links")
+
+    roots = components(found.where("links > 0").select(F.col("dig").alias("a"), F.col("root").alias("b")), run, "classes")
     links = found.groupBy("dig").agg(F.sum("links").alias("links"))
     named = (
         sets.select("dig", "rep", "copy_of", "cnt")
@@ -258,9 +279,10 @@ def near_duplicates(
         .join(roots.withColumnRenamed("node", "dig"), "dig", "left")
         .select("dig", "rep", "copy_of", (F.coalesce("links", zero) + F.col("cnt") - 1).alias("n_links"), F.coalesce("root", "dig").alias("root"))
     )
-    named = written(named, "jaccard-named")
-    classes = written(named.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("rep").alias("least")), "jaccard-least")
+    named = run(named, "named")
+    classes = run(named.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("rep").alias("least")), "least")
     named = written(named.join(classes, "root").drop("root", "rep"), "jaccard-named")
+    run.remove()
     own = F.col("least").isNull()
     return seen.select("doc_id", "th", "dig").join(named, "dig", "left").select(
         "doc_id",
@@ -275,12 +297,16 @@ def near_duplicates(
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class of near-duplicates, all columns.
 
-    The least (doc_id, text hash) of a class stays, once; documents without
-    words stay all.
+    The least (doc_id, text hash) of a class stays, once, of rows that repeat
+    any one; documents without words (null, empty, blank) stay all, with all
+    their repeats. Null doc_ids are ids like others. Extra columns, whatever
+    their names, stay as they are; an empty table stays empty; texts of any
+    length are compared whole.
     """
-    kept = near_duplicates(docs, **options).where("first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    ids = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__th"])
-    blank = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
-    found = docs.join(kept, ids, "left_semi")
-    worded = found.where(~blank)
-    return worded.dropDuplicates(["doc_id", "text"]).unionByName(found.where(blank))
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
+    blank = F.coalesce(F.length(F.regexp_replace(docs["text"], r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
+    kept = near_duplicates(docs, **options).where("first").select(F.struct("doc_id", "th").alias("__key"))
+    row = F.struct(*(docs[c] for c in docs.columns))
+    once = docs.where(~blank).select(key.alias("__key"), row.alias("__row")).groupBy("__key").agg(F.first("__row").alias("__row"))
+    worded = once.join(kept, "__key", "left_semi").select("__row.*")
+    return worded.unionByName(docs.where(blank))

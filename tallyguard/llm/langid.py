@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 #: Bytes of context; with the byte itself they fill 32 bits.
 ORDER = 3
@@ -203,11 +203,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     for lang in langs:
         share = F.when(F.col("lang") == lang, int(1e6 * min(1.0, fit_docs / sizes[lang]))).otherwise(share)
     train = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share)
-    grams = written(_counted(train).sortWithinPartitions("lang"), "langid-grams")
+    run = Scratch(docs.sparkSession, "langid")
+    grams = run(_counted(train).sortWithinPartitions("lang"), "grams")
     trees = []
     for lang in langs:
         own = grams.where(F.col("lang") == lang).select("gram", "n").toPandas()
         trees.append(tree(own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)))
+    run.remove()
     return Model(langs, trees)
 
 

@@ -317,7 +317,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind and ``n_chars`` counted anew.
 
-    All documents and columns stay; null texts stay null.
+    All documents and columns stay, whatever their names and whatever is null
+    in them; null texts stay null, empty ones empty; repeated rows are changed
+    alike; an empty table stays empty; texts of any length are read whole.
     """
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 

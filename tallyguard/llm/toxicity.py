@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 from .langid import fold_of
 
 #: Labelled texts that are learned from, in expectation: what the driver gathers is bounded by their words.
@@ -311,14 +311,17 @@ def learn(labelled: DataFrame) -> Scorer:
         return Scorer(seeds())
     context = labelled.sparkSession.sparkContext
     share = sizes[1] / (sizes[0] + sizes[1])
-    counts = written(_counts(labelled), "toxicity-counts")
+    run = Scratch(labelled.sparkSession, "toxicity-counts")
+    counts = run(_counts(labelled), "counts")
     lopsided = (F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 2 * share / (1 - share) * (F.col("clean") + 1))
     candidates = {r["feature"] for r in counts.where(lopsided).select("feature").collect()}
     if not candidates:
+        run.remove()
         return Scorer(seeds())
     stems = [x[:-1] for x in candidates if x.endswith("*")]
     longer = counts.where(F.col("toxic") + F.col("clean") >= 2).where(F.substring("feature", 1, STEMS[0]).isin(sorted({x[: STEMS[0]] for x in stems})) if stems else F.lit(False))
     features_at = sorted(candidates | {r["feature"] for r in longer.select("feature").collect()})
+    run.remove()
     shared = context.broadcast(features_at)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +390,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int
         share = F.when(F.col("toxic") == label, int(1e6 * min(1.0, n / max(1, sizes.get(label, 0))))).otherwise(share)
     chosen = own.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share)
     texts = docs.where("text IS NOT NULL").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return learn(written(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-fit"))
+    run = Scratch(docs.sparkSession, "toxicity-fit")
+    model = learn(run(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "texts"))
+    run.remove()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 5, held: int = 0) -> DataFrame:

@@ -73,3 +73,28 @@ def test_bands_reach_the_recall():
     for rows in range(1, 9):
         bands = jaccard.bands_for(0.8, 0.9999, rows)
         assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+
+
+def chains():
+    """Windows over one long word sequence: near in the sequence is near in n-grams, so links chain one large group together."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(100)]
+    return rows + [(100 + i, t) for i, (_, t) in enumerate(rows[::7])]
+
+
+def test_chained_groups_by_bucket(spark):
+    rows = chains()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 128):
+        got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(df, recall=0.999999, block_docs=block).collect())
+        assert got == brute(rows)
+
+
+def test_keep_first_with_clashing_columns(spark):
+    long = " ".join(f"l{i % 7001}" for i in range(150_000))
+    rows = [(1, long, "k", 1, "r"), (2, long + " end", "k", 2, "r"), (3, None, None, None, None), (3, None, None, None, None), (None, "x y", "k", 3, "r"), (None, "x y", "k", 3, "r"), (4, " ", "k", 4, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, __key int, __row string")
+    kept = jaccard.keep_first(df)
+    assert kept.dtypes == df.dtypes
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "4", "None"]
+    assert jaccard.keep_first(df.limit(0)).count() == 0

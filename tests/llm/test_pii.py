@@ -1,5 +1,6 @@
 """Anchor expansion against the patterns themselves."""
 
+import hashlib
 import random
 import re
 
@@ -75,5 +76,12 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "a@b.co", 6, "x"), (None, None, None, "y"), (1, "", 0, "z")], "doc_id long, text string, n_chars long, spans string")
     rows = pii.find_pii(df).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in rows] == [(1, 1, "email:0:6"), (None, 0, ""), (1, 0, "")]
+    digests = [hashlib.sha256(x).hexdigest() for x in (b"email:0:6", b"", b"")]
+    assert [r.base_sha256 for r in rows] == digests
+    several = spark.createDataFrame([(1, "+49 30 1234567 é 10.0.0.1 a@b.co 4111 1111 1111 1111 c@d.ef")], "doc_id long, text string")
+    assert pii.find_pii(several).first().base_sha256 == hashlib.sha256(b"email:26:32,email:53:59,ip:17:25,card:33:52,phone:0:14").hexdigest()
+    long = spark.createDataFrame([(1, "x" * 400_000 + " a@b.co " + "y " * 400_000, "t")], "doc_id long, text string, n_email string")
+    assert pii.find_pii(long).first().spans == "email:400001:400007" and pii.redact_pii(long).first().text[400_001:400_008] == "<EMAIL>"
+    assert pii.redact_pii(df.limit(0)).count() == 0
     assert [tuple(r) for r in pii.redact_pii(df).collect()] == [(1, "<EMAIL>", 7, "x"), (None, None, None, "y"), (1, "", 0, "z")]
     assert pii.find_pii(df.limit(0)).count() == 0
