@@ -2,10 +2,11 @@
 
 Each document gets a hash-random key. Within its source, documents are taken
 in the order of their keys: the key's leading digits name a range, token counts
-are summed by range, ranges are prefix-summed, and a document's place is its
-range's start plus the sum before it in its range. A source's target gives
-whole epochs and a rest; every document is taken once for each epoch and, up to
-the exact word of the rest, once more.
+are summed by range and ranges are prefix-summed. A source's target gives whole
+epochs and a rest; every document is taken once for each epoch and, up to the
+exact word of the rest, once more. All ranges but the one in which the rest
+ends are taken whole or not at all, so only that one is sorted by key and
+prefix-summed by document.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, Scratch, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -64,6 +65,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
+def _ranges(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """For each range of each source what it holds and what the budget leaves for it.
+
+    ``place`` (source, range), ``source_size``, ``target``, ``epochs``,
+    ``words`` (of the range) and ``rest``: the words of the last epoch that are
+    left where the range starts.
+    """
+    run = Scratch(rows.sparkSession, "mix-ranges")
+    ranges = run(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
+    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    starts = starts.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    starts = starts.withColumn("epochs", epochs).select(F.struct("source", "range").alias("place"), "source_size", "target", "epochs", "words", (budget - F.col("epochs") * F.col("source_size") - F.col("base")).alias("rest"))
+    out = written(starts, "mix-starts")
+    run.remove()
+    return out
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """``n`` rows of each of ``groups``, numbered from 0 by ``nth``."""
+    step = 1 << 16
+    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))))
+    inside = F.sequence(F.lit(0).cast("long"), F.least(F.lit(step), F.col("n") - F.col("block") * step) - 1)
+    return blocks.withColumn("inner", F.explode(inside)).withColumn("nth", F.col("block") * step + F.col("inner")).drop("block", "inner", "n")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -83,9 +113,9 @@ def mix(
 
     Null texts have size 0 and null sources are one source, the last. Sources
     without words have target 0. Repeated rows count as often as they come and
-    share a key; their order cannot be told apart. Extra columns are ignored;
-    an empty table gives no rows. A source of any share of the rows is dealt
-    over ``16 ** range_digits`` ranges.
+    share a key; their order cannot be told apart, and they are counted before
+    any sort. Extra columns are ignored; an empty table gives no rows. A source
+    of any share of the rows is dealt over ``16 ** range_digits`` ranges.
     """
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -94,46 +124,59 @@ def mix(
         random_key(docs["doc_id"], docs["text"], seed).alias("key"),
     )
     rows = written(rows.withColumn("range", F.substring("key", 1, range_digits)), "mix-sizes")
-    ranges = written(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
-    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    starts = starts.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g", "words")
-    starts = written(starts.withColumnRenamed("source", "s").withColumnRenamed("range", "r"), "mix-starts")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["range"] == starts["r"]))
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("base") - F.col("inner")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "key", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    placed = rows.withColumn("place", F.struct("source", "range")).join(_ranges(rows, weights, max_epochs), "place")
+    whole, ends = (F.col("rest") <= 0) | (F.col("rest") >= F.col("words")), ["doc_id", "key", "size", "source", "source_size", "target"]
+    plain = placed.where(whole).withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)))
+    groups = placed.where(~whole).groupBy(*ends, "place", "epochs", "rest").agg(F.count("*").alias("n"))
+    before = W.partitionBy("place").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    cut = _numbered(groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))))
+    left = F.col("rest") - F.col("before") - F.col("nth") * F.col("size")
+    cut = cut.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    return plain.unionByName(cut, allowMissingColumns=True).select(*ends, F.col("taken").cast("long").alias("taken"))
+
+
+def apply_mix(
+    docs: DataFrame,
+    *,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = "mix-1",
+    range_digits: int = RANGE_DIGITS,
+) -> DataFrame:
     """``docs`` as the mix takes them, all columns.
 
     A document comes once for each whole epoch and, where the budget ends
     within it, once more with its first words only (``n_chars`` counted anew).
-    Documents of which nothing is taken go; those without words stay once.
+    Documents of which nothing is taken go; those without words (null, empty,
+    blank) stay once. Null sources are one source; null doc_ids are ids like
+    others; repeated rows are taken one after the other. Extra columns,
+    whatever their names, come along; an empty table stays empty; texts of any
+    length are counted, and cut, whole. A row that isn't in its source's last
+    range stays where it is read: nothing but its range's budget is joined to it.
     """
-    seed = options.get("seed", "mix-1")
-    plan = mix(docs, **options)
-    plan = plan.select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("source").alias("__source"))
-    # Repeated rows share a key: number both sides so that each meets its own plan.
-    plan = plan.groupBy("__key", "__source").agg(F.sort_array(F.collect_list(F.struct("__size", "__taken"))).alias("__plans"))
-    named = docs.withColumn("__k", random_key(docs["doc_id"], docs["text"], seed))
-    joined = named.join(plan, (F.col("__k") == F.col("__key")) & named["source"].eqNullSafe(F.col("__source")))
-    nth = F.row_number().over(W.partitionBy("__k", "source").orderBy("__k"))
-    joined = joined.withColumn("__n", F.when(F.size("__plans") == 1, 1).otherwise(nth))
-    size, taken = F.col("__plans")[F.col("__n") - 1]["__size"], F.col("__plans")[F.col("__n") - 1]["__taken"]
-    whole = F.when(size == 0, 1).otherwise(F.floor(taken / size)).cast("int")
-    left = F.when(size == 0, 0).otherwise(taken % size)
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
-    out = joined.withColumn("__words", F.explode(copies))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    head = F.array_join(F.slice(pieces, 1, F.greatest(F.col("__words"), F.lit(0)).cast("int")), "")
-    cols = {"text": F.when(F.col("__words") < 0, F.col("text")).otherwise(head)}
+    row = F.struct(*(docs[c] for c in docs.columns))
+    key = random_key(docs["doc_id"], docs["text"], seed)
+    rows = docs.select(docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), F.substring(key, 1, range_digits).alias("range"))
+    rows = written(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-sizes")
+    named = docs.select(row.alias("row"), key.alias("key"), F.struct(docs["source"].cast("string").alias("source"), F.substring(key, 1, range_digits).alias("range")).alias("place"))
+    placed = named.join(_ranges(rows, weights, max_epochs), "place")
+    worded, whole = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), (F.col("rest") <= 0) | (F.col("rest") >= F.col("words"))
+    times = F.when(worded, F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)).otherwise(1).cast("int")
+    plain = placed.where(whole).select(F.explode(F.array_repeat("row", times)).alias("row"))
+
+    groups = placed.where(~whole).groupBy("row", "key", "place", "epochs", "rest").agg(F.count("*").alias("n")).withColumn("size", n_words(F.col("row.text")))
+    before = W.partitionBy("place").orderBy("key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1)
+    cut = _numbered(groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))))
+    left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("nth") * F.col("size")))
+    full = F.col("epochs") + F.when(left == F.col("size"), 1).otherwise(0)
+    wholes = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") == 0, 1).otherwise(full).cast("int"))
+    pieces = F.when((left > 0) & (left < F.col("size")), F.array(left.cast("long"))).otherwise(F.array().cast("array<long>"))
+    cut = cut.select("row", F.explode(F.concat(wholes, pieces)).alias("most"))
+    found = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    head = F.array_join(F.slice(found, 1, F.greatest(F.col("most"), F.lit(0)).cast("int")), "")
+    short = cut.withColumn("head", F.when(F.col("most") >= 0, head))
+    changed = {"text": F.coalesce("head", "row.text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length(cols["text"])).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(cols).select(*docs.columns)
+        changed["n_chars"] = F.coalesce(F.length("head"), "row.n_chars").cast(docs.schema["n_chars"].dataType)
+    short = short.select(F.struct(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns)).alias("row"))
+    return plain.union(short).select("row.*")

@@ -56,3 +56,30 @@ def test_applied(spark):
     assert out[0].asDict().keys() == {"doc_id", "text", "n_chars", "source"}
     assert mixing.apply_mix(df.limit(0)).count() == 0
     assert mixing.mix(df.where("text = ''")).first().target == 0
+
+
+def test_applied_with_repeats_nulls_and_clashing_columns(spark):
+    """A repeated row is most of a source; what comes out is what the plan says, word for word."""
+    rows = [(7, "q w e r t", None, 1, "p")] * 300 + [(None, "a b", "s", 2, None), (1, None, "s", 3, "k"), (2, " \n", None, None, None), (3, "z " * 500_000, "s", 4, "n"), (4, "u v", "t", 5, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, place string").repartition(4)
+    for digits in (1, 3):
+        plan, out = mixing.mix(df, range_digits=digits).collect(), mixing.apply_mix(df, range_digits=digits)
+        assert out.dtypes == df.dtypes
+        took, words = {}, {}
+        for r in plan:
+            took[r.doc_id] = took.get(r.doc_id, 0) + r.taken
+        found = out.collect()
+        for r in found:
+            words[r.doc_id] = words.get(r.doc_id, 0) + len((r.text or "").split())
+        assert {k: n for k, n in took.items() if n} == {k: n for k, n in words.items() if n}
+        assert sum(r.doc_id == 1 for r in found) == sum(r.doc_id == 2 for r in found) == 1
+    assert mixing.apply_mix(df.limit(0)).count() == 0
+
+
+def test_one_repeated_row_in_the_last_range(spark):
+    rows = [(1, "a b c", "x")] * 70_000 + [(2, "d " * 50_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).groupBy("source").agg({"taken": "sum", "size": "count"}).collect()
+    assert {r["source"]: r["count(size)"] for r in got} == {"x": 70_000, "y": 1}
+    want = brute_targets({"x": 210_000, "y": 50_000})
+    assert all(abs(r["sum(taken)"] - want[r["source"]]) <= 1 for r in got)
