@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm.common import table, written
+from tallyguard.llm.common import Scratch, table
 from tallyguard.llm.jaccard import keep_first
 from tallyguard.llm.mixing import apply_mix
 from tallyguard.llm.packing import pack
@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``; each but the last is written and read again.
+
+    A stage's table is removed when the next one's is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own = Scratch(spark, f"pipeline-{name}")
+        docs = own(stage(spark, docs, sf_dir), name)
+        if before:
+            before.remove()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
