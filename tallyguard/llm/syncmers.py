@@ -10,8 +10,8 @@ in a row hold at least one. A text of fewer runs may hold none; then all of its
 runs are anchors.
 
 An anchor has a position, the number of letters before it. Two fingerprints are
-matched by position: equal anchors are paired in order, and a pair counts if it
-is displaced about as far as the middle pair.
+matched by position: equal anchors are paired, and a pair counts if it is
+displaced about as far as the middle pair.
 """
 
 from __future__ import annotations
@@ -35,11 +35,16 @@ RANGE_CHARS, BOUNDS = 32 << 20, 1024
 ASCII_CUTS, CUT_STEP, CUT_WIDTH, CUT_BLOCKS = "02468aeimquyAEIMQUY/._", 128, 32, ((0x80, 0xFFF), (0x3000, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3))
 _CUT = ASCII_CUTS + "".join(f"{chr(a)}-{chr(a + CUT_WIDTH - 1)}" for lo, hi in CUT_BLOCKS for a in range(lo, hi + 1, CUT_STEP))
 _WORD, _UNCUT = r"[^\x20\x09-\x0D]", rf"[^\x20\x09-\x0D{_CUT}]"
-LETTER = rf"(?<!{_WORD}){_WORD}{{1,{MAX_WORD}}}+(?!{_WORD})|{_UNCUT}{{0,{MAX_WORD - 1}}}+[{_CUT}]|{_UNCUT}{{1,{MAX_WORD}}}+"
+LETTER = rf"{_WORD}(?:(?<!{_WORD}{{2}}){_WORD}{{0,{MAX_WORD - 1}}}+(?!{_WORD})|(?<=[{_CUT}])|(?<={_UNCUT})(?:{_UNCUT}{{0,{MAX_WORD - 2}}}+[{_CUT}]|{_UNCUT}{{0,{MAX_WORD - 1}}}+))"  # a word, or a cut of a long run
+
+
+#: Bits of a position and of the side of a comparison, in a number that holds a hash above them.
+_AT = 27
+_NONE = -(1 << 31)
 
 
 def anchors(text: Column) -> Column:
-    """The anchors of a text in order: ``array<struct<at:int, h:bigint>>``.
+    """The anchors of a text in order: ``struct<at:array<int>, h:array<bigint>>``, their positions and hashes.
 
     A text of fewer than ``K`` letters has an anchor for each letter, one
     without a chosen run an anchor for each run; only a text without letters
@@ -47,8 +52,11 @@ def anchors(text: Column) -> Column:
     """
     letters = F.regexp_extract_all(text, F.lit(LETTER), F.lit(0))
 
-    def anchor(at: Column, h: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), h.bitwiseAND((1 << BITS) - 1).alias("h"))
+    def found(at: Column, h: Column) -> Column:
+        return F.struct(at.alias("at"), h.alias("h"))
+
+    def short(h: Column) -> Column:
+        return found(F.transform(h, lambda x, i: i), F.transform(h, lambda x: x.bitwiseAND((1 << BITS) - 1)))
 
     def chosen(hashes: Column) -> Column:
         pairs = F.zip_with(F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
@@ -57,62 +65,56 @@ def anchors(text: Column) -> Column:
             at = F.sequence(F.lit(0), F.size(p) - (K - S) - 1)
             edge = F.filter(at, lambda i: F.least(p[i], p[i + 3]) <= F.least(p[i + 1], p[i + 2]))
             kept = let(edge, lambda e: F.when(F.size(e) == 0, at).otherwise(e))
-            return F.transform(kept, lambda i: anchor(i, F.xxhash64(p[i], p[i + 2], p[i + 3])))
+            return let(kept, lambda k: found(k, F.transform(k, lambda i: F.xxhash64(p[i], p[i + 2], p[i + 3]).bitwiseAND((1 << BITS) - 1))))
 
         return let(pairs, pick)
 
-    return let(F.transform(letters, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < K, F.transform(h, lambda x, i: anchor(i, x))).otherwise(chosen(h)))
-
+    return let(F.transform(letters, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < K, short(h)).otherwise(chosen(h)))
 
-def numbered(found: Column) -> Column:
-    """Anchors by hash, each with its number among the equal ones before it: ``array<struct<h, nth, at>>``, sorted."""
-    ordered = F.sort_array(F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"))))
 
-    def number(a: Column) -> Column:
-        first = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x["h"] != F.get(a, i - 1)["h"]), i + 1)), lambda i: i.isNotNull())
-        size = F.size(a)
-
-        def runs(s: Column) -> Column:
-            one = lambda at, k: F.transform(F.slice(a, at, F.coalesce(F.get(s, k + 1), size + 1) - at), lambda x, j: F.struct(x["h"].alias("h"), j.alias("nth"), x["at"].alias("at")))
-            return F.flatten(F.transform(s, one))
-
-        return let(first, runs)
-
-    return let(ordered, number)
+def firsts(found: Column, side: int) -> Column:
+    """Each hash with its first position, sorted: numbers of hash, ``side`` and position."""
+    most = (1 << 63 - _AT - 1) - 1
+    codes = F.transform(found["h"], lambda h, i: F.shiftleft(h.bitwiseAND(most), _AT + 1).bitwiseOR(F.coalesce(F.get(found["at"], i), F.lit(0)).cast("long")).bitwiseOR(side << _AT))
+    return let(F.sort_array(codes), lambda c: F.filter(c, lambda x, i: (i == 0) | (F.shiftright(x.bitwiseXOR(F.get(c, i - 1)), _AT + 1) != 0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the pairs in place over all anchors, 0 to 1; 1 for two empty lists. Both are ``numbered``.
+    """Twice the pairs in place over all anchors, each counted once: 0 to 1; 1 for two empty lists.
 
-    The nth anchor of a hash pairs with the nth of the other text. A pair is in
-    place if its displacement is that of the middle pair (of those in order the
-    lower middle), give or take ``DRIFT`` letters and ``DRIFT_SHARE`` of the
-    longer text's extent.
+    Equal anchors are paired at their first positions. A pair is in place if
+    its displacement is that of the middle pair (of those in order the lower
+    middle), give or take ``DRIFT`` letters and ``DRIFT_SHARE`` of the longer
+    text's extent.
     """
-    side = lambda x, s: F.transform(x, lambda e: F.struct(e["h"].alias("h"), e["nth"].alias("nth"), F.lit(s).alias("side"), e["at"].alias("at")))
-    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    low = (1 << _AT) - 1
 
     def moves(c: Column) -> Column:
         def move(x: Column, i: Column) -> Column:
             after = F.get(c, i + 1)
-            return F.when((x["h"] == after["h"]) & (x["nth"] == after["nth"]), after["at"] - x["at"])
+            return F.coalesce(F.when(F.shiftright(x.bitwiseXOR(after), _AT + 1) == 0, (after.bitwiseAND(low) - x.bitwiseAND(low)).cast("int")), F.lit(_NONE))
 
-        return F.sort_array(F.filter(F.transform(c, move), lambda d: d.isNotNull()))
+        return F.sort_array(F.filter(F.transform(c, move), lambda d: d != _NONE))
 
-    extent = lambda x: F.coalesce(F.array_max(F.transform(x, lambda e: e["at"])), F.lit(0))
+    extent = lambda x: F.coalesce(F.get(x["at"], F.size(x["at"]) - 1), F.lit(0))
     drift = DRIFT + F.floor(DRIFT_SHARE * F.greatest(extent(a), extent(b)))
 
     def in_place(d: Column) -> Column:
         middle = F.get(d, F.floor((F.size(d) - 1) / 2).cast("int"))
         return let(F.struct(middle.alias("m"), drift.alias("w")), lambda v: F.size(F.filter(d, lambda x: F.abs(x - v["m"]) <= v["w"])))
 
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * let(let(both, moves), in_place) / total)
+    def share(sides: Column) -> Column:
+        total = F.size(sides["a"]) + F.size(sides["b"])
+        both = F.sort_array(F.concat(sides["a"], sides["b"]))
+        return F.when(total == 0, 1.0).otherwise(2.0 * let(let(both, moves), in_place) / total)
+
+    return let(F.struct(firsts(a, 0).alias("a"), firsts(b, 1).alias("b")), share)
 
 
 def fingerprint(found: Column) -> Column:
-    """The anchors as text, in order, ``position:hash``: equal texts have equal fingerprints."""
-    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["at"].cast("string"), F.lower(F.hex(x["h"])))), ",")
+    """The anchors as text, in order: positions, then hashes; equal texts have equal fingerprints."""
+    listed = F.concat_ws("|", *(F.array_join(found[x].cast("array<string>"), ",") for x in ("at", "h")))
+    return F.when(F.size(found["h"]) > 0, listed).otherwise("")
 
 
 def _below(bounds: Column, most: int, value: Column) -> Column:
@@ -201,15 +203,12 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", "next_found")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", "next_found", anchors(F.col("edited")).alias("edited_found"))
-    three = F.struct(*(numbered(F.col(x)).alias(x) for x in ("found", "edited_found", "next_found")))
-    near = let(three, lambda x: F.struct(likeness(x["found"], x["edited_found"]).alias("edited"), likeness(x["found"], x["next_found"]).alias("next")))
-    rows = rows.withColumn("near", near)
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("found")).alias("fingerprint"),
         fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
-        F.col("near.edited").alias("near_edited"),
-        F.col("near.next").alias("near_next"),
+        likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
+        likeness(F.col("found"), F.col("next_found")).alias("near_next"),
     )
