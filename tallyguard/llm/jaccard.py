@@ -266,7 +266,7 @@ def near_duplicates(
     wanted = members.select("dig", "cnt", "band", "bands", tasks.alias("tasks"))
     of_sets = F.struct(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     named_rows = run(members.select("dig", of_sets.alias("key")).distinct(), "fetched-keys")
-    fetched = texts.select(F.struct("doc_id", "th").alias("key"), "text").join(named_rows, "key")
+    fetched = texts.select(F.struct("doc_id", "th").alias("key"), "text").join(named_rows.hint("merge"), "key")  # alike at every size: both sides grow
     fetched = run(fetched.groupBy("dig").agg(F.first("text").alias("text")), "texts")  # repeated rows fold before they are shuffled
     blocks = fetched.join(wanted.withColumn("t", F.explode("tasks")), "dig").select("dig", "cnt", "text", "band", "bands", "t.task", "t.side")
     found = run(blocks.groupBy("task").applyInPandas(_links(threshold, n_words), "dig string, links long, root string"), "links")
