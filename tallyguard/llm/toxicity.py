@@ -296,35 +296,11 @@ def seeds() -> dict[str, float]:
     return dict.fromkeys(SEEDS, SEED_WEIGHT)
 
 
-def learn(labelled: DataFrame) -> Scorer:
-    """The scorer of ``labelled``: ``text`` and ``toxic`` (0/1), of which none is null.
-
-    Counting is distributed; the driver gets the features that pass the test
-    and the longer forms of those, no more than the sample has words, and the
-    marks of the sampled texts, a small vector each. Copies of a text would lend their
-    words weight, so what counts in the end are different places, by the words
-    before and after, counted exactly. Without texts of both labels the seeds
-    stand.
-    """
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return Scorer(seeds())
-    context = labelled.sparkSession.sparkContext
-    share = sizes[1] / (sizes[0] + sizes[1])
-    run = Scratch(labelled.sparkSession, "toxicity-counts")
-    counts = run(_counts(labelled), "counts")
-    lopsided = (F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 2 * share / (1 - share) * (F.col("clean") + 1))
-    candidates = {r["feature"] for r in counts.where(lopsided).select("feature").collect()}
-    if not candidates:
-        run.remove()
-        return Scorer(seeds())
-    stems = [x[:-1] for x in candidates if x.endswith("*")]
-    longer = counts.where(F.col("toxic") + F.col("clean") >= 2).where(F.substring("feature", 1, STEMS[0]).isin(sorted({x[: STEMS[0]] for x in stems})) if stems else F.lit(False))
-    features_at = sorted(candidates | {r["feature"] for r in longer.select("feature").collect()})
-    run.remove()
-    shared = context.broadcast(features_at)
+def _places(labelled: DataFrame, wanted: list[str]) -> dict[str, tuple[int, int]]:
+    """In how many different places, clean and toxic, each of ``wanted`` stands, counted exactly."""
+    shared = labelled.sparkSession.sparkContext.broadcast(wanted)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held = {x: 2 * i << PLACE_BITS for i, x in enumerate(shared.value)}, array("q")
 
         def out() -> pa.RecordBatch:
@@ -341,17 +317,46 @@ def learn(labelled: DataFrame) -> Scorer:
                     yield out()
         yield out()
 
-    at = labelled.select("toxic", "text").mapInArrow(places, "key long").distinct()
-    places_of: dict[str, list[int]] = {}
-    for r in at.groupBy(F.shiftright("key", PLACE_BITS).alias("own")).count().collect():
-        places_of.setdefault(features_at[r["own"] // 2], [0, 0])[r["own"] % 2] = r["count"]
+    at = labelled.select("toxic", "text").mapInArrow(run, "key long").distinct()
+    counted = at.groupBy(F.shiftright("key", PLACE_BITS).alias("own")).count().toPandas()
+    found = np.zeros((len(wanted), 2), np.int64)
+    found.reshape(-1)[counted["own"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
+    return {x: (int(c), int(t)) for x, (c, t) in zip(wanted, found, strict=True) if c or t}
+
+
+def learn(labelled: DataFrame) -> Scorer:
+    """The scorer of ``labelled``: ``text`` and ``toxic`` (0/1), of which none is null.
+
+    Counting is distributed; the driver gets the features that pass the test,
+    the longer forms of those that then are insults, no more than the sample
+    has words, and the marks of the sampled texts, a small vector each. Copies
+    of a text would lend their words weight, so what counts in the end are
+    different places, by the words before and after. Without texts of both
+    labels the seeds stand.
+    """
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Scorer(seeds())
+    context = labelled.sparkSession.sparkContext
+    share = sizes[1] / (sizes[0] + sizes[1])
+    run = Scratch(labelled.sparkSession, "toxicity-counts")
+    counts = run(_counts(labelled), "counts")
     prior = math.log(share / (1 - share))
-    insults = {}
-    for feature, (clean, toxic) in places_of.items():
-        weight = math.log((toxic + 0.5) / (clean + 0.5)) - prior
-        sure = toxic >= LEAST_PLACES and _nats(toxic, clean, share) >= LEAST_NATS
-        if weight < LEAST_WEIGHT or sure:
-            insults[feature] = weight
+
+    def weighed(names: list[str]) -> dict[str, tuple[float, bool]]:
+        """The log-odds of each, and whether its counts are no accident."""
+        places = _places(labelled, names) if names else {}
+        return {x: (math.log((toxic + 0.5) / (clean + 0.5)) - prior, toxic >= LEAST_PLACES and _nats(toxic, clean, share) >= LEAST_NATS) for x, (clean, toxic) in places.items()}
+
+    lopsided = (F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") > 2 * share / (1 - share) * (F.col("clean") + 1))
+    insults = {x: w for x, (w, sure) in weighed(counts.where(lopsided).select("feature").toPandas()["feature"].to_list()).items() if sure and w >= LEAST_WEIGHT}
+    stems = {k: sorted(x[:k] for x in insults if x.endswith("*") and len(x) == k + 1) for k in STEMS}
+    extends = F.lit(False)
+    for k, own in stems.items():
+        extends = extends | (F.substring("feature", 1, k).isin(own) if own else F.lit(False))
+    longer = counts.where((F.col("toxic") + F.col("clean") >= 2) & extends).select("feature").toPandas()["feature"].to_list()
+    run.remove()
+    insults |= {x: w for x, (w, sure) in weighed([x for x in longer if x not in insults]).items() if sure or w < LEAST_WEIGHT}
     if not any(w >= LEAST_WEIGHT for w in insults.values()):
         return Scorer(seeds())
 

@@ -108,14 +108,16 @@ def test_learning_by_brute_force(spark):
             places[toxic][x].add(place)
     share = sum(x for x, _ in rows) / len(rows)
     first = {x for x, n in docs[1].items() if n >= t.LEAST_PLACES and n > 2 * share / (1 - share) * (docs[0][x] + 1)}
-    stems = {x[:4] for x in first if x.endswith("*")}
-    every = first | {x for x in docs[0].keys() | docs[1].keys() if x[:4] in stems and docs[0][x] + docs[1][x] >= 2}
-    want = {}
-    for x in every:
+
+    def weighed(x):
         bad_at, good_at = len(places[1][x]), len(places[0][x])
         weight = math.log((bad_at + 0.5) / (good_at + 0.5)) - math.log(share / (1 - share))
-        if weight < t.LEAST_WEIGHT or bad_at >= t.LEAST_PLACES and t._nats(bad_at, good_at, share) >= t.LEAST_NATS:
-            want[x] = weight
+        return weight, bad_at >= t.LEAST_PLACES and t._nats(bad_at, good_at, share) >= t.LEAST_NATS
+
+    want = {x: weighed(x)[0] for x in first if weighed(x)[1] and weighed(x)[0] >= t.LEAST_WEIGHT}
+    stems = tuple(x[:-1] for x in want if x.endswith("*"))
+    longer = {x for x in docs[0].keys() | docs[1].keys() if x.startswith(stems) and docs[0][x] + docs[1][x] >= 2} - want.keys()
+    want |= {x: weighed(x)[0] for x in longer if weighed(x)[1] or weighed(x)[0] < t.LEAST_WEIGHT}
     assert {x for x in want if want[x] >= t.LEAST_WEIGHT} >= {"zorkel", "grimpf"}
     assert model.insults == pytest.approx(want)
     x = t.features(np.array([model.marks(text) for _, text in rows]))
