@@ -25,11 +25,14 @@ DATES = (
     r"\b\d{4}\s*[/-]\s*\d{1,2}\s*[/-]\s*\d{1,2}\b", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})[a-z]*\s+\d{{2,4}}\b", rf"(?i)\b(?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{2,4}}\b",
 )
 SYMBOLS = (("₹", "INR"), (r"\$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₩", "KRW"), ("₱", "PHP"), ("₫", "VND"), ("₦", "NGN"), ("฿", "THB"), (r"R\$", "BRL"))
-CODES = (("Rs", "INR"), ("Rp", "IDR"), ("KSh", "KES"), ("RM", "MYR"), ("RMB", "CNY")) + tuple(
-    (c, c) for c in (
-        "KES NGN ZAR TZS UGX GHS ETB INR JPY KRW IDR VND PHP THB MYR SGD HKD TWD PKR BDT LKR MMK CNY USD CAD MXN BRL COP CLP ARS PEN "
-        "EUR GBP CHF SEK NOK DKK PLN CZK HUF RON RUB TRY AED SAR QAR OMR BHD KWD JOD ILS AUD NZD FJD").split()
+CODE_NAMES = (
+    "KES", "NGN", "ZAR", "TZS", "UGX", "GHS", "ETB", "INR", "JPY", "KRW", "IDR", "VND",
+    "PHP", "THB", "MYR", "SGD", "HKD", "TWD", "PKR", "BDT", "LKR", "MMK", "CNY", "USD",
+    "CAD", "MXN", "BRL", "COP", "CLP", "ARS", "PEN", "EUR", "GBP", "CHF", "SEK", "NOK",
+    "DKK", "PLN", "CZK", "HUF", "RON", "RUB", "TRY", "AED", "SAR", "QAR", "OMR", "BHD",
+    "KWD", "JOD", "ILS", "AUD", "NZD", "FJD",
 )
+CODES = (("Rs", "INR"), ("Rp", "IDR"), ("KSh", "KES"), ("RM", "MYR"), ("RMB", "CNY")) + tuple((c, c) for c in CODE_NAMES)
 SCRIPTS = {
     "arabic": "؀-ۿݐ-ݿࢠ-ࣿ", "hebrew": "֐-׿", "cyrillic": "Ѐ-ԯ", "han": "一-鿿㐀-䶿", "hiragana": "぀-ゟ",
     "katakana": "゠-ヿ", "hangul": "가-힯ᄀ-ᇿ", "latin": "A-Za-zÀ-ÖØ-öø-ɏ",
@@ -37,11 +40,16 @@ SCRIPTS = {
 SCRIPT_LANGUAGES = {"arabic": "ar", "hebrew": "he", "cyrillic": "ru", "hangul": "ko", "hiragana": "ja", "katakana": "ja"}
 MIN_ALPHA, DOMINANT, KANA = 30, 0.60, 0.02
 STREET = (
-    "street st road rd avenue ave boulevard blvd lane ln drive dr way circle cir court ct place pl terrace ter parkway pkwy highway hwy "
-    "nagar marg path gali colony sector cross main layout extension phase souq souk corniche madinat "
-    "rue strasse straße calle via piazza platz allee paseo avenida rua block plot complex tower junction"
-).split()
-UNIT = "apt apartment suite ste unit floor fl building bldg no room rm flat house villa plot shop office warehouse godown".split()
+    "street", "st", "road", "rd", "avenue", "ave", "boulevard", "blvd", "lane", "ln", "drive", "dr",
+    "way", "circle", "cir", "court", "ct", "place", "pl", "terrace", "ter", "parkway", "pkwy", "highway",
+    "hwy", "nagar", "marg", "path", "gali", "colony", "sector", "cross", "main", "layout", "extension", "phase",
+    "souq", "souk", "corniche", "madinat", "rue", "strasse", "straße", "calle", "via", "piazza", "platz", "allee",
+    "paseo", "avenida", "rua", "block", "plot", "complex", "tower", "junction",
+)
+UNIT = (
+    "apt", "apartment", "suite", "ste", "unit", "floor", "fl", "building", "bldg", "no", "room", "rm",
+    "flat", "house", "villa", "plot", "shop", "office", "warehouse", "godown",
+)
 PLACES = (
     "usa", "canada", "india", "uk", "australia", "germany", "france", "italy", "spain", "japan", "china", "brazil", "mexico", "singapore", "malaysia", "thailand",
     "indonesia", "philippines", "south africa", "nigeria", "egypt", "turkey", "pakistan", "bangladesh", "sri lanka", "nepal", "california", "texas", "new york",

@@ -12,11 +12,19 @@ CATEGORIES = (
 )
 HOURS = {"restaurant": (6, 23), "cafe": (7, 23), "retail": (9, 22), "grocery": (7, 22), "electronics": (10, 22), "pharmacy": (0, 24), "gas_station": (0, 24), "convenience_store": (0, 24), "mall": (10, 22), "airport": (0, 24)}
 LATE, EARLY = ("pharmacy", "gas_station", "airport", "convenience_store"), ("pharmacy", "gas_station", "airport", "restaurant", "cafe")
-_CIRCLES = {
-    "delhi": "11", "haryana": "12 13", "punjab": "14 15 16", "himachal pradesh": "17", "jammu": "18 19", "uttar pradesh": "20 21 22 23 24 25 26 27 28", "rajasthan": "30 31 32 33 34",
-    "gujarat": "36 37 38 39", "maharashtra": "40 41 42 43 44 45", "telangana": "50 51", "andhra pradesh": "52 53", "karnataka": "56 57 58 59", "tamil nadu": "60 61 62 63 64", "kerala": "67 68 69", "west bengal": "70 71 72 73 74",
-}
-CIRCLES = tuple((c, state) for state, codes in _CIRCLES.items() for c in codes.split())
+CIRCLES = (
+    ("11", "delhi"), ("12", "haryana"), ("13", "haryana"), ("14", "punjab"), ("15", "punjab"),
+    ("16", "punjab"), ("17", "himachal pradesh"), ("18", "jammu"), ("19", "jammu"), ("20", "uttar pradesh"),
+    ("21", "uttar pradesh"), ("22", "uttar pradesh"), ("23", "uttar pradesh"), ("24", "uttar pradesh"), ("25", "uttar pradesh"),
+    ("26", "uttar pradesh"), ("27", "uttar pradesh"), ("28", "uttar pradesh"), ("30", "rajasthan"), ("31", "rajasthan"),
+    ("32", "rajasthan"), ("33", "rajasthan"), ("34", "rajasthan"), ("36", "gujarat"), ("37", "gujarat"),
+    ("38", "gujarat"), ("39", "gujarat"), ("40", "maharashtra"), ("41", "maharashtra"), ("42", "maharashtra"),
+    ("43", "maharashtra"), ("44", "maharashtra"), ("45", "maharashtra"), ("50", "telangana"), ("51", "telangana"),
+    ("52", "andhra pradesh"), ("53", "andhra pradesh"), ("56", "karnataka"), ("57", "karnataka"), ("58", "karnataka"),
+    ("59", "karnataka"), ("60", "tamil nadu"), ("61", "tamil nadu"), ("62", "tamil nadu"), ("63", "tamil nadu"),
+    ("64", "tamil nadu"), ("67", "kerala"), ("68", "kerala"), ("69", "kerala"), ("70", "west bengal"),
+    ("71", "west bengal"), ("72", "west bengal"), ("73", "west bengal"), ("74", "west bengal"),
+)
 NO_NAME = ("ltd", "llp", "inc", "corp", "company", "co", "pvt", "private", "limited")
 
 

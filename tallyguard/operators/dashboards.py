@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_risk(claims: DataFrame, risk: DataFrame) -> DataFrame:
-    return claims.join(risk.withColumnRenamed("id", "r_id"), claims["id"] == F.col("r_id"), "left").drop("r_id")
-
-
 def in_duplicates(matches: DataFrame) -> DataFrame:
     """The distinct claims of either side of a pair."""
     return matches.select(F.col("claim_id_1").alias("dup_id")).union(matches.select("claim_id_2")).distinct()

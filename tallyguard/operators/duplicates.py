@@ -48,21 +48,38 @@ def exact_images(images: DataFrame) -> DataFrame:
     return found.select("image_id", F.when(F.col("image_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("matched_id"), F.col("n").alias("n_same"))
 
 
-def near_images(images: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
-    """Pairs of different perceptual hashes at most ``bits`` apart, by the hashes' lowest images.
-
-    Equal hashes fold into one row first. Cut into ``bits // 2 + 1`` bands, two
-    such hashes differ by one bit at most in some band, or they would differ by
-    more than ``bits`` in all. So one side is keyed by its bands and the other
-    by its bands and all their one-bit changes; the distance is verified on the
-    pairs that meet, on integers made once for each hash.
+def image_members(images: DataFrame) -> DataFrame:
+    """Each image with a hash and a claim: ``rep``, the lowest image of its hash, and whether it may be found (``eligible``).
+
+    Banners aren't found: sides are known and neither is over ``MAX_ASPECT`` times the other.
+    """
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    eligible = F.coalesce((w > 0) & (h > 0) & (F.try_divide(w, h) <= MAX_ASPECT) & (F.try_divide(h, w) <= MAX_ASPECT), F.lit(False))
+    known = images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$") & F.col("claim_id").isNotNull()).withColumns({"phash": F.lower("phash"), "eligible": eligible})
+    reps = known.groupBy("phash").agg(F.min("image_id").alias("rep"))
+    return known.join(reps, "phash").select("image_id", "claim_id", "phash", "rep", "eligible")
+
+
+def near_images(members: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
+    """Pairs of perceptual hashes at most ``bits`` apart, by the hashes' lowest images; ``members`` tells their other images.
+
+    A pair stands for a link between images of different claims of which one
+    may be found, whichever of a hash's images that is; a hash is paired with
+    itself where its own images are so linked. Equal hashes fold into one row
+    first. Cut into ``bits // 2 + 1`` bands, two different hashes differ by one
+    bit at most in some band, or they would differ by more than ``bits`` in
+    all. So one side is keyed by its bands and the other by its bands and all
+    their one-bit changes; the distance is verified on the pairs that meet, on
+    integers made once for each hash.
     """
     n = bits // 2 + 1
     cut = [64 * k // n for k in range(n + 1)]
     halves = [F.conv(F.substring("phash", k, 8), 16, 10).cast("long") for k in (1, 9)]
-    hashes = images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).groupBy("phash").agg(F.min("image_id").alias("image_id"))
+    found = F.when(F.col("eligible"), F.col("claim_id"))
+    claims = [f(c).alias(n) for n, f, c in (("c_lo", F.min, F.col("claim_id")), ("c_hi", F.max, F.col("claim_id")), ("e_lo", F.min, found), ("e_hi", F.max, found))]
+    hashes = members.groupBy("phash", F.col("rep").alias("image_id")).agg(*claims)
     binary = F.concat(*(F.lpad(F.conv(F.substring("phash", 1 + 4 * k, 4), 16, 2), 16, "0") for k in range(4)))
-    rows = hashes.select("image_id", halves[0].alias("hi"), halves[1].alias("lo"), binary.alias("binary"))
+    rows = hashes.select("image_id", halves[0].alias("hi"), halves[1].alias("lo"), binary.alias("binary"), F.struct("c_lo", "c_hi", "e_lo", "e_hi").alias("c"))
 
     def band(k: int, flip: int = -1):
         """Band ``k`` with its number; the bit at ``flip`` changed."""
@@ -74,13 +91,21 @@ def near_images(images: DataFrame, bits: int = SIMILAR_BITS) -> DataFrame:
 
     plain = [band(k) for k in range(n)]
     changed = [band(k, i) for k in range(n) for i in range(cut[k + 1] - cut[k])]
-    a = rows.select("image_id", "hi", "lo", F.explode(F.array(*plain, *changed)).alias("band")).alias("a")
-    b = rows.select("image_id", "hi", "lo", F.explode(F.array(*plain)).alias("band")).alias("b")
+    a = rows.select("image_id", "hi", "lo", "c", F.explode(F.array(*plain, *changed)).alias("band")).alias("a")
+    b = rows.select("image_id", "hi", "lo", "c", F.explode(F.array(*plain)).alias("band")).alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.image_id") < F.col("b.image_id")))
     apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
     near = met.withColumn("distance", apart).where(F.col("distance") <= bits)
-    pairs = near.select(F.col("a.image_id").alias("image_1"), F.col("b.image_id").alias("image_2"), "distance").distinct()
-    return pairs.withColumn("match_type", F.when(F.col("distance") <= SAME_BITS, "IMAGE_LIKELY_SAME").otherwise("IMAGE_SIMILAR"))
+
+    def links(any_of: str, found_of: str):
+        """Whether an image of one hash finds one of the other, of another claim."""
+        one, two = F.col(f"{any_of}.c"), F.col(f"{found_of}.c")
+        alone = (one["c_lo"] == one["c_hi"]) & (two["e_lo"] == two["e_hi"]) & (one["c_lo"] == two["e_lo"])
+        return F.coalesce(two["e_lo"].isNotNull() & ~alone, F.lit(False))
+
+    pairs = near.where(links("a", "b") | links("b", "a")).select(F.col("a.image_id").alias("image_1"), F.col("b.image_id").alias("image_2"), "distance").distinct()
+    same = hashes.where("e_lo IS NOT NULL AND c_lo <> c_hi").select(F.col("image_id").alias("image_1"), F.col("image_id").alias("image_2"), F.lit(0).alias("distance"))
+    return pairs.union(same).withColumn("match_type", F.when(F.col("distance") <= SAME_BITS, "IMAGE_LIKELY_SAME").otherwise("IMAGE_SIMILAR"))
 
 
 def template_images(images: DataFrame) -> DataFrame:

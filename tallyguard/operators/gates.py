@@ -60,9 +60,9 @@ def address_rules(signals: DataFrame) -> DataFrame:
     sure = F.col("profile_conf") >= 0.8
     rule = (
         F.when(F.col("profile_conf") < 0.55, "RULE_ADDR_SUPPRESSION_LOW_CONFIDENCE")
-        .when(F.col("merchant_conf") < 0.6, "RULE_ADDR_SUPPRESSION_LOW_MERCHANT")
+        .when(F.col("merchant_conf") < 0.6, "RULE_ADDR_SUPPRESSION_WEAK_MERCHANT")
         .when(sure & invoice & several & F.col("mismatch"), "RULE_ADDR_MULTI_AND_MISMATCH")
-        .when((F.col("profile_conf") >= 0.7) & F.col("producer_odd") & several & strong, "RULE_ADDR_MULTI_AND_PRODUCER")
+        .when((F.col("profile_conf") >= 0.7) & F.col("producer_odd") & several & strong, "RULE_ADDR_TEMPLATE_EDITING_SUSPICION")
         .when(sure & invoice & several & strong, "RULE_ADDR_MULTI_IN_INVOICE_HIGHCONF")
     )
     return signals.select("id", rule.alias("rule"))

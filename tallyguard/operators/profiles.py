@@ -29,7 +29,7 @@ COUNTRY_FIELDS = {
     "mx_rfc": r"\b([A-Z&Ñ]{3,4}\d{6}[A-Z0-9]{3})\b", "mx_postal_code": r"C\.?P\.?\s*(\d{5})", "us_zip": r"\b[A-Z]{2}\s+(\d{5}(?:-\d{4})?)\b", "us_ein": r"\b(\d{2}-\d{7})\b",
     "in_gstin": r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z])\b", "in_pin": r"\bpin\s*code?\s*:?\s*(\d{6})\b", "br_cnpj": r"\b(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2})\b", "sa_vat": r"\b(3\d{13}3)\b",
 }
-#: Blocks longer than this are cut, and candidates beyond this number are not needed.
+# Characters of a block that are looked at, and candidates that are compared; None: all.
 MAX_BLOCK, MAX_CANDIDATES = 250, 6
 
 
@@ -60,25 +60,27 @@ def country_fields(text: Column) -> dict[str, Column]:
     return {name: F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for name, p in COUNTRY_FIELDS.items()}
 
 
-def address_blocks(text: Column) -> Column:
+def address_blocks(text: Column, most: int | None = MAX_BLOCK) -> Column:
     """Windows of two to four lines with text, each once by its normal form, in order."""
     ls = F.filter(F.transform(F.split(text, r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    windows = F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda w: F.when(F.size(ls) >= w, F.transform(F.sequence(F.lit(1), F.size(ls) - w + 1), lambda i: F.substring(F.array_join(F.slice(ls, i, w), "\n"), 1, MAX_BLOCK))).otherwise(F.array().cast("array<string>"))))
+    block = lambda t: t if most is None else F.substring(t, 1, most)
+    windows = F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda w: F.when(F.size(ls) >= w, F.transform(F.sequence(F.lit(1), F.size(ls) - w + 1), lambda i: block(F.array_join(F.slice(ls, i, w), "\n")))).otherwise(F.array().cast("array<string>"))))
     return F.array_distinct(windows)
 
 
-def multi_address(documents: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def multi_address(documents: DataFrame, key: str = "id", text: str = "text", max_block: int | None = MAX_BLOCK, max_candidates: int | None = MAX_CANDIDATES) -> DataFrame:
     """SINGLE, MULTIPLE or UNKNOWN, and how many distinct addresses a document has.
 
-    The first candidates (blocks with a plausible address) fold into groups:
+    The first ``max_candidates`` blocks with a plausible address, of which
+    ``max_block`` characters are read (None: all), fold into groups:
     one is new if its postal code differs from every group's so far or, where
     one has none, it shares under four tenths of its words with each.
     """
-    blocks = documents.select(key, F.posexplode(address_blocks(F.coalesce(F.col(text), F.lit("")))).alias("pos", "block"))
+    blocks = documents.select(key, F.posexplode(address_blocks(F.coalesce(F.col(text), F.lit("")), max_block)).alias("pos", "block"))
     fit = blocks.where(X.address_score(F.col("block")) >= 4)
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)))
     postal = F.regexp_extract("block", r"\b(\d{4,6})\b", 1)
-    held = fit.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", tokens.alias("words"), postal.alias("postal")))), 1, MAX_CANDIDATES).alias("c"))
+    held = fit.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", tokens.alias("words"), postal.alias("postal")))), 1, max_candidates or (1 << 31) - 1).alias("c"))
 
     def differs(a: Column, g: Column) -> Column:
         share = F.coalesce(F.try_divide(F.size(F.array_intersect(a["words"], g["words"])), F.size(F.array_union(a["words"], g["words"]))), F.lit(0.0))

@@ -15,6 +15,10 @@ INTENTS = {
 }
 
 
+#: Templates, of a few kilobytes each, that may be broadcast.
+FEW_TEMPLATES = 2000
+
+
 def keywords(lines: Column) -> Column:
     """Words of four letters or more, each once."""
     return F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]{4,}"), F.lit(0)))))
@@ -25,9 +29,9 @@ def fingerprint(text: Column) -> dict[str, Column]:
     ls, lower = F.split(text, "\n", -1), F.lower(text)
     n = F.size(ls)
     return {
-        "merchant": keywords(F.slice(ls, 1, 1)),
+        "merchant": keywords(F.slice(ls, 1, 5)),
         "header": keywords(F.slice(ls, 2, 4)),
-        "footer": keywords(F.slice(ls, F.greatest(n - 2, F.lit(1)), 3)),
+        "footer": keywords(F.slice(ls, F.greatest(n - 4, F.lit(1)), 5)),
         "line_count": n,
         "amount_count": F.regexp_count(text, F.lit(r"\d+\.\d{2}")),
         "has_tax": lower.rlike("tax|gst|vat"),
@@ -59,17 +63,21 @@ def _in_range(x: Column, lo: Column, hi: Column) -> Column:
 
 
 def match(receipts: DataFrame, templates: DataFrame, top: int = 3, least: float = 0.5) -> DataFrame:
-    """The ``top`` templates of each receipt that reach ``least``.
+    """The ``top`` templates of each receipt that reach ``least``, of all templates.
 
-    Receipt and template meet on any word of the receipt's first line, which a
-    template of weight must share; that replaces the product of both tables.
+    No word has to be shared: counts and flags alone can reach ``least``. So
+    each receipt meets every template. Up to ``FEW_TEMPLATES`` of them are
+    broadcast, in blocks, as the set that receipts are asked against; more are
+    dealt over parts of the receipts instead.
     """
     fp = fingerprint(F.col("full_text"))
     r = receipts.select("id", *(c.alias(f"r_{k}") for k, c in fp.items()))
-    keyed = r.select("id", F.explode("r_merchant").alias("word")).distinct()
-    words = templates.select("merchant_name", F.explode("merchant").alias("word")).distinct()
-    pairs = keyed.join(words, "word").select("id", "merchant_name").distinct()
-    j = pairs.join(r, "id").join(templates, "merchant_name")
+    if templates.count() <= FEW_TEMPLATES:
+        j = r.withColumn("part", F.lit(0)).join(F.broadcast(templates.withColumn("part", F.lit(0))), "part")
+    else:
+        parts = int(receipts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        j = r.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(dealt.hint("merge"), "part")
     parts = [_jaccard(F.col(f"r_{k}"), F.col(k)) * WEIGHTS[k] for k in ("merchant", "header", "footer")]
     parts += [_in_range(F.col(f"r_{k}"), F.col(f"{k}_lo"), F.col(f"{k}_hi")) * WEIGHTS[k] for k in ("line_count", "amount_count")]
     parts += [F.when(F.col(f"r_{k}") == F.col(k), 1.0).otherwise(0.5) * w for k, w in WEIGHTS.items() if k.startswith("has_")]

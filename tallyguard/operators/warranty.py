@@ -15,6 +15,7 @@ MAX_LABOR_TO_PARTS, MAX_TAX_RATE, MAX_AGE = 2.0, 0.15, 10
 Z_LIMIT = 2.5
 WEIGHTS = {"HIGH": 0.4, "MEDIUM": 0.2, "LOW": 0.1}
 DUPLICATE_WEIGHTS = {"IMAGE_EXACT": 0.5, "IMAGE_LIKELY_SAME": 0.4, "IMAGE_SIMILAR": 0.2, "VIN_ISSUE_DUPLICATE": 0.3}
+DUPLICATE_SIGNALS = {"IMAGE_EXACT": "DUPLICATE_IMAGE_EXACT", "IMAGE_LIKELY_SAME": "DUPLICATE_IMAGE_SIMILAR", "VIN_ISSUE_DUPLICATE": "POTENTIAL_DUPLICATE_CLAIM"}
 INVESTIGATE, REVIEW = 0.7, 0.3
 ALWAYS_INVESTIGATE = ("NEGATIVE_TAX", "FUTURE_CLAIM_DATE", "CLAIM_BEFORE_MANUFACTURE", "DECISION_BEFORE_CLAIM", "HIGH_RISK_DEALER")
 COMPLEX_REPAIRS = ("transmission", "engine", "steering", "suspension")
@@ -23,9 +24,11 @@ WMI = {
     "2T": "Toyota", "4T": "Toyota", "JT": "Toyota", "WA": "Audi", "WV": "Volkswagen", "WB": "BMW", "JM": "Mazda", "4F": "Mazda", "KM": "Hyundai", "5N": "Hyundai",
     "KN": "Kia", "JF": "Subaru", "4S": "Subaru",
 }
-#: Letters of the model year from 2010 on and digits from 2001 on.
-YEAR_LETTERS, YEAR_DIGITS = "ABCDEFGHJKLMNPRSTVWX", "123456789"
-YEARS = {c: 2010 + i for i, c in enumerate(YEAR_LETTERS)} | {c: 2001 + i for i, c in enumerate(YEAR_DIGITS)}
+YEARS = {
+    "A": 2010, "B": 2011, "C": 2012, "D": 2013, "E": 2014, "F": 2015, "G": 2016, "H": 2017, "J": 2018, "K": 2019,
+    "L": 2020, "M": 2021, "N": 2022, "P": 2023, "R": 2024, "S": 2025, "T": 2026, "V": 2027, "W": 2028, "X": 2029,
+    "1": 2001, "2": 2002, "3": 2003, "4": 2004, "5": 2005, "6": 2006, "7": 2007, "8": 2008, "9": 2009,
+}
 TYPICAL_HOURS = {"battery": 2, "oil leak": 4, "brake": 4, "alternator": 3, "fuel pump": 5, "transmission": 12, "engine": 20, "steering": 6}
 TAX_RATES = {"US": (0.04, 0.12), "CA": (0.05, 0.15), "UK": (0.20, 0.20), "DE": (0.19, 0.19), "IN": (0.05, 0.28), "AE": (0.05, 0.05)}
 
@@ -90,9 +93,9 @@ def vin_signals() -> list[Column]:
     year = _map(YEARS)[F.substring(vin, 10, 1)]
     return [
         _signal("VIN_INVALID_FORMAT", "MEDIUM", F.length("vin") != 17),
-        _signal("VIN_ILLEGAL_CHARACTER", "MEDIUM", vin.rlike("[IOQ]")),
+        _signal("VIN_INVALID_FORMAT", "MEDIUM", vin.rlike("[IOQ]")),
         _signal("VIN_MODEL_MISMATCH", "HIGH", (F.length("vin") >= 3) & (F.lower("brand") != F.lower(expected))),
-        _signal("VIN_YEAR_MISMATCH", "HIGH", (F.length("vin") >= 10) & (F.col("year") != 0) & (F.abs(year - F.col("year")) > 1)),
+        _signal("VIN_MODEL_MISMATCH", "HIGH", (F.length("vin") >= 10) & (F.col("year") != 0) & (F.abs(year - F.col("year")) > 1)),
     ]
 
 
@@ -124,13 +127,46 @@ def stateless_signals(claims: DataFrame, as_of: str) -> DataFrame:
     return money(claims).withColumn("signals", F.array_compact(F.array(*every)))
 
 
-def risk_and_triage(signalled: DataFrame, matches: DataFrame) -> DataFrame:
-    """``id``, ``risk_score``, ``triage_class``, ``is_suspicious`` and ``n_signals`` of every claim.
+def _of(rows: DataFrame, name: Column | str, severity: Column | str) -> DataFrame:
+    """``rows``' ids with a signal each."""
+    return rows.select("id", *((F.lit(x) if isinstance(x, str) else x).alias(n) for n, x in (("signal_type", name), ("severity", severity))))
+
+
+def history_signals(claims: DataFrame, matches: DataFrame, benchmarks: DataFrame, feedback: DataFrame, as_of: str) -> DataFrame:
+    """``id``, ``signal_type``, ``severity``: what benchmarks, the vehicle's and the dealer's history and duplicates say of each claim."""
+    scored = benchmark_scores(claims, benchmarks)
+    above = (("TOTAL_ABOVE_BENCHMARK", "MEDIUM", "total_above"), ("PARTS_COST_ABOVE_BENCHMARK", "LOW", "parts_above"), ("LABOR_COST_ABOVE_BENCHMARK", "LOW", "labor_above"))
+    found = scored.select("id", F.explode(F.array_compact(F.array(*(_signal(n, s, F.col(c)) for n, s, c in above)))).alias("s")).select("id", "s.signal_type", "s.severity")
+    vehicle = vin_history(claims).where("signal IS NOT NULL")
+    found = found.union(_of(vehicle, F.col("signal"), F.when(F.col("signal") == "VIN_EXCESSIVE_CLAIMS", "HIGH").otherwise("MEDIUM")))
+    found = found.union(_of(odometer_regressions(claims), "ODOMETER_REGRESSION", "HIGH")).union(_of(repeat_claims(claims), "REPEAT_CLAIM_SAME_PART_SHORT_WINDOW", "MEDIUM"))
+
+    confirmed = feedback.where("verdict = 'CONFIRMED_FRAUD'").groupBy(F.col("receipt_id").alias("f_id")).agg(F.count("*").alias("frauds"))
+    known = claims.join(confirmed, claims["id"] == confirmed["f_id"], "left").groupBy("dealer_id").agg(F.count("*").alias("total_claims"), F.sum(F.coalesce("frauds", F.lit(0))).alias("fraud_confirmed"))
+    risky = dealer_history_signals(known.withColumn("duplicate_count", F.lit(0))).where("signal IS NOT NULL").select("dealer_id", F.lit("HIGH_RISK_DEALER").alias("signal_type"), F.lit("HIGH").alias("severity"))
+    spikes = dealer_spikes(claims, as_of).where("spike").select("dealer_id", F.lit("DEALER_SPIKE_IN_CLAIMS"), F.lit("MEDIUM"))
+    found = found.union(claims.select("id", "dealer_id").join(risky.union(spikes), "dealer_id").select("id", "signal_type", "severity"))
 
-    Risk sums the weights of a claim's signals and of the duplicates found for
-    it, up to 1. Weights are tenths, so sums are of whole tenths.
+    twin = matches.select(F.col("claim_id_1").alias("id"), _map(DUPLICATE_SIGNALS)[F.col("match_type")].alias("signal_type")).where("signal_type IS NOT NULL")
+    return found.union(_of(twin, F.col("signal_type"), F.when(F.col("signal_type") == "POTENTIAL_DUPLICATE_CLAIM", "MEDIUM").otherwise("HIGH")))
+
+
+def risk_and_triage(signalled: DataFrame, matches: DataFrame, columns: list[str] | None = None, history: DataFrame | None = None) -> DataFrame:
+    """``columns`` (``id`` alone by default), ``risk_score``, ``triage_class``, ``is_suspicious`` and ``n_signals`` of every claim.
+
+    Risk sums the weights of a claim's signals, its own and those of
+    ``history``, and of the duplicates found for it, up to 1. Weights are
+    tenths, so sums are of whole tenths; history is summed by claim before it
+    is joined.
     """
     tenths = _map({k: int(v * 10) for k, v in WEIGHTS.items()})
+    if history is None:
+        history = signalled.select("id", F.lit("").alias("signal_type"), F.lit("").alias("severity")).limit(0)
+    is_high = F.col("severity") == "HIGH"
+    past = history.groupBy(F.col("id").alias("h_id")).agg(
+        F.sum(tenths[F.col("severity")]).alias("h_tenths"), F.count("*").alias("h_n"), F.max(is_high).alias("h_high"), F.max(is_high & F.col("signal_type").isin(*ALWAYS_INVESTIGATE)).alias("h_grave")
+    )
+    signalled = signalled.join(past, signalled["id"] == past["h_id"], "left")
     found = matches.groupBy(F.col("claim_id_1").alias("m_id")).agg(
         F.sum(F.coalesce(_map({k: int(v * 10) for k, v in DUPLICATE_WEIGHTS.items()})[F.col("match_type")], F.lit(0))).alias("m_tenths"),
         F.max((F.col("match_type") == "IMAGE_EXACT").cast("int")).alias("exact"),
@@ -138,16 +174,17 @@ def risk_and_triage(signalled: DataFrame, matches: DataFrame) -> DataFrame:
     )
     joined = signalled.join(found, signalled["id"] == found["m_id"], "left")
     own = F.aggregate("signals", F.lit(0), lambda a, s: a + tenths[s["severity"]])
-    risk = F.least(F.lit(10), own + F.coalesce("m_tenths", F.lit(0))) / 10.0
-    grave = F.exists("signals", lambda s: (s["severity"] == "HIGH") & s["signal_type"].isin(*ALWAYS_INVESTIGATE))
-    high = F.exists("signals", lambda s: s["severity"] == "HIGH")
+    none = F.lit(False)
+    risk = F.least(F.lit(10), own + F.coalesce("h_tenths", F.lit(0)) + F.coalesce("m_tenths", F.lit(0))) / 10.0
+    grave = F.coalesce("h_grave", none) | F.exists("signals", lambda s: (s["severity"] == "HIGH") & s["signal_type"].isin(*ALWAYS_INVESTIGATE))
+    high = F.coalesce("h_high", none) | F.exists("signals", lambda s: s["severity"] == "HIGH")
     triage = F.when((F.coalesce("exact", F.lit(0)) == 1) | grave | (risk >= INVESTIGATE), "INVESTIGATE").when(risk >= REVIEW, "REVIEW").otherwise("AUTO_APPROVE")
     return joined.select(
-        "id",
+        *(columns or ["id"]),
         risk.alias("risk_score"),
         triage.alias("triage_class"),
         ((risk >= REVIEW) | (F.coalesce("m_n", F.lit(0)) > 0) | high).alias("is_suspicious"),
-        F.size("signals").cast("long").alias("n_signals"),
+        (F.size("signals") + F.coalesce("h_n", F.lit(0))).cast("long").alias("n_signals"),
     )
 
 
@@ -216,8 +253,8 @@ def dealer_spikes(claims: DataFrame, as_of: str, days: int = 30, factor: float =
     return counted.withColumn("spike", (F.col("prior") > 0) & (F.col("recent") > F.col("prior") * factor))
 
 
-def dealer_statistics(claims: DataFrame, risk: DataFrame, matches: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Counts, means and dates of every dealer, with its duplicates and confirmed frauds.
+def dealer_statistics(claims: DataFrame, matches: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Counts, means and dates of every dealer of ``claims`` (with ``is_suspicious``), with its duplicates and confirmed frauds.
 
     A match counts once for each of its sides that is the dealer's: the
     disjunctive join becomes a union of two equi-joins, pre-counted by claim.
@@ -225,7 +262,7 @@ def dealer_statistics(claims: DataFrame, risk: DataFrame, matches: DataFrame, fe
     sides = matches.select(F.col("claim_id_1").alias("side")).union(matches.select("claim_id_2")).groupBy("side").agg(F.count("*").alias("dups"))
     both_one = matches.where("claim_id_1 = claim_id_2").groupBy(F.col("claim_id_1").alias("same")).agg(F.count("*").alias("twice"))
     frauds = feedback.where("verdict = 'CONFIRMED_FRAUD'").groupBy(F.col("receipt_id").alias("f_id")).agg(F.count("*").alias("frauds"))
-    c = claims.join(risk.select(F.col("id").alias("r_id"), "is_suspicious"), claims["id"] == F.col("r_id"), "left")
+    c = claims
     c = c.join(sides, c["id"] == sides["side"], "left").join(both_one, c["id"] == both_one["same"], "left").join(frauds, c["id"] == frauds["f_id"], "left")
     zero = F.lit(0)
     n = F.count("*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dashboards as D
 from ..operators import warranty as V
 from ..sources.dims import BENCHMARKS, benchmarks, values_sql
+from ..sources.sinks import stored
 from ..sources.views import CLAIMS_AS_OF, ORACLE_VIEWS, view, with_views
 from .registry import query
 
@@ -26,9 +27,9 @@ _CHECKS = [
     ("DECISION_BEFORE_CLAIM", "HIGH", "dd < cd"), ("ROUND_TOTAL", "LOW", "total > 100 AND total_c % 100 = 0"),
     ("MATCHING_CENTS", "LOW", f"len({_CENTS}) >= 2 AND len(list_distinct({_CENTS})) = 1 AND ({_CENTS})[1] <> 0"),
     ("ZERO_LABOR_COMPLEX_REPAIR", "MEDIUM", "labor_c = 0 AND regexp_matches(lower(issue), 'transmission|engine|steering|suspension')"),
-    ("VIN_INVALID_FORMAT", "MEDIUM", "length(vin) <> 17"), ("VIN_ILLEGAL_CHARACTER", "MEDIUM", "regexp_matches(upper(vin), '[IOQ]')"),
+    ("VIN_INVALID_FORMAT", "MEDIUM", "length(vin) <> 17"), ("VIN_INVALID_FORMAT", "MEDIUM", "regexp_matches(upper(vin), '[IOQ]')"),
     ("VIN_MODEL_MISMATCH", "HIGH", "length(vin) >= 3 AND lower(brand) <> lower(coalesce((SELECT maker FROM wmi WHERE prefix = upper(vin[1:3])), (SELECT maker FROM wmi WHERE prefix = upper(vin[1:2]))))"),
-    ("VIN_YEAR_MISMATCH", "HIGH", "length(vin) >= 10 AND abs((SELECT vin_year FROM vin_years WHERE letter = upper(vin[10])) - year) > 1"),
+    ("VIN_MODEL_MISMATCH", "HIGH", "length(vin) >= 10 AND abs((SELECT vin_year FROM vin_years WHERE letter = upper(vin[10])) - year) > 1"),
     ("LABOR_RATE_OUTLIER", "MEDIUM", "labor_hours > 0 AND (labor / labor_hours < 30 OR labor / labor_hours > 300)"),
     ("EXCESSIVE_LABOR_HOURS_FOR_PART", "MEDIUM", f"labor_hours > 2 * {_TYPICAL}"), ("TAX_INCONSISTENT_WITH_GEO", "MEDIUM", f"total > 0 AND ({_TAX})"),
     ("IMAGE_COUNT_MISMATCH", "LOW", "image_count < CASE WHEN regexp_matches(lower(issue), 'engine|transmission|body') THEN 3 ELSE 2 END"),
@@ -42,7 +43,33 @@ def _check(name: str, severity: str, condition: str) -> str:
     return f"SELECT id, '{name}' AS signal_type, '{severity}' AS severity FROM {{m}} WHERE {condition}"
 
 
-ORACLE_VIEWS["signals"] = " UNION ALL ".join(_check(*c) for c in _CHECKS)
+ORACLE_VIEWS["own_signals"] = " UNION ALL ".join(_check(*c) for c in _CHECKS)
+ORACLE_VIEWS["zscores"] = """SELECT m.id, coalesce(o.brand, CASE WHEN g.issue_type IS NOT NULL THEN 'generic' END) AS benchmark,
+  CAST((parts - coalesce(o.avg_parts, g.avg_parts)) / coalesce(o.std_parts, g.std_parts) AS DOUBLE) AS z_parts, CAST((labor - coalesce(o.avg_labor, g.avg_labor)) / coalesce(o.std_labor, g.std_labor) AS DOUBLE) AS z_labor,
+  CAST((total - coalesce(o.avg_total, g.avg_total)) / coalesce(o.std_total, g.std_total) AS DOUBLE) AS z_total
+FROM {m} m LEFT JOIN {benchmark_rows} o ON m.brand = o.brand AND m.issue = o.issue_type LEFT JOIN {benchmark_rows} g ON g.brand IS NULL AND m.issue = g.issue_type"""
+ORACLE_VIEWS["past_signals"] = f"""
+SELECT id, 'TOTAL_ABOVE_BENCHMARK' AS signal_type, 'MEDIUM' AS severity FROM {{zscores}} WHERE z_total > 2.5
+UNION ALL SELECT id, 'PARTS_COST_ABOVE_BENCHMARK', 'LOW' FROM {{zscores}} WHERE z_parts > 2.5
+UNION ALL SELECT id, 'LABOR_COST_ABOVE_BENCHMARK', 'LOW' FROM {{zscores}} WHERE z_labor > 2.5
+UNION ALL SELECT c.id, 'ODOMETER_REGRESSION', 'HIGH' FROM {{claims}} c WHERE EXISTS (
+  SELECT 1 FROM {{claims}} p WHERE c.vin = p.vin AND p.odometer > c.odometer AND (p.claim_date < c.claim_date OR (p.claim_date = c.claim_date AND p.id < c.id)))
+UNION ALL SELECT DISTINCT c.id, 'REPEAT_CLAIM_SAME_PART_SHORT_WINDOW', 'MEDIUM' FROM {{claims}} c JOIN {{claims}} p ON c.vin = p.vin AND p.id <> c.id
+  AND datediff('day', CAST(p.claim_date AS DATE), CAST(c.claim_date AS DATE)) BETWEEN 0 AND 90 AND (p.claim_date < c.claim_date OR p.id < c.id)
+  WHERE len(list_intersect(string_split(lower(c.issue), ' '), string_split(lower(p.issue), ' '))) >= 2
+UNION ALL SELECT c.id, CASE WHEN n >= 4 THEN 'VIN_EXCESSIVE_CLAIMS' ELSE 'VIN_MULTIPLE_CLAIMS' END, CASE WHEN n >= 4 THEN 'HIGH' ELSE 'MEDIUM' END
+  FROM {{claims}} c JOIN (SELECT vin, count(*) AS n FROM {{claims}} GROUP BY vin) v ON c.vin = v.vin WHERE n >= 3
+UNION ALL SELECT c.id, 'HIGH_RISK_DEALER', 'HIGH' FROM {{claims}} c JOIN (
+  SELECT x.dealer_id, count(DISTINCT x.id) AS n, count(f.feedback_id) AS frauds FROM {{claims}} x LEFT JOIN {{feedback}} f ON f.receipt_id = x.id AND f.verdict = 'CONFIRMED_FRAUD' GROUP BY x.dealer_id) d
+  ON c.dealer_id = d.dealer_id WHERE n > 5 AND frauds > 0 AND frauds / n > 0.1
+UNION ALL SELECT c.id, 'DEALER_SPIKE_IN_CLAIMS', 'MEDIUM' FROM {{claims}} c JOIN (
+  SELECT dealer_id, count(*) FILTER (claim_date >= CAST(DATE '{CLAIMS_AS_OF}' - 30 AS VARCHAR)) AS recent,
+    count(*) FILTER (claim_date >= CAST(DATE '{CLAIMS_AS_OF}' - 60 AS VARCHAR) AND claim_date < CAST(DATE '{CLAIMS_AS_OF}' - 30 AS VARCHAR)) AS prior FROM {{claims}} GROUP BY dealer_id) d
+  ON c.dealer_id = d.dealer_id WHERE prior > 0 AND recent > prior * 2.5
+UNION ALL SELECT claim_id_1, CASE match_type WHEN 'IMAGE_EXACT' THEN 'DUPLICATE_IMAGE_EXACT' WHEN 'IMAGE_LIKELY_SAME' THEN 'DUPLICATE_IMAGE_SIMILAR' ELSE 'POTENTIAL_DUPLICATE_CLAIM' END,
+  CASE match_type WHEN 'VIN_ISSUE_DUPLICATE' THEN 'MEDIUM' ELSE 'HIGH' END FROM {{matches}} WHERE match_type IN ('IMAGE_EXACT', 'IMAGE_LIKELY_SAME', 'VIN_ISSUE_DUPLICATE')
+"""
+ORACLE_VIEWS["signals"] = "SELECT * FROM {own_signals} UNION ALL SELECT * FROM {past_signals}"
 ORACLE_VIEWS["risk"] = """
 SELECT c.id, least(10, coalesce(s.t, 0) + coalesce(d.t, 0)) / 10.0 AS risk_score, coalesce(s.n, 0) AS n_signals,
   CASE WHEN coalesce(d.exact, false) OR coalesce(s.grave, false) OR least(10, coalesce(s.t, 0) + coalesce(d.t, 0)) >= 7 THEN 'INVESTIGATE'
@@ -62,22 +89,35 @@ def signalled(spark: SparkSession, sf: str) -> DataFrame:
     return V.stateless_signals(view(spark, sf, "claims"), CLAIMS_AS_OF)
 
 
-def risk(spark: SparkSession, sf: str) -> DataFrame:
-    return V.risk_and_triage(signalled(spark, sf), view(spark, sf, "matches"))
+def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Claims and their matches, each built once: the orders' lines are read by one job alone."""
+    claims = stored(view(spark, sf, "claims"))
+    return claims, stored(view(spark, sf, "matches", {"claims": claims}))
+
+
+def past(spark: SparkSession, sf: str, claims: DataFrame, matches: DataFrame) -> DataFrame:
+    return V.history_signals(claims, matches, benchmarks(spark), view(spark, sf, "feedback"), CLAIMS_AS_OF)
+
+
+def risk(spark: SparkSession, sf: str, claims: DataFrame, matches: DataFrame) -> DataFrame:
+    """Claims with risk, triage and suspicion as further columns."""
+    return V.risk_and_triage(V.stateless_signals(claims, CLAIMS_AS_OF), matches, claims.columns, past(spark, sf, claims, matches))
 
 
 def risked(spark: SparkSession, sf: str) -> DataFrame:
-    return D.with_risk(view(spark, sf, "claims"), risk(spark, sf).drop("n_signals"))
+    return risk(spark, sf, *history(spark, sf)).drop("n_signals")
 
 
 @query("warranty_signals", with_views("SELECT id, signal_type, severity FROM {signals}"))
 def warranty_signals(spark, sf):
-    return signalled(spark, sf).select("id", F.explode("signals").alias("s")).select("id", "s.signal_type", "s.severity")
+    claims, matches = history(spark, sf)
+    own = V.stateless_signals(claims, CLAIMS_AS_OF).select("id", F.explode("signals").alias("s")).select("id", "s.signal_type", "s.severity")
+    return own.union(past(spark, sf, claims, matches))
 
 
 @query("risk_and_triage", with_views("SELECT id, CAST(risk_score AS DOUBLE) AS risk_score, triage_class, is_suspicious, n_signals FROM {risk}"))
 def risk_and_triage(spark, sf):
-    return risk(spark, sf)
+    return risk(spark, sf, *history(spark, sf)).select("id", "risk_score", "triage_class", "is_suspicious", "n_signals")
 
 
 @query("dashboard_overview", with_views(f"""
@@ -85,7 +125,8 @@ SELECT count(*) AS total_claims, count(*) FILTER (triage_class = 'AUTO_APPROVE')
   count(*) FILTER (triage_class = 'INVESTIGATE') AS investigate, count(*) FILTER (is_suspicious) AS suspicious, CAST(sum({_R10}) AS DOUBLE) / count(*) / 10.0 AS avg_risk,
   (SELECT count(*) FROM (SELECT claim_id_1 FROM {{matches}} UNION SELECT claim_id_2 FROM {{matches}})) AS claims_with_duplicates FROM {{risked}}"""))
 def dashboard_overview(spark, sf):
-    return D.overview(risked(spark, sf), view(spark, sf, "matches"))
+    claims, matches = history(spark, sf)
+    return D.overview(risk(spark, sf, claims, matches), matches)
 
 
 def _grouped(key: str, name: str, limit: str = "") -> str:
@@ -118,10 +159,11 @@ def claims_trend_monthly(spark, sf):
 @query("claims_drilldown", with_views("""SELECT id, dealer_id, brand, issue, claim_date, total_c, CAST(risk_score AS DOUBLE) AS risk_score, triage_class, count(*) OVER () AS n_fit FROM {risked}
   WHERE status = 'Approved' AND is_suspicious AND id IN (SELECT claim_id_1 FROM {matches} UNION SELECT claim_id_2 FROM {matches}) ORDER BY claim_date DESC, id DESC LIMIT 25 OFFSET 10"""))
 def claims_drilldown(spark, sf):
-    return D.drilldown(risked(spark, sf), view(spark, sf, "matches"), filters={"status": "Approved"}, suspicious=True, duplicates_only=True, limit=25, offset=10)
+    claims, matches = history(spark, sf)
+    return D.drilldown(risk(spark, sf, claims, matches), matches, filters={"status": "Approved"}, suspicious=True, duplicates_only=True, limit=25, offset=10)
 
 
-@query("signal_frequency", with_views("SELECT signal_type, severity, count(*) AS n FROM {signals} GROUP BY ALL"))
+@query("signal_frequency", with_views("SELECT signal_type, severity, count(*) AS n FROM {own_signals} GROUP BY ALL"))
 def signal_frequency(spark, sf):
     return D.signal_frequency(signalled(spark, sf).select(F.to_json("signals").alias("signals")))
 
@@ -139,14 +181,10 @@ def duplicate_top_claims(spark, sf):
 @query("duplicate_audit", with_views("""SELECT g.*, vin, dealer_id, issue, claim_date, total_c, status FROM (SELECT claim_id, other_id, count(*) AS n_reasons, CAST(max(similarity) AS DOUBLE) AS max_similarity, string_agg(DISTINCT match_type, ',' ORDER BY match_type) AS reason_types FROM
   (SELECT claim_id_1 AS claim_id, claim_id_2 AS other_id, match_type, similarity FROM {matches} UNION ALL SELECT claim_id_2, claim_id_1, match_type, similarity FROM {matches}) GROUP BY claim_id, other_id) g LEFT JOIN {claims} c ON g.other_id = c.id"""))
 def duplicate_audit(spark, sf):
-    return D.duplicate_audit(view(spark, sf, "claims"), view(spark, sf, "matches"))
+    return D.duplicate_audit(*history(spark, sf))
 
 
-@query("benchmark_zscore", with_views("""SELECT id, benchmark, z_parts, z_labor, z_total, z_parts > 2.5 AS parts_above, z_labor > 2.5 AS labor_above, z_total > 2.5 AS total_above FROM (
-  SELECT m.id, coalesce(o.brand, CASE WHEN g.issue_type IS NOT NULL THEN 'generic' END) AS benchmark,
-    CAST((parts - coalesce(o.avg_parts, g.avg_parts)) / coalesce(o.std_parts, g.std_parts) AS DOUBLE) AS z_parts, CAST((labor - coalesce(o.avg_labor, g.avg_labor)) / coalesce(o.std_labor, g.std_labor) AS DOUBLE) AS z_labor,
-    CAST((total - coalesce(o.avg_total, g.avg_total)) / coalesce(o.std_total, g.std_total) AS DOUBLE) AS z_total
-  FROM {m} m LEFT JOIN {benchmark_rows} o ON m.brand = o.brand AND m.issue = o.issue_type LEFT JOIN {benchmark_rows} g ON g.brand IS NULL AND m.issue = g.issue_type)"""))
+@query("benchmark_zscore", with_views("SELECT id, benchmark, z_parts, z_labor, z_total, z_parts > 2.5 AS parts_above, z_labor > 2.5 AS labor_above, z_total > 2.5 AS total_above FROM {zscores}"))
 def benchmark_zscore(spark, sf):
     return V.benchmark_scores(view(spark, sf, "claims"), benchmarks(spark)).select("id", "benchmark", "z_parts", "z_labor", "z_total", "parts_above", "labor_above", "total_above")
 
@@ -186,7 +224,8 @@ SELECT c.dealer_id, count(*) AS total_claims, count(*) FILTER (c.status = 'Appro
 
 
 def dealers(spark, sf):
-    return V.dealer_statistics(view(spark, sf, "claims"), risk(spark, sf), view(spark, sf, "matches"), view(spark, sf, "feedback"))
+    claims, matches = history(spark, sf)
+    return V.dealer_statistics(risk(spark, sf, claims, matches), matches, view(spark, sf, "feedback"))
 
 
 @query("dealer_statistics", with_views("SELECT * FROM {dealers}"))

@@ -36,14 +36,14 @@ def _receipts(spark, sf):
 
 #: Hashes as images have them: the file's of the text, the perceptual one of its first words.
 ORACLE_VIEWS["images"] = """SELECT doc_id AS image_id, sha256(text) AS file_hash, substr(sha256(text[1:24]), 1, 11) || substr(sha256(text), 1, 1) || substr(sha256(text[1:24]), 13, 4) AS phash,
-  n_chars * 3 AS size, CAST(n_chars % 1500 AS INT) AS width, CAST((n_chars * 7) % 900 AS INT) AS height FROM {documents}"""
+  doc_id // 3 AS claim_id, n_chars * 3 AS size, CAST(n_chars % 1500 AS INT) AS width, CAST((n_chars * 7) % 900 AS INT) AS height FROM {documents}"""
 
 
 def _images(spark, sf):
     lead = F.sha2(F.substring("text", 1, 24), 256)
     phash = F.concat(F.substring(lead, 1, 11), F.substring(F.sha2("text", 256), 1, 1), F.substring(lead, 13, 4))
     return view(spark, sf, "documents").select(
-        F.col("doc_id").alias("image_id"), F.sha2("text", 256).alias("file_hash"), phash.alias("phash"), (F.col("n_chars") * 3).alias("size"),
+        F.col("doc_id").alias("image_id"), F.expr("doc_id div 3").alias("claim_id"), F.sha2("text", 256).alias("file_hash"), phash.alias("phash"), (F.col("n_chars") * 3).alias("size"),
         (F.col("n_chars") % 1500).cast("int").alias("width"), (F.col("n_chars") * 7 % 900).cast("int").alias("height"),
     )
 
@@ -67,11 +67,23 @@ def image_exact_duplicates(spark, sf):
 _HAMMING = "bit_count(xor(CAST('0x' || a.phash[1:8] AS BIGINT), CAST('0x' || b.phash[1:8] AS BIGINT))) + bit_count(xor(CAST('0x' || a.phash[9:16] AS BIGINT), CAST('0x' || b.phash[9:16] AS BIGINT)))"
 
 
+_ELIGIBLE = "(width > 0 AND height > 0 AND CAST(width AS DOUBLE) / height <= 5.0 AND CAST(height AS DOUBLE) / width <= 5.0)"
+
+
+ORACLE_VIEWS["seen_images"] = f"SELECT *, min(image_id) OVER (PARTITION BY phash) AS rep, {_ELIGIBLE} AS eligible FROM {{images}}"
+
+
+@query("image_members", with_views("SELECT image_id, claim_id, phash, rep, eligible FROM {seen_images}"))
+def image_members(spark, sf):
+    return P.image_members(_images(spark, sf))
+
+
 @query("image_near_duplicates", with_views(f"""SELECT *, CASE WHEN distance <= 5 THEN 'IMAGE_LIKELY_SAME' ELSE 'IMAGE_SIMILAR' END AS match_type FROM (
-  SELECT a.image_id AS image_1, b.image_id AS image_2, CAST({_HAMMING} AS INT) AS distance
-  FROM (SELECT phash, min(image_id) AS image_id FROM {{images}} GROUP BY phash) a JOIN (SELECT phash, min(image_id) AS image_id FROM {{images}} GROUP BY phash) b ON a.image_id < b.image_id) WHERE distance <= 10"""))
+  SELECT DISTINCT least(a.rep, b.rep) AS image_1, greatest(a.rep, b.rep) AS image_2, CAST({_HAMMING} AS INT) AS distance
+  FROM {{seen_images}} a JOIN {{seen_images}} b ON a.claim_id <> b.claim_id AND b.eligible) WHERE distance <= 10"""))
 def image_near_duplicates(spark, sf):
-    return P.near_images(_images(spark, sf))
+    """Links between images of different claims, every pair of images held against the limit in the SQL."""
+    return P.near_images(P.image_members(_images(spark, sf)))
 
 
 @query("template_image_filter", with_views("""SELECT *, reason IS NOT NULL AS is_template FROM (SELECT image_id, n AS claims_so_far, CASE WHEN size > 0 AND size < 5000 THEN 'small file' WHEN width > 0 AND height > 0 AND width > 5.0 * height THEN 'banner'

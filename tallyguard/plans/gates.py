@@ -22,8 +22,8 @@ def rule_gating(spark, sf):
     return G.gate(events, G.matrix(spark), G.profiles(spark))
 
 
-@query("address_rules", with_views("""SELECT id, CASE WHEN profile_conf < 0.55 THEN 'RULE_ADDR_SUPPRESSION_LOW_CONFIDENCE' WHEN ocr_conf < 0.6 THEN 'RULE_ADDR_SUPPRESSION_LOW_MERCHANT' WHEN profile_conf >= 0.8 AND inv AND id % 2 = 0 AND id % 3 = 0 THEN 'RULE_ADDR_MULTI_AND_MISMATCH'
-  WHEN profile_conf >= 0.7 AND lower(producer) LIKE '%canva%' AND id % 2 = 0 AND num_lines % 4 < 2 THEN 'RULE_ADDR_MULTI_AND_PRODUCER' WHEN profile_conf >= 0.8 AND inv AND id % 2 = 0 AND num_lines % 4 < 2 THEN 'RULE_ADDR_MULTI_IN_INVOICE_HIGHCONF' END AS rule
+@query("address_rules", with_views("""SELECT id, CASE WHEN profile_conf < 0.55 THEN 'RULE_ADDR_SUPPRESSION_LOW_CONFIDENCE' WHEN ocr_conf < 0.6 THEN 'RULE_ADDR_SUPPRESSION_WEAK_MERCHANT' WHEN profile_conf >= 0.8 AND inv AND id % 2 = 0 AND id % 3 = 0 THEN 'RULE_ADDR_MULTI_AND_MISMATCH'
+  WHEN profile_conf >= 0.7 AND lower(producer) LIKE '%canva%' AND id % 2 = 0 AND num_lines % 4 < 2 THEN 'RULE_ADDR_TEMPLATE_EDITING_SUSPICION' WHEN profile_conf >= 0.8 AND inv AND id % 2 = 0 AND num_lines % 4 < 2 THEN 'RULE_ADDR_MULTI_IN_INVOICE_HIGHCONF' END AS rule
   FROM (SELECT *, doc_subtype IN ('TAX_INVOICE', 'COMMERCIAL_INVOICE') AS inv FROM {records})"""))
 def address_rules(spark, sf):
     k, lines = F.col("id"), F.col("num_lines") % 4

@@ -88,22 +88,22 @@ def ml_contract(spark, sf):
 
 _KW = "list_distinct(flatten(list_transform({0}, lambda x: regexp_extract_all(lower(x), '[a-z]{{4,}}'))))"
 _JAC = "CASE WHEN len(r.{0}) = 0 AND len(t.{0}) = 0 THEN 0.5 ELSE coalesce(len(list_intersect(r.{0}, t.{0})) / nullif(len(list_distinct(list_concat(r.{0}, t.{0}))), 0), 0.0) END"
-ORACLE_VIEWS["prints"] = f"""SELECT id, merchant_name, {_KW.format('ls[1:1]')} AS merchant, {_KW.format('ls[2:5]')} AS header, {_KW.format('ls[-3:]')} AS footer, len(ls) AS line_count, len(regexp_extract_all(full_text, '\\d+\\.\\d{{2}}')) AS amount_count, regexp_matches(lower(full_text), 'tax|gst|vat') AS has_tax,
+ORACLE_VIEWS["prints"] = f"""SELECT id, merchant_name, {_KW.format('ls[1:5]')} AS merchant, {_KW.format('ls[2:5]')} AS header, {_KW.format('ls[-5:]')} AS footer, len(ls) AS line_count, len(regexp_extract_all(full_text, '\\d+\\.\\d{{2}}')) AS amount_count, regexp_matches(lower(full_text), 'tax|gst|vat') AS has_tax,
   contains(lower(full_text), 'subtotal') AS has_subtotal, contains(lower(full_text), 'total') AS has_total, regexp_matches(full_text, '\\b\\d{{1,2}}:\\d{{2}}\\b') AS has_time, regexp_matches(full_text, '(?m)^[-=*]{{3,}}$') AS has_separator, regexp_matches(lower(full_text), 'qty|quantity') AS has_table
 FROM (SELECT *, string_split(full_text, chr(10)) AS ls FROM {{chained}})"""
 #: Receipts of a few chains, by a name that the first line shows.
 VIEWS["chained"] = """SELECT id, CASE id % 5 WHEN 0 THEN 'Green Market Stores' WHEN 1 THEN 'Blue Motors Garage' WHEN 2 THEN 'Green Garage' WHEN 3 THEN 'Central Market Hall' ELSE 'Blue Hall' END AS merchant_name,
-  concat(CASE id % 5 WHEN 0 THEN 'Green Market Stores' WHEN 1 THEN 'Blue Motors Garage' WHEN 2 THEN 'Green Garage' WHEN 3 THEN 'Central Market Hall' ELSE 'Blue Hall' END, chr(10), CASE WHEN id % 4 = 0 THEN '10:45' ELSE 'Qty list' END, chr(10), full_text) AS full_text FROM {receipts} WHERE id % 10 < 7"""
+  concat(CASE id % 5 WHEN 0 THEN 'Green Market Stores' WHEN 1 THEN 'Blue Motors Garage' WHEN 2 THEN 'Green Garage' WHEN 3 THEN 'Central Market Hall' ELSE 'Blue Hall' END, chr(10), CASE WHEN id % 4 = 0 THEN '10:45' ELSE 'Qty list' END, chr(10), full_text) AS full_text FROM {receipts}"""
 ORACLE_VIEWS["learned"] = """SELECT merchant_name, list_distinct(flatten(list(merchant))) AS merchant, list_distinct(flatten(list(header))) AS header, list_distinct(flatten(list(footer))) AS footer, min(line_count) AS line_lo, max(line_count) AS line_hi, min(amount_count) AS amount_lo, max(amount_count) AS amount_hi,
-  bool_or(has_tax) AS has_tax, bool_or(has_subtotal) AS has_subtotal, bool_or(has_total) AS has_total, bool_or(has_time) AS has_time, bool_or(has_separator) AS has_separator, bool_or(has_table) AS has_table FROM {prints} WHERE id % 2 = 0 GROUP BY merchant_name"""
+  bool_or(has_tax) AS has_tax, bool_or(has_subtotal) AS has_subtotal, bool_or(has_total) AS has_total, bool_or(has_time) AS has_time, bool_or(has_separator) AS has_separator, bool_or(has_table) AS has_table FROM {prints} GROUP BY merchant_name"""
 _SCORE = " + ".join([f"({_JAC.format(k)}) * {T.WEIGHTS[k]}" for k in ("merchant", "header", "footer")] + [f"greatest(0.0, 1.0 - greatest(t.{a}_lo - r.{k}, r.{k} - t.{a}_hi, 0)::DOUBLE * 0.1::DOUBLE) * {T.WEIGHTS[k]}" for k, a in (("line_count", "line"), ("amount_count", "amount"))] + [f"CASE WHEN r.{k} = t.{k} THEN 1.0 ELSE 0.5 END::DOUBLE * {w}" for k, w in T.WEIGHTS.items() if k.startswith("has_")])
 
 
 @query("template_match", with_views(f"""SELECT id, merchant_name, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, merchant_name) AS rank FROM (
-  SELECT r.id, t.merchant_name, round(({_SCORE}) / 100.0, 6) AS score FROM {{prints}} r JOIN {{learned}} t ON len(list_intersect(r.merchant, t.merchant)) > 0 WHERE r.id % 2 = 1) WHERE score >= 0.5) WHERE rank <= 3"""))
+  SELECT r.id, t.merchant_name, round(({_SCORE}) / 100.0, 6) AS score FROM {{prints}} r CROSS JOIN {{learned}} t) WHERE score >= 0.5) WHERE rank <= 3"""))
 def template_match(spark, sf):
     rows = view(spark, sf, "chained")
-    return T.match(rows.where("id % 2 = 1"), T.learn(rows.where("id % 2 = 0")))
+    return T.match(rows, T.learn(rows))
 
 
 _OFF = "CASE WHEN regexp_matches(n, '[^a-zA-Z0-9\\s\\-&''.()]') THEN 20 ELSE 0 END + CASE WHEN n = upper(n) AND n <> lower(n) AND length(n) > 5 THEN 15 ELSE 0 END + CASE WHEN length(n) < 3 THEN 30 ELSE 0 END + CASE WHEN length(n) > 50 THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(n), 'test|sample|dummy|fake|xxx|zzz|abc|temp') THEN 60 ELSE 0 END + CASE WHEN regexp_matches(replace(n, ' ', ''), '^\\d+$') THEN 50 ELSE 0 END + CASE WHEN length(regexp_replace(n, '[\\w\\s]', '', 'g')) > 5 THEN 20 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM range(1, length(n) - 1) q(i) WHERE n[i] = n[i + 1] AND n[i] = n[i + 2]) THEN 40 ELSE 0 END"

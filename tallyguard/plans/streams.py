@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import duplicates as P
 from ..operators import layout as L
 from ..sources import readers, sinks
-from ..sources.views import EVENTS_AS_OF, VIEWS, view, with_views
+from ..sources.views import VIEWS, view, with_views
 from ..streaming import registry as T
 from .registry import query
 
 
-def _folder(spark) -> str:
-    """A new folder that all executors share; a local one where none is set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _events(spark, sf):
     schema = view(spark, sf, "events").schema
     return T.files(spark, f"{sf}/events.parquet", schema)
@@ -39,14 +30,14 @@ _PRINTS = """SELECT event_id AS id, concat_ws('|', 'm' || (user_id % 20), strfti
 @query("streaming_duplicate_registry", f"""SELECT id, CASE WHEN id = of THEN 'new' WHEN exact_fp = e THEN 'exact' ELSE 'fuzzy' END AS status, CASE WHEN id <> of THEN of END AS duplicate_of
   FROM (SELECT *, first_value(id) OVER w AS of, first_value(exact_fp) OVER w AS e FROM ({_PRINTS}) WINDOW w AS (PARTITION BY fuzzy_fp ORDER BY id))""")
 def streaming_duplicate_registry(spark, sf):
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     stream = T.duplicates(_arrivals(_events(spark, sf)).select("id", "exact_fp", "fuzzy_fp"))
     return T.drained(stream, f"{at}/out", f"{at}/checkpoint")
 
 
 @query("streaming_trend", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_c FROM events GROUP BY ALL")
 def streaming_trend(spark, sf):
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     stream = T.monthly(_events(spark, sf).select("ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("value_c")))
     return T.drained(stream, f"{at}/out", f"{at}/checkpoint", "complete")
 
@@ -54,17 +45,17 @@ def streaming_trend(spark, sf):
 @query("streaming_windows", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def streaming_windows(spark, sf):
     """Days that the watermark has closed."""
-    at = _folder(spark)
+    at = sinks.shared_folder(spark)
     stream = T.windowed(_events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type"))
     out = T.drained(stream, f"{at}/out", f"{at}/checkpoint")
     return out.select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-@query("rolling_windows", f"SELECT CAST(s AS DATE) AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest(generate_series(DATE '2023-12-01', DATE '2024-02-01', INTERVAL 1 DAY)) AS s) WHERE ts >= s AND ts < s + INTERVAL 7 DAYS AND s >= DATE '{EVENTS_AS_OF}' - 20 GROUP BY ALL")
+@query("rolling_windows", "SELECT CAST(s AS DATE) AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) - 7 FROM events), (SELECT CAST(max(ts) AS DATE) FROM events), INTERVAL 1 DAY)) AS s) WHERE ts >= s AND ts < s + INTERVAL 7 DAYS GROUP BY ALL")
 def rolling_windows(spark, sf):
     rows = T.rolling(view(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), 7)
     day = F.to_date("window.start")
-    return rows.select(day.alias("window_start"), "event_type", "n").where(F.col("window_start") >= F.date_sub(F.lit(EVENTS_AS_OF).cast("date"), 20))
+    return rows.select(day.alias("window_start"), "event_type", "n")
 
 
 VIEWS["claim_texts"] = """SELECT id, concat('Claim ID: WC', lpad(CAST(id AS STRING), 8, '0'), chr(10), 'Brand: ', coalesce(brand, ''), chr(10), 'Year: ', CAST(year AS STRING), chr(10), 'VIN: ', vin, chr(10), 'Mileage: ', CAST(odometer // 1000 AS STRING), ',', lpad(CAST(odometer % 1000 AS STRING), 3, '0'), chr(10),
@@ -113,11 +104,11 @@ def region_overlaps(spark, sf):
 
 
 @query("spatial_risk", """SELECT *, CASE WHEN risk >= 0.75 THEN 'critical' WHEN risk >= 0.5 THEN 'high' WHEN risk >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM (SELECT user_id AS doc_id, count(*) AS n_signals,
-  CAST(least(1.0::DOUBLE, sum(CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 40 ELSE 15 END * (event_id % 101))::DOUBLE / count(*) / 10000.0::DOUBLE + count(*) * 5 / 100.0::DOUBLE) AS DOUBLE) AS risk FROM events WHERE event_id % 11 = 0 GROUP BY user_id)""")
+  CAST(least(1.0::DOUBLE, sum(CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 40 ELSE 15 END * (event_id % 101))::DOUBLE / count(*) / 10000.0::DOUBLE + count(*) * 5 / 100.0::DOUBLE) AS DOUBLE) AS risk FROM events GROUP BY user_id)""")
 def spatial_risk(spark, sf):
     k = F.col("event_id")
     severity = F.when(k % 4 == 0, "critical").when(k % 4 == 1, "high").when(k % 4 == 2, "medium").otherwise("low")
-    return L.risk(view(spark, sf, "events").where("event_id % 11 = 0").select(F.col("user_id").alias("doc_id"), severity.alias("severity"), (k % 101).alias("confidence_c")))
+    return L.risk(view(spark, sf, "events").select(F.col("user_id").alias("doc_id"), severity.alias("severity"), (k % 101).alias("confidence_c")))
 
 
 @query("image_forensics", """SELECT image_id, concat_ws(',', CASE WHEN e > 25 THEN 'ela_splice' END, CASE WHEN n < 1 THEN 'digital_origin' END, CASE WHEN d < 100 THEN 'very_low_resolution' END, CASE WHEN h > 0.3 THEN 'histogram_gaps' END) AS signals, CAST((e > 25)::INT + (n < 1)::INT + (d < 100)::INT + (h > 0.3)::INT AS BIGINT) AS n_signals,

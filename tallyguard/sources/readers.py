@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ _NUMBERS = {"year": "int", "odometer": "int", "parts_cost": "double", "labor_cos
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """A decision log: CSV with a header, by a fixed schema; rows that don't fit are dropped."""
-    return spark.read.schema(DECISIONS).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """A decision log: CSV with a header, by a fixed schema; a row that doesn't fit has its text in ``_corrupt``."""
+    reader = spark.read.schema(DECISIONS + ", _corrupt string").option("header", True).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", "_corrupt").csv(path)
 
 
 def feedback(spark: SparkSession, path: str, status: str = "pending_training", least: int = 100) -> DataFrame:
@@ -49,8 +51,13 @@ def database(spark: SparkSession, url: str, table: str, *, column: str | None =
 
 def packs(spark: SparkSession, path: str, parse) -> DataFrame:
     """Packs of whole text files (language or domain packs): ``parse`` turns a text to (id, json)."""
-    files = spark.read.option("wholetext", True).text(path).limit(10_000).collect()  # configuration, a file each
-    return spark.createDataFrame([parse(r["value"]) for r in files], "id string, body string")
+    files = spark.read.option("wholetext", True).text(path)
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([parse(v) for v in batch["value"]], columns=["id", "body"])
+
+    return files.mapInPandas(run, "id string, body string")
 
 
 def claim_fields(text: Column) -> dict[str, Column]:

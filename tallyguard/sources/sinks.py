@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,14 +35,39 @@ def deleted(current: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Write to a sibling folder, then swap: readers never see half a table."""
+    """Write to a sibling folder, then swap by two renames: no reader sees half a table, and no crash loses both.
+
+    The old table is beside the new one, as ``path.old``, until that is in place.
+    """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(path + ".next")
     jvm = spark.sparkContext._jvm
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".next", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"could not move {path} away")
+    if not fs.rename(fresh, target):
+        raise OSError(f"could not move {path}.next to its place; the old table is in {path}.old")
+    fs.delete(old, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in ``spark.checkpoint.dir``; a local one in local mode alone."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = base or (own.get() if own.isDefined() else None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tallyguard-')).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a shared folder and read back, for frames that a plan needs several times."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def export(rows: DataFrame, path: str, key: str = "feedback_id", train: int = 80) -> None:

@@ -89,13 +89,15 @@ ORACLE_VIEWS: dict[str, str] = {}
 _NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table or view as a DataFrame; views of ``given`` stand as they are."""
+    if given and name in given:
+        return given[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name].replace("datediff('day', ", "date_diff(DAY, ").replace("//", " div ")
     # date_diff counts from the first date to the second in both engines
-    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in sorted(set(_NAME.findall(VIEWS[name])))})
+    return spark.sql(text, **{x: view(spark, sf_dir, x, given) for x in sorted(set(_NAME.findall(VIEWS[name])))})
 
 
 def _needs(text: str) -> list[str]:

@@ -19,7 +19,11 @@ def test_decisions_round_trip(spark, tmp_path):
     log = flat.selectExpr("filename", "label", "score", "'2024' AS timestamp_utc", "file_num_pages", "text_total_amount", "1 AS text_num_lines", "2 AS layout_num_lines", "0.5 AS forensic_uppercase_ratio")
     for _ in range(2):
         sinks.append(log, f"{tmp_path}/log", "csv")
-    assert readers.decisions(spark, f"{tmp_path}/log").count() == 2
+    log = readers.decisions(spark, f"{tmp_path}/log").cache()
+    assert log.count() == 2 and log.where("_corrupt IS NOT NULL").count() == 0
+    (tmp_path / "odd.csv").write_text("filename,label,score,timestamp_utc,file_num_pages,text_total_amount,text_num_lines,layout_num_lines,forensic_uppercase_ratio\na.pdf,real,0.5,t,1,2.0,3,4,0.1\nb.pdf,real,much,t,1,2.0,3,4,0.1\n")
+    odd = readers.decisions(spark, f"{tmp_path}/odd.csv").cache()
+    assert [(r.filename, r.score) for r in odd.where("_corrupt IS NOT NULL").collect()] == [("b.pdf", None)] and odd.count() == 2
 
 
 def test_feedback_gate_and_labels(spark, tmp_path):
@@ -70,7 +74,7 @@ def test_near_images_by_brute_force(spark):
                 base ^= 1 << bit
             rows.append((i * 4 + j, f"{base:016x}"))
     rows = list({h: (i, h) for i, h in reversed(rows)}.values())  # equal hashes answer by their first
-    got = {(r.image_1, r.image_2, r.distance) for r in duplicates.near_images(spark.createDataFrame(rows, "image_id long, phash string")).collect()}
+    got = {(r.image_1, r.image_2, r.distance) for r in duplicates.near_images(duplicates.image_members(spark.createDataFrame([(i, i, h, 300, 300) for i, h in rows], "image_id long, claim_id long, phash string, width int, height int"))).collect()}
     want = {(a, b, (int(x, 16) ^ int(y, 16)).bit_count()) for a, x in rows for b, y in rows if a < b and x != y and (int(x, 16) ^ int(y, 16)).bit_count() <= 10}
     assert {w[:2] for w in want} == {g[:2] for g in got} and want == got
 
