@@ -72,11 +72,11 @@ def verdict(scored: DataFrame) -> DataFrame:
     """The final label, confidence and action of a scored record: hard failures, then strong rules, then the rules' label."""
     score, label, critical = F.col("score"), F.col("label"), F.col("n_critical")
     strong = (label == "fake") & ((score >= 0.85) | (critical >= 1))
-    t = F.round(score * 1000).cast("int")  # whole thousandths, so that both products are exact
+    t = F.round(score * 2000).cast("int")  # whole half thousandths, so that both products are exact
     confidence = (
-        F.when(F.col("hard_fail"), 93_000).when(strong, 85_000).when(label == "fake", F.least(F.lit(95_000), 60_000 + t * 35))
-        .when(label == "real", F.least(F.lit(95_000), 50_000 + (1000 - t) * 45)).otherwise(65_000)
+        F.when(F.col("hard_fail"), 186_000).when(strong, 170_000).when(label == "fake", F.least(F.lit(190_000), 120_000 + t * 35))
+        .when(label == "real", F.least(F.lit(190_000), 100_000 + (2000 - t) * 45)).otherwise(130_000)
     )
     final = F.when(F.col("hard_fail") | strong, "fake").otherwise(label)
     action = F.when(final == "fake", "reject").when(final == "real", "approve").otherwise("human_review")
-    return scored.select("id", final.alias("final_label"), (confidence / 100_000.0).alias("confidence"), action.alias("action"))
+    return scored.select("id", final.alias("final_label"), (confidence / 200_000.0).alias("confidence"), action.alias("action"))
