@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Hex digits of the key that name a range: 4096 ranges for each source.
 RANGE_DIGITS = 3
+#: Sources, of some hundred bytes each, whose budgets may be broadcast.
+FEW_SOURCES = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -65,12 +67,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
-def _ranges(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """For each range of each source what it holds and what the budget leaves for it.
+def _cuts(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """For each source where its budget ends: ``s``, ``source_size``, ``target``, ``epochs``, ``cut``, ``rest``.
 
-    ``place`` (source, range), ``source_size``, ``target``, ``epochs``,
-    ``words`` (of the range) and ``rest``: the words of the last epoch that are
-    left where the range starts.
+    ``rows`` have ``source``, ``range``, ``size``. In the last epoch the ranges
+    before ``cut`` are taken whole and those after it not at all; ``cut`` itself
+    has ``rest`` words left. Up to ``FEW_SOURCES`` sources are broadcast.
     """
     run = Scratch(rows.sparkSession, "mix-ranges")
     ranges = run(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
@@ -80,10 +82,12 @@ def _ranges(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataF
     starts = starts.join(goals.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    starts = starts.withColumn("epochs", epochs).select(F.struct("source", "range").alias("place"), "source_size", "target", "epochs", "words", (budget - F.col("epochs") * F.col("source_size") - F.col("base")).alias("rest"))
-    out = written(starts, "mix-starts")
+    starts = starts.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size") - F.col("base"))
+    ends = F.min(F.when(F.col("rest") < F.col("words"), F.struct("range", "rest")))
+    found = starts.groupBy("source", "source_size", "target", "epochs").agg(ends.alias("end"))
+    out = written(found.select(F.struct("source").alias("s"), "source_size", "target", "epochs", F.col("end.range").alias("cut"), F.greatest(F.col("end.rest"), F.lit(0)).alias("rest")), "mix-cuts")
     run.remove()
-    return out
+    return F.broadcast(out) if out.count() <= FEW_SOURCES else out
 
 
 def _numbered(groups: DataFrame) -> DataFrame:
@@ -124,11 +128,11 @@ def mix(
         random_key(docs["doc_id"], docs["text"], seed).alias("key"),
     )
     rows = written(rows.withColumn("range", F.substring("key", 1, range_digits)), "mix-sizes")
-    placed = rows.withColumn("place", F.struct("source", "range")).join(_ranges(rows, weights, max_epochs), "place")
-    whole, ends = (F.col("rest") <= 0) | (F.col("rest") >= F.col("words")), ["doc_id", "key", "size", "source", "source_size", "target"]
-    plain = placed.where(whole).withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)))
-    groups = placed.where(~whole).groupBy(*ends, "place", "epochs", "rest").agg(F.count("*").alias("n"))
-    before = W.partitionBy("place").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("s", F.struct("source")).join(_cuts(rows, weights, max_epochs), "s")
+    at_cut, ends = F.coalesce(F.col("range") == F.col("cut"), F.lit(False)), ["doc_id", "key", "size", "source", "source_size", "target"]
+    plain = placed.where(~at_cut).withColumn("taken", F.col("size") * (F.col("epochs") + F.when(F.col("range") < F.col("cut"), 1).otherwise(0)))
+    groups = placed.where(at_cut).groupBy(*ends, "s", "epochs", "rest").agg(F.count("*").alias("n"))
+    before = W.partitionBy("s").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     cut = _numbered(groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))))
     left = F.col("rest") - F.col("before") - F.col("nth") * F.col("size")
     cut = cut.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
@@ -152,20 +156,20 @@ def apply_mix(
     others; repeated rows are taken one after the other. Extra columns,
     whatever their names, come along; an empty table stays empty; texts of any
     length are counted, and cut, whole. A row that isn't in its source's last
-    range stays where it is read: nothing but its range's budget is joined to it.
+    range stays where it is read: nothing but its source's budget is joined to it.
     """
     row = F.struct(*(docs[c] for c in docs.columns))
     key = random_key(docs["doc_id"], docs["text"], seed)
     rows = docs.select(docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), F.substring(key, 1, range_digits).alias("range"))
     rows = written(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-sizes")
-    named = docs.select(row.alias("row"), key.alias("key"), F.struct(docs["source"].cast("string").alias("source"), F.substring(key, 1, range_digits).alias("range")).alias("place"))
-    placed = named.join(_ranges(rows, weights, max_epochs), "place")
-    worded, whole = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), (F.col("rest") <= 0) | (F.col("rest") >= F.col("words"))
-    times = F.when(worded, F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)).otherwise(1).cast("int")
-    plain = placed.where(whole).select(F.explode(F.array_repeat("row", times)).alias("row"))
-
-    groups = placed.where(~whole).groupBy("row", "key", "place", "epochs", "rest").agg(F.count("*").alias("n")).withColumn("size", n_words(F.col("row.text")))
-    before = W.partitionBy("place").orderBy("key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1)
+    named = docs.select(row.alias("row"), key.alias("key"), F.substring(key, 1, range_digits).alias("range"), F.struct(docs["source"].cast("string").alias("source")).alias("s"))
+    placed = named.join(_cuts(rows, weights, max_epochs), "s")
+    worded, at_cut = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
+    times = F.when(worded, F.col("epochs") + F.when(F.col("range") < F.col("cut"), 1).otherwise(0)).otherwise(1).cast("int")
+    plain = placed.where(~at_cut).select(F.explode(F.array_repeat("row", times)).alias("row"))
+
+    groups = placed.where(at_cut).groupBy("row", "key", "s", "epochs", "rest").agg(F.count("*").alias("n")).withColumn("size", n_words(F.col("row.text")))
+    before = W.partitionBy("s").orderBy("key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1)
     cut = _numbered(groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))))
     left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("nth") * F.col("size")))
     full = F.col("epochs") + F.when(left == F.col("size"), 1).otherwise(0)
