@@ -30,6 +30,21 @@ def indian_phone(phone: Column) -> dict[str, Column]:
     return {"digits": d, "confidence": F.greatest(F.lit(0), 10 - off) / 10.0, "valid": 10 - off > 5, "repeated": repeated, "sequential": sequential}
 
 
+def us_phone(phone: Column) -> dict[str, Column]:
+    """Confidence of a number of the United States, in tenths as whole numbers first, and its written form."""
+    d = F.regexp_replace(F.coalesce(phone, F.lit("")), r"[^\d+]", "")
+    d = F.when(d.startswith("+1"), F.substring(d, 3, 99)).when(d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 99)).otherwise(d)
+    whole = F.length(d) == 10
+    off = (
+        F.when(F.substring(d, 1, 1).isin("0", "1"), 4).otherwise(0)
+        + F.when(d.rlike(r"(.)\1{4}"), 5).otherwise(0)
+        + F.when(d.rlike("|".join(SEQUENCES)), 6).otherwise(0)
+    )
+    tenths = F.when(F.coalesce(phone, F.lit("")) == "", 0).when(whole, F.greatest(F.lit(0), 10 - off)).otherwise(5)
+    dashed = F.concat(F.lit("+1-"), F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))
+    return {"digits": d, "confidence": tenths / 10.0, "valid": tenths > 5, "formatted": F.when(whole, dashed).otherwise(d)}
+
+
 def gstin_issue(gstin: Column) -> Column:
     """The first thing wrong with a tax number's form, or null."""
     state = F.substring(gstin, 1, 2)
