@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import digests, format_conversations, streamed
 from .common import table
 from .jaccard import near_duplicates
@@ -18,6 +19,8 @@ from .quality import BOILERPLATE, judge_quality
 from .syncmers import fingerprints
 from .toxicity import score_toxicity
 from .urls import judge_urls, rule_table
+from .vector_codes import encode
+from .vector_links import link_vectors
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +125,63 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts' tokens by two vocabularies, aligned, with the corpus-wide counts of their links."""
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by integer codebooks."""
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out, one after another, on plain squared distances."""
+    nearest = """(SELECT p, i, e, d FROM (SELECT v.p, v.i, c.e, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN {c} c ON v.p = c.p AND v.pos = c.pos GROUP BY v.p, v.i, c.e)
+  QUALIFY row_number() OVER (PARTITION BY p, i ORDER BY d, e) = 1)"""
+    out = f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS i, vec_id, label, embedding AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+), flat AS (SELECT i, unnest(q) AS x, unnest(range(len(q))) AS k_at, len(q) // {parts} AS wide FROM k
+), v AS (SELECT i, k_at // wide AS p, k_at % wide AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM flat
+), c0 AS (SELECT p, i - 1 AS e, pos, x FROM v WHERE i <= {entries}
+)"""
+    for r in range(1, rounds + 1):
+        out += f""", n{r} AS {nearest.format(c=f"c{r - 1}")}, m{r} AS (
+  SELECT v.p, n.e, v.pos, CAST(floor(CAST(sum(v.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM v JOIN n{r} n ON v.p = n.p AND v.i = n.i GROUP BY v.p, n.e, v.pos
+), c{r} AS (SELECT c.p, c.e, c.pos, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN m{r} m ON c.p = m.p AND c.e = m.e AND c.pos = m.pos)"""
+    return (
+        out
+        + f""", last AS {nearest.format(c=f"c{rounds}")}, coded AS (
+  SELECT i, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY i
+), labelled AS (SELECT k.vec_id, k.label, coded.code, coded.error FROM k JOIN coded ON k.i = coded.i
+), digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, pos)) AS s FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest.s AS codebooks_sha256 FROM labelled, digest
+"""
+    )
+
+
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors with a label: cosine 0.93."""
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), good AS (
+  SELECT i, vec_id, label, v FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) = len(list_filter(v, lambda x: isfinite(x))) AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.i AS a, b.i AS b FROM good a JOIN good b ON a.label = b.label AND a.i <> b.i AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (SELECT i, i FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), class AS (SELECT r.a, min(e.vec_id) AS component_id FROM reach r JOIN e ON r.b = e.i GROUP BY r.a
+), degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(degree.k, 0) AS BIGINT) AS n_links, class.component_id, e.vec_id = class.component_id AS kept
+FROM e JOIN class ON e.i = class.a LEFT JOIN degree ON e.i = degree.a
+"""
+
+
 _WS = "[\\x20\\x09-\\x0D]"
 _BOILER = " OR ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)
 OP9_SQL = rf"""
@@ -162,7 +222,7 @@ FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_urls": op10_urls}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_urls": op10_urls, "op11_alignment": op11_alignment, "op12_vector_codes": op12_vector_codes, "op13_vector_links": op13_vector_links}
 
 
 OP3_SQL = r"""
@@ -190,4 +250,4 @@ FROM g LEFT JOIN copies ON g.g = copies.g LEFT JOIN class ON copies.rep = class.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op9_quality": OP9_SQL, "op10_urls": OP10_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_mixing": OP4_SQL, "op5_chat": OP5_SQL, "op9_quality": OP9_SQL, "op10_urls": OP10_SQL, "op12_vector_codes": _op12_sql(), "op13_vector_links": OP13_SQL}
