@@ -17,8 +17,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: A line fails if this share of its words has symbols, or shouts.
 NOISE_SHARE = 0.3
-#: Words from which a line needs a mark of punctuation.
+#: Words from which a line needs a mark of punctuation, of any script.
 BARE_WORDS = 25
+#: A line of navigation: short pieces between separators, this many at least, of so many words each at most.
+LINKS, LINK_WORDS = 3, 3
 #: A document that loses more than this share of its word characters is rejected.
 MAX_LOST = 0.5
 
@@ -32,6 +34,11 @@ BOILERPLATE = (
 _WS = r"[\x20\x09-\x0D]"
 
 
+#: The whole line is such pieces, as of menus and bread crumbs: no sentence ends in it.
+_PIECE = r"[^\x00-\x20|•·»›>/.!?。।]+(?: [^\x00-\x20|•·»›>/.!?。।]+){0,%d}" % (LINK_WORDS - 1)
+NAVIGATION = rf"^\s*{_PIECE}(?: *[|•·»›>] *{_PIECE}){{{LINKS - 1},}}\s*$"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -89,8 +96,9 @@ def line_fails(line: Column) -> Column:
             boiler = boiler | lower.contains(phrase)
         noisy = s["symbols"] >= NOISE_SHARE * words
         shouting = s["shouts"] >= NOISE_SHARE * words
-        bare = (words >= BARE_WORDS) & ~line.rlike(r"[.!?:;,…]")
-        return (words > 0) & (noisy | shouting | bare | (boiler & (words <= BARE_WORDS)))
+        bare = (words >= BARE_WORDS) & ~line.rlike(r"\p{P}")
+        links = line.rlike(NAVIGATION)
+        return (words > 0) & (noisy | shouting | bare | links | (boiler & (words <= BARE_WORDS)))
 
     counts = F.struct(
         _count(line, WORD).alias("words"),

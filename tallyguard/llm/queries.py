@@ -183,6 +183,8 @@ FROM e JOIN class ON e.i = class.a LEFT JOIN degree ON e.i = degree.a
 
 
 _WS = "[\\x20\\x09-\\x0D]"
+_PIECE = r"[^\x00-\x20|•·»›>/.!?。।]+( [^\x00-\x20|•·»›>/.!?。।]+){0,2}"
+_NAV = rf"^\s*{_PIECE}( *[|•·»›>] *{_PIECE}){{2,}}\s*$"
 _BOILER = " OR ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)
 OP9_SQL = rf"""
 WITH d AS (
@@ -197,7 +199,7 @@ WITH d AS (
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
 ), kept AS (
   SELECT r, count(*) FILTER (words > 0) - count(DISTINCT CASE WHEN words > 0 THEN l END) AS n_dup_lines, sum(chars) FILTER (NOT (words > 0 AND (10 * symbols >= 3 * words OR 10 * shouts >= 3 * words
-    OR (words >= 25 AND NOT regexp_matches(l, '[.!?:;,…]')) OR (words <= 25 AND ({_BOILER}))))) AS chars FROM lines GROUP BY r
+    OR (words >= 25 AND NOT regexp_matches(l, '\p{{P}}')) OR regexp_matches(l, '{_NAV}') OR (words <= 25 AND ({_BOILER}))))) AS chars FROM lines GROUP BY r
 ), base AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WS}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, coalesce(kept.chars, 0) AS chars FROM d JOIN kept ON d.r = kept.r LEFT JOIN again ON d.r = again.r

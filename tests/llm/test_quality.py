@@ -40,3 +40,24 @@ def test_lines(spark):
     text = "\n".join([prose, "All rights reserved", "Home | News | Sport | About", "BUY!! NOW!! CHEAP!! PILLS!!", "", prose])
     row = quality.judge_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.cleaned == f"{prose}\n\n{prose}"
+
+
+def test_lines_of_many_scripts(spark):
+    """Thirty different words to a line, each line ended by the script's own stop."""
+    scripts = {"latin": ("a", "."), "devanagari": ("अ", "।"), "armenian": ("ա", "։"), "amharic": ("አ", "።"), "arabic": ("ا", "۔"), "greek": ("α", "."), "thai": ("ก", "ฯ"), "chinese": ("一", "。")}
+    rows = []
+    for name, (letter, stop) in scripts.items():
+        first = ord(letter)
+        lines = [" ".join(f"{chr(first + i % 20)}{chr(first + j % 20)}{chr(first + (i + j) % 20)}" for j in range(30)) + stop for i in range(6)]
+        rows.append((name, "\n".join(lines)))
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [n for i, (n, _) in enumerate(rows) if not got[i].kept and not got[i].base_failed] == []
+
+
+def test_navigation_by_shape(spark):
+    prose = "This is a plain sentence with some words, as one would write it."
+    menus = ["Start | Nachrichten | Sport", "Home > Garden tools > Rakes", "Inicio · Noticias · Deportes · Contacto", "首页 | 新闻 | 体育"]
+    kept = ["Either a | b, he said. Or not.", "one · two", "One or two", "Price | 12.50 each"]
+    rows = [(i, f"{prose}\n{t}\n{prose}") for i, t in enumerate(menus + kept)]
+    got = {r.doc_id: r.cleaned for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] == f"{prose}\n{prose}" for i in range(len(rows))] == [True] * len(menus) + [False] * len(kept)
