@@ -17,9 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +32,8 @@ from .packing import _LONG_RUN, _PLAIN, Encoder, tokenizer_paths
 BLOCK_PAIRS = 1 << 20
 #: Links that are listed at once.
 LIST_LINKS = 1 << 20
-#: Words kept with their ids by a task, and the longest of them.
-KEPT_WORDS, KEPT_CHARS = 1 << 17, 48
-
-#: A space at which both vocabularies always cut: alone between two characters that aren't space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: Tokens whose ends are searched together, and every how many a value is searched ahead of its neighbours.
+TOGETHER, STRIDE = 1 << 18, 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,69 +59,66 @@ class Pair:
             self.a_bytes[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        #: Whether no piece has a space behind another character, so that words can be encoded one by one.
-        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self._kept: dict[str, tuple[list[int], list[int]]] = {}
 
-    def whole(self, text: str) -> tuple[list[int], list[int]]:
+    def __call__(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of space+text by the first vocabulary, of the text by the second, which adds the space."""
         full = " " + text
         fast = self._a.fast is not None and _plain(full)
         return (self._a.fast.encode_ordinary(full) if fast else self._a.exact.encode(full, add_special_tokens=False).ids), self._b.encode(text)
 
-    def _word(self, word: str) -> tuple[list[int], list[int]]:
-        found = self.whole(word)
-        if len(word) <= KEPT_CHARS:
-            if len(self._kept) >= KEPT_WORDS:
-                self._kept.clear()
-            self._kept[word] = found
-        return found
-
-    def __call__(self, text: str) -> tuple[list[int], list[int]]:
-        """The ids of ``whole``, word by word: both vocabularies cut before a single space (the piece side writes a space as U+2581)."""
-        if not self.apart or "▁" in text:
-            return self.whole(text)
-        words = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        kept, word = self._kept, self._word
-        found = [kept.get(w) or word(w) for w in words]
-        return list(chain.from_iterable(x[0] for x in found)), list(chain.from_iterable(x[1] for x in found))
-
 
 def _plain(text: str) -> bool:
     return bool(_PLAIN.fullmatch(text)) and not _LONG_RUN.search(text)
 
 
-def intersect(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
-    """Ranks, in each of two ascending lists, of the values in both.
+def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For each of ``short`` the rank of the first of ``long`` that isn't less; both ascend, and ``long`` ends with the greatest value of either.
 
-    The shorter drives: from the place where the last search ended, steps of 1,
-    2, 4 and so on pass the value, then a binary search within the last step
-    finds it. ``long`` must end with the greatest value of either.
+    Every ``STRIDE``-th value is searched first, and is where the search for the
+    values behind it starts: steps of 1, 2, 4 and so on pass the value, then a
+    binary search within the last step finds it. All values take a step at once.
+    """
+    low = np.repeat(gallop(short[::STRIDE], long), STRIDE)[: len(short)] if len(short) > STRIDE else np.zeros(len(short), np.int64)
+    high, step, last = low.copy(), 1, len(long) - 1
+    at = np.flatnonzero(long[high] < short)
+    while len(at):
+        passed = high[at]
+        low[at] = passed + 1
+        high[at] = passed = np.minimum(passed + step, last)
+        step += step
+        at = at[long[passed] < short[at]]
+    at = np.flatnonzero(low < high)
+    while len(at):
+        a, b = low[at], high[at]
+        mid = (a + b) >> 1
+        less = long[mid] < short[at]
+        low[at] = a = np.where(less, mid + 1, a)
+        high[at] = b = np.where(less, b, mid)
+        at = at[a < b]
+    return low
+
+
+def groups(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each document, given as the byte lengths of its tokens by both sides, the tokens of each side before the end of each group.
+
+    The byte ends of many documents, one behind another, are searched together:
+    those with fewer tokens of the first side apart from the others.
     """
-    at, there, j, last = [], [], 0, len(long) - 1
-    for i, x in enumerate(short):
-        if long[j] < x:
-            low, step = j, 1
-            j += 1
-            while long[j] < x:
-                step += step
-                low, j = j, min(j + step, last)
-            if step > 1:
-                j = bisect_left(long, x, low + 1, j + 1)
-        if long[j] == x:
-            at.append(i)
-            there.append(j)
-    return at, there
-
-
-def groups(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each side before the end of each group, for tokens of equal joined bytes."""
-    ends_a, ends_b = list(accumulate(map(len, a))), list(accumulate(map(len, b)))
-    if len(ends_a) <= len(ends_b):
-        i, j = intersect(ends_a, ends_b)
-    else:
-        j, i = intersect(ends_b, ends_a)
-    return np.array(i, np.int64) + 1, np.array(j, np.int64) + 1
+    out: list = [None] * len(docs)
+    for drives in (0, 1):
+        chosen = [k for k, d in enumerate(docs) if (len(d[0]) > len(d[1])) == bool(drives)]
+        if not chosen:
+            continue
+        short, long = (np.cumsum(np.concatenate([docs[k][side] for k in chosen])) for side in (drives, 1 - drives))
+        place = gallop(short, long)
+        i = np.flatnonzero(long[place] == short)
+        j = place[i]
+        from_i, from_j = (np.cumsum([0, *(len(docs[k][side]) for k in chosen)]) for side in (drives, 1 - drives))
+        cut = np.searchsorted(i, from_i)
+        for n, k in enumerate(chosen):
+            found = (i[cut[n] : cut[n + 1]] - from_i[n] + 1, j[cut[n] : cut[n + 1]] - from_j[n] + 1)
+            out[k] = found[::-1] if drives else found
+    return out
 
 
 def _counted(keys: list[np.ndarray], occ: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,21 +197,28 @@ def _blocks(docs: DataFrame, paths: tuple[str, str | None, str], block_pairs: in
         width = len(pair.b_bytes)
         wrote = Written(len(pair.a_bytes), width)
         of_a, of_b = pair.a_bytes.__getitem__, pair.b_bytes.__getitem__
+        long_a, long_b = (np.array([len(x) for x in t], np.int64) for t in (pair.a_bytes, pair.b_bytes))
         part, serial, held = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
 
-        def one(text: str | None) -> tuple:
+        def encoded(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
             if not text:
-                return nothing
-            ids_a, ids_b = pair(text)
-            tokens_a, tokens_b, whole = list(map(of_a, ids_a)), list(map(of_b, ids_b)), (" " + text).encode("utf-8", "replace")
-            if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
-                return nothing
-            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            to_a, to_b = groups(tokens_a, tokens_b)
-            key, occ = links(a, b, to_a, to_b, width)
-            return len(a), len(b), len(to_a), int(occ.sum()), hashlib.sha256(wrote(a, b, to_a, to_b)).hexdigest(), key, occ
+                return None
+            (ids_a, ids_b), whole = pair(text), (" " + text).encode("utf-8", "replace")
+            if b"".join(map(of_a, ids_a)) != whole or b"".join(map(of_b, ids_b)) != whole:
+                return None
+            return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+        def aligned(waiting: list[tuple]) -> Iterator[tuple]:
+            found = iter(groups([(long_a[x[0]], long_b[x[1]]) for _, x in waiting if x]))
+            for doc_id, x in waiting:
+                if x is None:
+                    yield doc_id, *nothing
+                    continue
+                (a, b), (to_a, to_b) = x, next(found)
+                key, occ = links(a, b, to_a, to_b, width)
+                yield doc_id, len(a), len(b), len(to_a), int(occ.sum()), hashlib.sha256(wrote(a, b, to_a, to_b)).hexdigest(), key, occ
 
         def out() -> pa.RecordBatch:
             nonlocal serial, held
@@ -231,15 +229,22 @@ def _blocks(docs: DataFrame, paths: tuple[str, str | None, str], block_pairs: in
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
-        for batch in batches:
-            seen: dict[str | None, tuple] = {}  # equal texts of a batch are encoded once
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                found = seen.get(text)
-                if found is None:
-                    found = seen[text] = one(text)
-                rows.append((doc_id, *found))
-                held += len(found[5]) + 1
+        def texts() -> Iterator[list[tuple]]:
+            waiting, tokens = [], 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    x = encoded(text.as_py())
+                    waiting.append((doc_id, x))
+                    tokens += len(x[0]) + len(x[1]) if x else 1
+                    if tokens >= TOGETHER:
+                        yield waiting
+                        waiting, tokens = [], 0
+            yield waiting
+
+        for waiting in texts():
+            for row in aligned(waiting):
+                rows.append(row)
+                held += len(row[6]) + 1
                 if held >= block_pairs:
                     yield out()
         if rows:
