@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
     def remove(self) -> None:
         """Delete the run's tables: what still reads them must have been written elsewhere."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -63,6 +71,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name)(df, "table")
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, which every API takes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def marks(hashes: DataFrame, bits: int = 24) -> Callable[[Column], Column]:
+    """A test that is true of every 64-bit hash in the one column of ``hashes`` and of few others, for a filter ahead of a shuffle.
+
+    It is a bit map of ``2 ** bits`` bits, set in a distributed aggregate and
+    broadcast: 2 MB at 24, whatever the input. The more hashes, the more others
+    pass; none of ``hashes`` is ever missed.
+    """
+    slot = hashes.select((F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))).alias("s"))
+    words = slot.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy()
+    shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        s = h.to_numpy() & ((1 << bits) - 1)
+        return pd.Series((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
+
+    return marked
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for a row.
 

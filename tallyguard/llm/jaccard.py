@@ -8,7 +8,8 @@
 3. The band hashes are shuffled: every bucket of two or more names a star of
    candidate links to its least member, and connected stars are the candidate
    groups. Pairs are not written out anywhere.
-4. The candidates' texts alone are fetched, and the full n-gram sets of all
+4. The candidates' texts alone are fetched (a bit map keeps most others out of
+   the shuffle), and the full n-gram sets of all
    pairs of a unit are compared as a matrix product. A unit is a candidate group
    or, where that is less work, each bucket of the group by itself: a large
    group that few links chain together has far more pairs than its buckets. A
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import WORD, Scratch, marks, own
 from .components import components
 
 N_WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
@@ -213,27 +214,33 @@ def near_duplicates(
     Repeated rows count as documents of an equal set. Extra columns are
     ignored; an empty table gives no rows.
     """
-    bands = bands_for(threshold, recall, rows)
+    with Scratch(docs.sparkSession, "jaccard") as run:
+        return _near_duplicates(docs, run, Scratch(docs.sparkSession, "jaccard-out"), n_words, threshold, bands_for(threshold, recall, rows), rows, block_docs, block_grams)
+
+
+def _near_duplicates(docs: DataFrame, run: Scratch, out: Scratch, n_words: int, threshold: float, bands: int, rows: int, block_docs: int, block_grams: int) -> DataFrame:
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    run = Scratch(docs.sparkSession, "jaccard")
-    seen = written(_sketches(texts, n_words, rows, bands), "jaccard-sketches")
+    sketches = run(_sketches(texts, n_words, rows, bands), "sketches")
+    seen = out(sketches.select("doc_id", "th", F.when(F.col("n") > 0, F.col("dig")).alias("dig")), "seen")
+    short = F.xxhash64("dig").alias("sid")  # of candidates only: what it mistakes for another is compared in vain
     sets = run(
-        seen.where("n > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("copy_of"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        sketches.where("n > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("copy_of"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("sid", short),
         "sets",
     )
 
     zero = F.lit(0)
-    in_bands = sets.select("dig", F.posexplode("bands").alias("band", "bucket"))
-    stars = in_bands.groupBy("bucket").agg(F.min("dig").alias("b"), F.count("*").alias("c")).where("c > 1")
+    in_bands = sets.select("sid", F.explode("bands").alias("bucket"))
+    stars = in_bands.groupBy("bucket").agg(F.min("sid").alias("b"), F.count("*").alias("c")).where("c > 1")
     stars = run(stars, "stars")
-    groups = components(in_bands.join(stars, "bucket").select(F.col("dig").alias("a"), "b"), run, "groups")
+    links = run(in_bands.join(stars.select("bucket", "b"), "bucket").select(F.col("sid").alias("a"), "b").distinct(), "candidates")
+    groups = components(links, run, "groups")
 
     # Pairs of a group as a whole, and pairs of its buckets.
-    joined = groups.select(F.col("node").alias("dig"), F.col("root").alias("grp"))
-    of_buckets = stars.join(joined.withColumnRenamed("dig", "b"), "b").groupBy("grp").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("chained"))
+    joined = groups.select(F.col("node").alias("sid"), F.col("root").cast("string").alias("grp"))
+    of_buckets = stars.join(joined.withColumnRenamed("sid", "b"), "b").groupBy("grp").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("chained"))
     of_groups = joined.groupBy("grp").agg(F.count("*").cast("double").alias("m")).join(of_buckets, "grp")
     by_bucket = run(of_groups.select("grp", ((F.col("m") > block_docs) & (F.col("chained") < F.col("m") * F.col("m"))).alias("by_bucket")), "units")
-    members = run(joined.join(by_bucket, "grp").join(sets.select("dig", "rep", "cnt", "n", "bands"), "dig"), "members")
+    members = run(joined.join(by_bucket, "grp").join(sets.select("sid", "dig", "rep", "cnt", "n", "bands"), "sid"), "members")
     whole = members.where("NOT by_bucket").select(F.col("grp").alias("unit"), F.lit(-1).alias("band"), "dig", "rep", "cnt", "n", F.lit(None).cast("array<long>").alias("bands"))
     apart = members.where("by_bucket").select("dig", "rep", "cnt", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
     apart = apart.join(stars.select("bucket"), "bucket").select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("unit"), "band", "dig", "rep", "cnt", "n", "bands")
@@ -266,7 +273,8 @@ def near_duplicates(
     wanted = members.select("dig", "cnt", "band", "bands", tasks.alias("tasks"))
     of_sets = F.struct(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     named_rows = run(members.select("dig", of_sets.alias("key")).distinct(), "fetched-keys")
-    fetched = texts.select(F.struct("doc_id", "th").alias("key"), "text").join(named_rows.hint("merge"), "key")  # alike at every size: both sides grow
+    likely = texts.where(marks(named_rows.select("key.th"))(F.col("th")))
+    fetched = likely.select(F.struct("doc_id", "th").alias("key"), "text").join(named_rows.hint("merge"), "key")  # alike at every size: both sides grow
     fetched = run(fetched.groupBy("dig").agg(F.first("text").alias("text")), "texts")  # repeated rows fold before they are shuffled
     blocks = fetched.join(wanted.withColumn("t", F.explode("tasks")), "dig").select("dig", "cnt", "text", "band", "bands", "t.task", "t.side")
     found = run(blocks.groupBy("task").applyInPandas(_links(threshold, n_words), "dig string, links long, root string"), "links")
@@ -281,16 +289,15 @@ def near_duplicates(
     )
     named = run(named, "named")
     classes = run(named.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("rep").alias("least")), "least")
-    named = written(named.join(classes, "root").drop("root", "rep"), "jaccard-named")
-    run.remove()
-    own = F.col("least").isNull()
+    named = out(named.join(classes, "root").drop("root", "rep"), "named")
+    alone = F.col("least").isNull()
     return seen.select("doc_id", "th", "dig").join(named, "dig", "left").select(
         "doc_id",
         "th",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", zero).cast("long").alias("n_links"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        (own | (F.struct("doc_id", "th") == F.col("least"))).alias("first"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        (alone | (F.struct("doc_id", "th") == F.col("least"))).alias("first"),
     )
 
 
@@ -303,10 +310,15 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     their names, stay as they are; an empty table stays empty; texts of any
     length are compared whole.
     """
+    found = near_duplicates(docs, **options)
+    columns = [own(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
-    blank = F.coalesce(F.length(F.regexp_replace(docs["text"], r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
-    kept = near_duplicates(docs, **options).where("first").select(F.struct("doc_id", "th").alias("__key"))
-    row = F.struct(*(docs[c] for c in docs.columns))
-    once = docs.where(~blank).select(key.alias("__key"), row.alias("__row")).groupBy("__key").agg(F.first("__row").alias("__row"))
-    worded = once.join(kept, "__key", "left_semi").select("__row.*")
-    return worded.unionByName(docs.where(blank))
+    rows = docs.select(key.alias("key"), F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False)).alias("worded"), *columns)
+    rows = rows.withColumn("many", marks(found.where("n_links > 0").select("th"))(F.col("key.th")) & F.col("worded"))  # all that have a link or a copy
+    names = [f"c{i}" for i in range(len(columns))]
+    linked = found.where("n_links > 0").select(F.struct("doc_id", "th").alias("key"), F.col("first").cast("int").alias("first"))
+    linked = linked.groupBy("key").agg(F.max("first").alias("first"))
+    many = rows.where("many").join(linked.hint("merge"), "key", "left").where("first IS NULL OR first = 1")
+    single = many.where("first IS NULL").select(*names)  # passed the bit map by chance
+    once = many.where("first = 1").groupBy("key").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return rows.where("NOT many").select(*names).union(single).union(once).toDF(*docs.columns)

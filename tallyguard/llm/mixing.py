@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, written
+from .common import WORD, Scratch, own, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -158,17 +158,19 @@ def apply_mix(
     length are counted, and cut, whole. A row that isn't in its source's last
     range stays where it is read: nothing but its source's budget is joined to it.
     """
-    row = F.struct(*(docs[c] for c in docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.struct(*(own(docs, c).alias(n) for n, c in zip(names, docs.columns, strict=True)))
+    its = {c: f"row.{n}" for n, c in zip(names, docs.columns, strict=True)}
     key = random_key(docs["doc_id"], docs["text"], seed)
     rows = docs.select(docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), F.substring(key, 1, range_digits).alias("range"))
     rows = written(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-sizes")
     named = docs.select(row.alias("row"), key.alias("key"), F.substring(key, 1, range_digits).alias("range"), F.struct(docs["source"].cast("string").alias("source")).alias("s"))
     placed = named.join(_cuts(rows, weights, max_epochs), "s")
-    worded, at_cut = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
+    worded, at_cut = F.coalesce(F.col(its["text"]).rlike(WORD), F.lit(False)), F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
     times = F.when(worded, F.col("epochs") + F.when(F.col("range") < F.col("cut"), 1).otherwise(0)).otherwise(1).cast("int")
     plain = placed.where(~at_cut).select(F.explode(F.array_repeat("row", times)).alias("row"))
 
-    groups = placed.where(at_cut).groupBy("row", "key", "s", "epochs", "rest").agg(F.count("*").alias("n")).withColumn("size", n_words(F.col("row.text")))
+    groups = placed.where(at_cut).groupBy("row", "key", "s", "epochs", "rest").agg(F.count("*").alias("n")).withColumn("size", n_words(F.col(its["text"])))
     before = W.partitionBy("s").orderBy("key", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, -1)
     cut = _numbered(groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))))
     left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("nth") * F.col("size")))
@@ -176,11 +178,11 @@ def apply_mix(
     wholes = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") == 0, 1).otherwise(full).cast("int"))
     pieces = F.when((left > 0) & (left < F.col("size")), F.array(left.cast("long"))).otherwise(F.array().cast("array<long>"))
     cut = cut.select("row", F.explode(F.concat(wholes, pieces)).alias("most"))
-    found = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    found = F.regexp_extract_all(its["text"], F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
     head = F.array_join(F.slice(found, 1, F.greatest(F.col("most"), F.lit(0)).cast("int")), "")
     short = cut.withColumn("head", F.when(F.col("most") >= 0, head))
-    changed = {"text": F.coalesce("head", "row.text")}
+    changed = {"text": F.coalesce("head", its["text"])}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.coalesce(F.length("head"), "row.n_chars").cast(docs.schema["n_chars"].dataType)
-    short = short.select(F.struct(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns)).alias("row"))
-    return plain.union(short).select("row.*")
+        changed["n_chars"] = F.coalesce(F.length("head"), its["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    short = short.select(F.struct(*(changed.get(c, F.col(its[c])).alias(n) for n, c in zip(names, docs.columns, strict=True))).alias("row"))
+    return plain.union(short).select("row.*").toDF(*docs.columns)

@@ -18,11 +18,14 @@ Matches that fail their test are dropped and not tried again.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import numbered
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: The kinds that the method adds: a credential in an address, an account
 #: number after a cue, and an international bank account number.
@@ -42,8 +45,12 @@ _LOCAL = _LABEL | frozenset("._%+")
 _PHONE = _DIGITS | frozenset(" ().-")
 _ALNUM = _LABEL - {"-"}
 _URL_END = frozenset(" \t\n\r\x0b\x0c\"'<>()[]{}")
-#: Longest distance between a cue and its number, and lengths of one.
-_CUE_GAP, _ACCOUNT_LEAST, _ACCOUNT_MOST = 12, 6, 34
+#: Longest distance between a cue and its number: over any words, and over words that name a number.
+CUE_GAP, LABEL_GAP = 12, 32
+#: Words that name a number that follows.
+LABEL_WORDS = frozenset("number no nr num id code is ending ends in with my your the new".split())
+_ACCOUNT_LEAST, _ACCOUNT_MOST = 6, 34
+_DATE = re.compile(r"(?:(?:19|20)\d\d([-/. ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/. ])(?:0?[1-9]|[12]\d|3[01])\2(?:19|20)\d\d|(?:19|20)\d\d[-/](?:19|20)\d\d)")
 
 Span = tuple[str, int, int]
 
@@ -211,30 +218,36 @@ def _account(text: str, cue_at: int, cue_end: int) -> Span | None:
     """The number that follows a cue: at least four digits among letters, digits, hyphens and separated groups of digits.
 
     Words without digits between the cue and it, such as "Number" or "No.", are
-    passed over; the number is the first word that holds a digit.
+    passed over; the number is the first word that holds a digit. It lies within
+    ``CUE_GAP`` characters of the cue, or ``LABEL_GAP`` if only ``LABEL_WORDS``
+    come between. A date and a pair of years are no numbers.
     """
     if cue_at and text[cue_at - 1].isalnum() or cue_end < len(text) and text[cue_end].isalnum():
         return None
-    end = cue_end
+    end, gap = cue_end, LABEL_GAP
     while True:
         at = end
-        while at < len(text) and at - cue_end <= _CUE_GAP and text[at] not in _ALNUM:
+        while at < len(text) and at - cue_end <= gap and text[at] not in _ALNUM:
             at += 1
-        if at >= len(text) or at - cue_end > _CUE_GAP:
+        if at >= len(text) or at - cue_end > gap:
             return None
         if span := _iban(text, at):
             return span
         end = at
-        while end < len(text) and text[end] in _LABEL and end - at <= _ACCOUNT_MOST + _CUE_GAP:
+        while end < len(text) and text[end] in _LABEL and end - at <= _ACCOUNT_MOST + CUE_GAP:
             end += 1
         if any(c in _DIGITS for c in text[at:end]):
             break
+        if text[at:end].lower() not in LABEL_WORDS:
+            gap = CUE_GAP
     last = end
     while text[last - 1] == "-":
         last -= 1
     if last == end:
         last = _groups(text, at, end)
     digits = sum(c in _DIGITS for c in text[at:last])
+    if _DATE.fullmatch(text, at, last):
+        return None
     return ("account", at, last) if _ACCOUNT_LEAST <= last - at <= _ACCOUNT_MOST and digits >= 4 else None
 
 
@@ -337,4 +350,5 @@ def redact_pii(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

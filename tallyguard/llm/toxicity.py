@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered
 from .langid import fold_of
 
 #: Labelled texts that are learned from, in expectation: what the driver gathers is bounded by their words.
@@ -395,10 +395,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int
         share = F.when(F.col("toxic") == label, int(1e6 * min(1.0, n / max(1, sizes.get(label, 0))))).otherwise(share)
     chosen = own.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share)
     texts = docs.where("text IS NOT NULL").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    run = Scratch(docs.sparkSession, "toxicity-fit")
-    model = learn(run(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "texts"))
-    run.remove()
-    return model
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text for each id
+    with Scratch(docs.sparkSession, "toxicity-fit") as run:
+        return learn(run(texts.select("toxic", "text"), "texts"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, folds: int = 5, held: int = 0) -> DataFrame:
@@ -447,4 +446,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -246,9 +246,14 @@ def link_vectors(
     skip what they decide.
     """
     spark = vectors.sparkSession
-    run, out = Scratch(spark, "vector-links"), Scratch(spark, "vector-links-out")
-    seen = out(_named(vectors, id_col, vector_col, label_col), "seen")
-    groups = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"), F.first("label").alias("label"), F.first("v").alias("v"))
+    with Scratch(spark, "vector-links") as run:
+        return _linked(_named(vectors, id_col, vector_col, label_col), run, Scratch(spark, "vector-links-out"), threshold, tile, sample_rows)
+
+
+def _linked(named_rows: DataFrame, run: Scratch, out: Scratch, threshold: float, tile: int, sample_rows: int) -> DataFrame:
+    valid = run(named_rows, "valid")
+    seen = out(valid.select("vec_id", "dig"), "seen")
+    groups = valid.where("dig IS NOT NULL").groupBy("dig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"), F.first("label").alias("label"), F.first("v").alias("v"))
     sets = run(groups, "sets")
     axes = _directions(sets, sample_rows)
     tiles = run(_tiles(_placed(sets, axes, math.sqrt(2 - 2 * threshold) + SLACK), tile), "tiles")
@@ -280,7 +285,6 @@ def link_vectors(
     named = run(named.select("dig", "rep", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("root", "dig").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = out(named.join(least, "root").select("dig", "n_links", "component_id"), "classes")
-    run.remove()
     component = F.coalesce("component_id", "vec_id")
     joined = seen.select("vec_id", "dig").join(classes, "dig", "left")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -85,3 +85,12 @@ def test_frames(spark):
     assert pii.redact_pii(df.limit(0)).count() == 0
     assert [tuple(r) for r in pii.redact_pii(df).collect()] == [(1, "<EMAIL>", 7, "x"), (None, None, None, "y"), (1, "", 0, "z")]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_dates_are_no_accounts():
+    automaton = pii.anchors()
+    for text in ("account opened 2023-10-12", "account 2024/2025", "Account opened 12.10.2023 here", "konto 2023/10/12"):
+        assert not [s for s in pii.find(text, automaton) if s[0] == "account"], text
+    for text in ("account number ending in 12345678", "account no. 20231012", "Konto Nr. 1234 5678"):
+        assert [s for s in pii.find(text, automaton) if s[0] == "account"], text
+    assert not [s for s in pii.find("account of the many people in town 12345678", automaton) if s[0] == "account"]

@@ -44,3 +44,71 @@ def test_stages(spark, tmp_path):
 def test_names_are_of_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "pii", "mixing", "packing"]
     assert jaccard.THRESHOLD == 0.8 and jaccard.N_WORDS == 5 and toxicity.MARKS[0] == "insult"
+
+
+def brute_classes(texts):
+    """Places of each class of texts linked by a similarity of 0.8 over five-word runs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+def test_stages_by_brute_force_on_the_table(spark):
+    """Every stage on the smallest table against a plain loop over what the stage before kept; an odd column comes along."""
+    from pyspark.sql import functions as F
+
+    from tallyguard.llm import mixing, packing, pii, toxicity
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("a.b", F.lit("x"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    rows = docs.collect()
+    model = toxicity.fit(docs, labels)
+    scorer = toxicity.Scorer(model.insults, model.weights)
+    left = [r for r in rows if scorer.score(r.text) < 0.5]
+    found = stages["toxicity"](spark, docs, sf_dir)
+    assert sorted(map(str, found.collect())) == sorted(map(str, left)) and found.columns == docs.columns
+
+    left.sort(key=lambda r: r.doc_id)
+    classes = brute_classes([r.text for r in left])
+    firsts = [r for i, r in enumerate(left) if classes[i] == i]
+    found = stages["jaccard"](spark, spark.createDataFrame(left, docs.schema), sf_dir)
+    assert sorted(map(str, found.collect())) == sorted(map(str, firsts)) and len(firsts) < len(left)
+
+    automaton = pii.anchors()
+    clean = []
+    for r in firsts:
+        spans = pii.find(r.text or "", automaton)
+        text = r.text
+        for _, at, end in sorted(spans, key=lambda s: -s[1]):
+            assert text is not None and at < end <= len(r.text)
+        clean.append((r.doc_id, pii.redact(r.text, spans) if spans else r.text))
+    found = stages["pii"](spark, spark.createDataFrame(firsts, docs.schema), sf_dir)
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == sorted(clean)
+    redacted = found.collect()
+
+    size = lambda t: len((t or "").split())
+    mixed = stages["mixing"](spark, spark.createDataFrame(redacted, docs.schema), sf_dir)
+    taken = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(redacted, docs.schema)).collect()}
+    words, text_of = {}, {r.doc_id: r.text or "" for r in redacted}
+    mixed_rows = mixed.collect()
+    for r in mixed_rows:
+        words[r.doc_id] = words.get(r.doc_id, 0) + size(r.text)
+        assert text_of[r.doc_id].startswith(r.text or "")
+    assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
+
+    packed = stages["packing"](spark, spark.createDataFrame(mixed_rows, docs.schema), sf_dir).collect()
+    encode = packing.Encoder(packing.tokenizer_paths()[0])
+    assert sum(r.length for r in packed) == sum(len(encode(r.text or "")) + 1 for r in mixed_rows)
