@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 GATE = 0.55
 # Subtypes that call for an amount and a date.
 TRANSACTIONAL = ("POS_RETAIL", "POS_RESTAURANT", "TAX_INVOICE", "COMMERCIAL_INVOICE", "FUEL")
+# Producers that make or edit receipts.
+PRODUCERS = (
+    "canva", "photoshop", "adobe photoshop", "wps", "fotor", "ilovepdf", "sejda", "smallpdf", "pdfescape", "dochub", "foxit",
+    "tcpdf", "fpdf", "dompdf", "wkhtmltopdf", "conta.com", "invoice generator", "receipt maker", "fake receipt", "invoice maker",
+)
 
 
 @dataclass(frozen=True)
@@ -24,12 +29,13 @@ def registry(as_of: str) -> list[SignalSpec]:
     c, today = F.col, F.lit(as_of).cast("date")
     transactional, gap = c("doc_subtype").isin(*TRANSACTIONAL), F.datediff("creation_date", "receipt_date")
     strong = c("address_class")
+    made = F.lower("producer").rlike("|".join(x.replace(".", r"\.") for x in PRODUCERS))
     num = lambda hit, yes, no: F.when(hit, yes).otherwise(no)
     return [
         SignalSpec("addr.structure", strong.isin("PLAUSIBLE_ADDRESS", "STRONG_ADDRESS"), F.when(strong == "STRONG_ADDRESS", 0.9).when(strong == "PLAUSIBLE_ADDRESS", 0.6).when(strong == "WEAK_ADDRESS", 0.3).otherwise(0.0)),
         SignalSpec("amount.total_mismatch", F.abs(c("total") - c("items_sum")) > 1.0, F.lit(0.8), True),
         SignalSpec("amount.missing", c("total").isNull() & transactional, num(c("total").isNull() & transactional, 0.7, 0.9), True),
-        SignalSpec("template.pdf_producer_suspicious", F.lower("producer").rlike("photoshop|canva"), num(F.lower("producer").rlike("photoshop|canva"), 0.6, 0.8)),
+        SignalSpec("template.pdf_producer_suspicious", made, num(made, 0.6, 0.8)),
         SignalSpec("merchant.extraction_weak", c("merchant").isNull(), F.lit(0.9), True),
         SignalSpec("date.missing", c("receipt_date").isNull() & transactional, F.lit(0.7), True),
         SignalSpec("date.future", F.datediff("receipt_date", today) > 1, F.lit(0.8), True),

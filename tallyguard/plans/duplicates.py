@@ -59,7 +59,11 @@ def duplicate_registry(spark, sf):
     return P.duplicate_registry(_receipts(spark, sf))
 
 
-@query("image_exact_duplicates", with_views("""SELECT a.image_id, min(b.image_id) AS matched_id, count(*) + 1 AS n_same FROM {images} a JOIN {images} b ON a.file_hash = b.file_hash AND a.image_id <> b.image_id GROUP BY a.image_id"""))
+_ELIGIBLE = "(width > 0 AND height > 0 AND CAST(width AS DOUBLE) / height <= 5.0 AND CAST(height AS DOUBLE) / width <= 5.0)"
+
+
+@query("image_exact_duplicates", with_views(f"""SELECT a.image_id, min(b.image_id) AS matched_id, any_value(c.n) AS n_claims FROM {{images}} a JOIN (SELECT * FROM {{images}} WHERE {_ELIGIBLE}) b ON a.file_hash = b.file_hash AND a.claim_id <> b.claim_id
+  JOIN (SELECT file_hash, count(DISTINCT claim_id) AS n FROM {{images}} GROUP BY file_hash) c ON a.file_hash = c.file_hash GROUP BY a.image_id"""))
 def image_exact_duplicates(spark, sf):
     return P.exact_images(_images(spark, sf))
 
@@ -67,9 +71,6 @@ def image_exact_duplicates(spark, sf):
 _HAMMING = "bit_count(xor(CAST('0x' || a.phash[1:8] AS BIGINT), CAST('0x' || b.phash[1:8] AS BIGINT))) + bit_count(xor(CAST('0x' || a.phash[9:16] AS BIGINT), CAST('0x' || b.phash[9:16] AS BIGINT)))"
 
 
-_ELIGIBLE = "(width > 0 AND height > 0 AND CAST(width AS DOUBLE) / height <= 5.0 AND CAST(height AS DOUBLE) / width <= 5.0)"
-
-
 ORACLE_VIEWS["seen_images"] = f"SELECT *, min(image_id) OVER (PARTITION BY phash) AS rep, {_ELIGIBLE} AS eligible FROM {{images}}"
 
 
@@ -86,9 +87,16 @@ def image_near_duplicates(spark, sf):
     return P.near_images(P.image_members(_images(spark, sf)))
 
 
-@query("template_image_filter", with_views("""SELECT *, reason IS NOT NULL AS is_template FROM (SELECT image_id, n AS claims_so_far, CASE WHEN size > 0 AND size < 5000 THEN 'small file' WHEN width > 0 AND height > 0 AND width > 5.0 * height THEN 'banner'
+@query("near_hash_claims", with_views(f"""SELECT a.phash, count(DISTINCT b.claim_id) FILTER (a.phash = b.phash) AS n_claims, count(DISTINCT b.claim_id) AS n_near_claims
+  FROM (SELECT DISTINCT phash FROM {{seen_images}}) a JOIN (SELECT DISTINCT phash, claim_id FROM {{seen_images}}) b ON {_HAMMING} <= 5 GROUP BY a.phash"""))
+def near_hash_claims(spark, sf):
+    """Distinct claims within five bits of every hash; the SQL holds every pair of hashes against the limit."""
+    return P.near_hash_claims(P.image_members(_images(spark, sf)))
+
+
+@query("template_image_filter", with_views("""SELECT *, reason IS NOT NULL AS is_template FROM (SELECT image_id, n AS n_claims, CASE WHEN size > 0 AND size < 5000 THEN 'small file' WHEN width > 0 AND height > 0 AND width > 5.0 * height THEN 'banner'
   WHEN width > 0 AND height > 0 AND width < 0.2 * height THEN 'vertical banner' WHEN height > 0 AND height < 200 AND width > height * 3 THEN 'header' WHEN width > 0 AND width < 200 AND height > width * 3 THEN 'sidebar' WHEN n >= 3 THEN 'common template' END AS reason
-  FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY image_id) AS n FROM {images}))"""))
+  FROM {images} JOIN (SELECT file_hash, count(DISTINCT claim_id) AS n FROM {images} GROUP BY file_hash) USING (file_hash))"""))
 def template_image_filter(spark, sf):
     return P.template_images(_images(spark, sf))
 

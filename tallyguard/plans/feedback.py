@@ -52,9 +52,9 @@ def feedback_with_predictions(spark, sf):
 
 
 @query("learned_rules_train", with_views("""SELECT event_type AS rule_type, indicator AS pattern, count(*) AS learned_from, min(created_at) AS first_seen, max(created_at) AS last_seen,
-  CAST(least(50, CASE event_type WHEN 'purchase' THEN 20 WHEN 'view' THEN 15 WHEN 'click' THEN 25 ELSE 10 END + 5 * (count(*) - 1)) AS DOUBLE) / 100.0 AS adjustment FROM {missed} WHERE created_at < TIMESTAMP '2024-01-02' GROUP BY 1, 2"""))
+  CAST(least(50, CASE event_type WHEN 'purchase' THEN 20 WHEN 'view' THEN 15 WHEN 'click' THEN 25 ELSE 10 END + 5 * (count(*) - 1)) AS DOUBLE) / 100.0 AS adjustment FROM {missed} GROUP BY 1, 2"""))
 def learned_rules_train(spark, sf):
-    rows = _missed(spark, sf).where("created_at < TIMESTAMP '2024-01-02'").withColumn("pattern", F.explode(F.from_json("missed_indicators", "array<string>")))
+    rows = _missed(spark, sf).withColumn("pattern", F.explode(F.from_json("missed_indicators", "array<string>")))
     return K.learn_rules(rows.withColumnRenamed("event_type", "rule_type"), initial={"purchase": 20, "view": 15, "click": 25, "signup": 10, "error": 10})
 
 

@@ -64,7 +64,7 @@ def _signal(name: str, trigger: str, confidence: str, gated: bool) -> str:
 
 
 _TX = "doc_subtype IN ('POS_RETAIL', 'POS_RESTAURANT', 'TAX_INVOICE', 'COMMERCIAL_INVOICE', 'FUEL')"
-_BAD = "regexp_matches(lower(producer), 'photoshop|canva')"
+_BAD = "regexp_matches(lower(producer), 'canva|photoshop|wps|fotor|ilovepdf|sejda|smallpdf|pdfescape|dochub|foxit|tcpdf|fpdf|dompdf|wkhtmltopdf|conta[.]com|invoice generator|receipt maker|fake receipt|invoice maker')"
 _AC = "CASE WHEN num_lines % 5 = 0 THEN 'STRONG_ADDRESS' WHEN num_lines % 5 = 1 THEN 'PLAUSIBLE_ADDRESS' WHEN num_lines % 5 = 2 THEN 'WEAK_ADDRESS' ELSE 'NOT_AN_ADDRESS' END"
 
 
