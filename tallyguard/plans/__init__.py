@@ -1,4 +1,4 @@
 """Queries: each module registers its own when it is imported."""
 
-from . import calibration, checks, claims, consistency, duplicates, feedback, gates, lines, names, profiles, rules, scoring, streams, text  # noqa: F401
+from . import calibration, checks, claims, consistency, duplicates, feedback, gates, geo_rules, lines, names, profiles, rules, scoring, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
