@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 # Severities of spatial signals and limits of risk levels, in hundredths.
 SEVERITY = {"critical": 100, "high": 70, "medium": 40, "low": 15}
 LEVELS = ((75, "critical"), (50, "high"), (25, "medium"), (0, "low"))
@@ -94,3 +98,44 @@ def text_signals(documents: DataFrame, key: str, text: str) -> DataFrame:
     )
     found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("signal"), F.lit(s).alias("severity"))) for n, s, c in rules)))
     return documents.select(key, F.explode(found).alias("s")).select(key, "s.*")
+
+
+def distinct_regions(regions: DataFrame, share: float = 0.7) -> DataFrame:
+    """Regions of a page, largest first, but those that cover a kept larger one by more than ``share`` of both together.
+
+    Of equal areas the lower ``region_id`` goes first; equal boxes are one; boxes
+    without an area are kept. ``rank`` counts a page's kept regions by size.
+    Pairs meet by classes of width and height and by cells of their middles: two
+    boxes that share so much differ by one class at most and stand close, so no
+    pair of a page's other boxes is formed. Rounds settle every box whose larger
+    neighbours are all settled; what is open is written between rounds.
+    """
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    boxes = regions.groupBy("page", "x0", "y0", "x1", "y1").agg(F.min("region_id").alias("region_id")).withColumns({"area": (wide * high).cast("double"), "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    size = lambda x: F.floor(F.log(x) / math.log(1 / share)).cast("int")
+    sized = boxes.where("x1 > x0 AND y1 > y0").withColumns({"kx": size(wide), "ky": size(high)})
+    cell = lambda at, k: F.floor(at / F.pow(F.lit(1 / share), k + 2))
+    a = sized.withColumns({"ix": cell(F.col("cx"), F.col("kx")), "iy": cell(F.col("cy"), F.col("ky"))})
+    around = lambda x: F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1))
+    b = sized.withColumn("kx", around("kx")).withColumn("ky", around("ky"))
+    # middles are nearer than (1 - share) of the larger side, which is within the cell of the next class
+    for i, c, k in (("ix", "cx", "kx"), ("iy", "cy", "ky")):
+        away = F.pow(F.lit(1 / share), F.col(k) + 2) * (1 - share)
+        b = b.withColumn(i, F.explode(F.sequence(cell(F.col(c) - away, F.col(k)), cell(F.col(c) + away, F.col(k)))))
+    keys = ["page", "kx", "ky", "ix", "iy"]
+    names = ("region_id", "x0", "y0", "x1", "y1", "area")
+    met = a.select(*keys, *(F.col(x).alias(f"a_{x}") for x in names)).join(b.select(*keys, *(F.col(x).alias(f"b_{x}") for x in names)), keys)
+    first = (F.col("a_area") > F.col("b_area")) | ((F.col("a_area") == F.col("b_area")) & (F.col("a_region_id") < F.col("b_region_id")))
+    both = F.greatest(F.lit(0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * F.greatest(F.lit(0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
+    links = stored(met.where(first & (both > (F.col("a_area") + F.col("b_area") - both) * share)).select("page", F.col("a_region_id").alias("larger"), F.col("b_region_id").alias("smaller")))
+    open_, gone = links, None
+    while not open_.isEmpty():
+        # a larger box that is nobody's smaller one is kept, and its neighbours go
+        lower = open_.select("page", F.col("smaller").alias("larger")).distinct()
+        out = stored(open_.join(lower, ["page", "larger"], "left_anti").select("page", "smaller").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = open_.join(out, ["page", "smaller"], "left_anti").join(out.withColumnRenamed("smaller", "larger"), ["page", "larger"], "left_anti")
+        open_ = stored(left.select("page", "larger", "smaller"))
+    kept = boxes if gone is None else boxes.join(gone.withColumnRenamed("smaller", "region_id"), ["page", "region_id"], "left_anti")
+    rank = F.row_number().over(W.partitionBy("page").orderBy(F.desc("area"), "region_id"))
+    return kept.select("page", "region_id", "x0", "y0", "x1", "y1", rank.alias("rank"))

@@ -52,6 +52,58 @@ def learn(receipts: DataFrame) -> DataFrame:
     return rows.groupBy("merchant_name").agg(*words.values(), *counts, *(F.max(k).alias(k) for k in WEIGHTS if k.startswith("has_")))
 
 
+#: Flags that a template takes by majority.
+FLAGS = ("has_tax", "has_subtotal", "has_total", "has_time", "has_separator", "has_table")
+
+
+def cluster(receipts: DataFrame, key: str = "id", text: str = "full_text", company: str | None = None) -> DataFrame:
+    """Groups of receipts by the first word of their ``company`` or, without one, the first of their head's words in order.
+
+    A group is what its receipts add up to: counts, bounds, how many have each
+    flag, and words. Two tables of groups make one by ``merge_groups``. Words are
+    made distinct before they are gathered, so that a group's size is its
+    vocabulary's. Receipts without a word are the group ``unknown``; null and
+    empty texts are left out.
+    """
+    t = F.concat_ws("\n", F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x)), lambda x: x != ""))
+    fp = fingerprint(F.col("text"))
+    rows = receipts.select(F.col(key).alias("id"), t.alias("text"), (F.col(company) if company else F.lit(None).cast("string")).alias("company")).where("text <> ''")
+    rows = rows.select("id", "company", *(c.alias(k) for k, c in fp.items()))
+    named = F.nullif(F.split(F.trim(F.lower("company")), r"\s+")[0], F.lit(""))
+    rows = rows.withColumn("name", F.substring(F.coalesce(named, F.array_min("merchant"), F.lit("unknown")), 1, 20))
+    # a receipt's own bounds are wide; a group's lie about the lowest and highest lower bound
+    low = {"line_count": F.greatest(F.lit(1), F.col("line_count") - 10), "amount_count": F.greatest(F.lit(1), F.col("amount_count") - 5)}
+    numbers = [f(c).alias(f"{k}_{n}") for k, c in low.items() for n, f in (("min", F.min), ("max", F.max))]
+    groups = rows.groupBy("name").agg(F.count("*").alias("n"), *numbers, *(F.count_if(k).alias(k) for k in FLAGS))
+    return groups.join(_gathered(rows), "name", "left")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    roles = ("merchant", "header", "footer")
+    sets = F.explode(F.array(*(F.struct(F.lit(k).alias("role"), F.col(k).alias("words")) for k in roles))).alias("w")
+    words = rows.select("name", sets).select("name", "w.role", F.explode("w.words").alias("word")).distinct()
+    return words.groupBy("name").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == k, F.col("word")))).alias(k) for k in roles))
+
+
+def merge_groups(*groups: DataFrame) -> DataFrame:
+    """Tables of groups as one, as if all their receipts had been grouped at once."""
+    rows = groups[0]
+    for g in groups[1:]:
+        rows = rows.unionByName(g)
+    bounds = [f(f"{k}_{n}").alias(f"{k}_{n}") for k in ("line_count", "amount_count") for n, f in (("min", F.min), ("max", F.max))]
+    empty = F.array().cast("array<string>")
+    words = rows.withColumns({k: F.coalesce(k, empty) for k in ("merchant", "header", "footer")})
+    return rows.groupBy("name").agg(F.sum("n").alias("n"), *bounds, *(F.sum(k).alias(k) for k in FLAGS)).join(_gathered(words), "name", "left")
+
+
+def generate(groups: DataFrame, least: int = 3) -> DataFrame:
+    """Templates of groups of ``least`` receipts or more, in the form that ``match`` takes: bounds with slack, flags that most receipts have."""
+    slack = {"line_count": (5, 5), "amount_count": (3, 5)}
+    bounds = [c.cast("int").alias(f"{k}_{n}") for k, (down, up) in slack.items() for n, c in (("lo", F.greatest(F.lit(1), F.col(f"{k}_min") - down)), ("hi", F.col(f"{k}_max") + up))]
+    empty = F.array().cast("array<string>")
+    return groups.where(F.col("n") >= least).select(F.col("name").alias("merchant_name"), "n", *(F.coalesce(k, empty).alias(k) for k in ("merchant", "header", "footer")), *bounds, *((F.col(k) > F.floor(F.col("n") / 2)).alias(k) for k in FLAGS))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     both, any_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.5).otherwise(F.coalesce(F.try_divide(both, any_), F.lit(0.0)))

@@ -106,6 +106,17 @@ def template_match(spark, sf):
     return T.match(rows, T.learn(rows))
 
 
+_VOTES = ", ".join(f"count(*) FILTER ({k}) > count(*) // 2 AS {k}" for k in T.FLAGS)
+_WORDS = ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list({k})))), ' ') AS {k}" for k in ("merchant", "header", "footer"))
+
+
+@query("template_groups", with_views(f"""SELECT name AS merchant_name, count(*) AS n, {_WORDS}, CAST(greatest(1, min(lines) - 5) AS INT) AS line_count_lo, CAST(max(lines) + 5 AS INT) AS line_count_hi, CAST(greatest(1, min(sums) - 3) AS INT) AS amount_count_lo, CAST(max(sums) + 5 AS INT) AS amount_count_hi, {_VOTES}
+  FROM (SELECT *, substr(coalesce(list_min(merchant), 'unknown'), 1, 20) AS name, greatest(1, line_count - 10) AS lines, greatest(1, amount_count - 5) AS sums FROM {{prints}}) GROUP BY name HAVING count(*) >= 3"""))
+def template_groups(spark, sf):
+    found = T.generate(T.cluster(view(spark, sf, "chained")))
+    return found.withColumns({k: F.array_join(k, " ") for k in ("merchant", "header", "footer")})
+
+
 _OFF = "CASE WHEN regexp_matches(n, '[^a-zA-Z0-9\\s\\-&''.()]') THEN 20 ELSE 0 END + CASE WHEN n = upper(n) AND n <> lower(n) AND length(n) > 5 THEN 15 ELSE 0 END + CASE WHEN length(n) < 3 THEN 30 ELSE 0 END + CASE WHEN length(n) > 50 THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(n), 'test|sample|dummy|fake|xxx|zzz|abc|temp') THEN 60 ELSE 0 END + CASE WHEN regexp_matches(replace(n, ' ', ''), '^\\d+$') THEN 50 ELSE 0 END + CASE WHEN length(regexp_replace(n, '[\\w\\s]', '', 'g')) > 5 THEN 20 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM range(1, length(n) - 1) q(i) WHERE n[i] = n[i + 1] AND n[i] = n[i + 2]) THEN 40 ELSE 0 END"
 
 

@@ -103,6 +103,20 @@ def region_overlaps(spark, sf):
     return L.overlapping(view(spark, sf, "orders").select(F.col("o_custkey").alias("page"), k.alias("region_id"), x.alias("x0"), (x + 20).alias("x1"), y.alias("y0"), (y + 15).alias("y1")))
 
 
+_IOU = "greatest(0, least(k.x1, q[1].x1) - greatest(k.x0, q[1].x0)) * greatest(0, least(k.y1, q[1].y1) - greatest(k.y0, q[1].y0))"
+_AREA = "({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0)"
+#: Boxes of several sizes, of which many nearly cover one another, and some are equal.
+VIEWS["page_boxes"] = """SELECT user_id % 97 AS page, event_id AS region_id, CAST(event_id % 23 AS DOUBLE) AS x0, CAST(event_id % 23 + 60 + event_id % 5 * 4 AS DOUBLE) AS x1,
+  CAST(event_id * 7 % 29 AS DOUBLE) AS y0, CAST(event_id * 7 % 29 + 40 + event_id % 3 * 5 + CASE WHEN event_id % 11 = 0 THEN 100 ELSE 0 END AS DOUBLE) AS y1 FROM {events}"""
+
+
+@query("distinct_regions", with_views(f"""SELECT page, kept[i].r AS region_id, kept[i].x0 AS x0, kept[i].y0 AS y0, kept[i].x1 AS x1, kept[i].y1 AS y1, CAST(i AS INT) AS rank FROM (SELECT page, kept, unnest(range(1, len(kept) + 1)) AS i FROM (
+  SELECT page, list_reduce(list_transform(boxes, lambda b: [b]), lambda p, q: CASE WHEN len(list_filter(p, lambda k: {_IOU} > 0.7::DOUBLE * ({_AREA.format('k')} + {_AREA.format('q[1]')} - {_IOU}))) > 0 THEN p ELSE list_concat(p, q) END) AS kept
+  FROM (SELECT page, list({{{{'r': region_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}}} ORDER BY (x1 - x0) * (y1 - y0) DESC, region_id) AS boxes FROM {{page_boxes}} GROUP BY page)))""".replace("{{", "{").replace("}}", "}")))
+def distinct_regions(spark, sf):
+    return L.distinct_regions(view(spark, sf, "page_boxes"))
+
+
 @query("spatial_risk", """SELECT *, CASE WHEN risk >= 0.75 THEN 'critical' WHEN risk >= 0.5 THEN 'high' WHEN risk >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM (SELECT user_id AS doc_id, count(*) AS n_signals,
   CAST(least(1.0::DOUBLE, sum(CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 40 ELSE 15 END * (event_id % 101))::DOUBLE / count(*) / 10000.0::DOUBLE + count(*) * 5 / 100.0::DOUBLE) AS DOUBLE) AS risk FROM events GROUP BY user_id)""")
 def spatial_risk(spark, sf):

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tallyguard.operators import duplicates, merchants, profiles, templates
+from tallyguard.operators import duplicates, layout, merchants, profiles, templates
 from tallyguard.plans import QUERIES
 from tallyguard.sources import sinks
 
@@ -64,3 +64,65 @@ def test_lines_of_orders_are_read_once(spark, name):
     """What builds claims is written once; the query's own plan reads that."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def _greedy(boxes, share):
+    kept = []
+    for k, x0, y0, x1, y1 in sorted(boxes, key=lambda b: (-(b[3] - b[1]) * (b[4] - b[2]), b[0])):
+        area = (x1 - x0) * (y1 - y0)
+        for _, a, b, c, d in kept:
+            both = max(0, min(x1, c) - max(x0, a)) * max(0, min(y1, d) - max(y0, b))
+            if both > (area + (c - a) * (d - b) - both) * share:
+                break
+        else:
+            kept.append((k, x0, y0, x1, y1))
+    return {b[0] for b in kept}
+
+
+def test_regions_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(5)
+    pages = {}
+    for page in range(6):
+        boxes = []
+        for i in range(60):
+            x, y, w, h = rng.randrange(40), rng.randrange(40), rng.choice((10, 11, 14, 30, 100)), rng.choice((10, 12, 15, 40))
+            boxes.append((i, x, y, x + w, y + h))
+        # a chain in which each box nearly covers the next, and equal boxes
+        boxes += [(100 + i, 500 + 2 * i, 0, 520 + 2 * i, 10) for i in range(12)] + [(200 + i, 900, 0, 950, 10) for i in range(5)]
+        pages[page] = boxes
+    rows = [(p, *map(float, b[1:]), b[0]) for p, bs in pages.items() for b in bs] + [(9, 1.0, 1.0, 1.0, 5.0, 1), (9, None, 1.0, 1.0, 5.0, 2)]
+    df = spark.createDataFrame(rows, "page long, x0 double, y0 double, x1 double, y1 double, region_id long")
+    found = {}
+    for r in layout.distinct_regions(df).collect():
+        found.setdefault(r.page, {})[r.region_id] = r.rank
+    for page, boxes in pages.items():
+        assert set(found[page]) == _greedy(boxes, 0.7)
+        assert sorted(found[page].values()) == list(range(1, len(found[page]) + 1))
+    assert set(found[9]) == {1, 2}
+    assert layout.distinct_regions(df.limit(0)).count() == 0
+
+
+def test_template_groups_and_their_merge(spark):
+    rows = [(1, "Zebra Shop\nTotal 1.00\nTax 2.00\n\n  "), (2, "Zebra Shop\nTotal 1.00"), (3, "shop zebra\n1.00\n2.00\n3.00\n4.00\n5.00\n6.00\n7.00"), (4, "12\n34"), (5, ""), (6, None), (7, "Alpha Beta")]
+    df = spark.createDataFrame(rows, "id long, full_text string")
+    whole = templates.cluster(df)
+    merged = templates.merge_groups(templates.cluster(df.where("id < 3")), templates.cluster(df.where("id >= 3")))
+    key = lambda r: r["name"]
+    assert sorted((r.asDict() for r in whole.collect()), key=key) == sorted((r.asDict() for r in merged.select(*whole.columns).collect()), key=key)
+    found = {r.merchant_name: r for r in templates.generate(whole, least=1).collect()}
+    # the first of the head's words in order: shop before total and zebra
+    assert {k: r.n for k, r in found.items()} == {"shop": 3, "unknown": 1, "alpha": 1}
+    shop = found["shop"]
+    assert (shop.merchant, shop.line_count_lo, shop.line_count_hi, shop.amount_count_lo, shop.amount_count_hi) == (["shop", "total", "zebra"], 1, 6, 1, 7)
+    # two of three have a total, one a tax
+    assert (shop.has_total, shop.has_tax) == (True, False)
+    assert found["unknown"].merchant == []
+    # templates made this way are matched as learned ones are
+    assert templates.match(df.where("id = 1"), templates.generate(whole, least=3).drop("n")).first().merchant_name == "shop"
+
+
+def test_groups_by_company(spark):
+    df = spark.createDataFrame([(1, "ACME Ltd", "x y"), (2, " acme ", "zzzz"), (3, " ", "word"), (4, None, "word")], "id long, company string, full_text string")
+    assert {r["name"]: r.n for r in templates.cluster(df, company="company").collect()} == {"acme": 2, "word": 2}
