@@ -51,7 +51,7 @@ def database(spark: SparkSession, url: str, table: str, *, column: str | None =
 
 def packs(spark: SparkSession, path: str, parse) -> DataFrame:
     """Packs of whole text files (language or domain packs): ``parse`` turns a text to (id, json)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
 
     def run(batches):
         for batch in batches:
@@ -67,3 +67,21 @@ def claim_fields(text: Column) -> dict[str, Column]:
         found = F.nullif(F.trim(F.regexp_extract(text, "(?im)" + pattern, 1)), F.lit(""))
         out[name] = F.replace(found, F.lit(",")).try_cast(_NUMBERS[name]) if name in _NUMBERS else found
     return out
+
+
+def annotated_receipts(spark: SparkSession, boxes: str, entities: str) -> DataFrame:
+    """Receipts as texts of their boxes' lines, with company, date, address and total where a file of entities has them.
+
+    A line of a box file is eight coordinates and a text, separated by commas,
+    or a text without any comma; other lines and empty texts are left out, and
+    receipts without a line too. An entity file is one JSON object; one that
+    isn't leaves its receipt without entities.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("receipt_id")
+    files = lambda path: spark.read.text(path, wholetext=True).select(name, "value")
+    parts = lambda x: F.split(F.trim(x), ",", 9)
+    texts = F.transform(F.split("value", r"\r?\n", -1), lambda x: F.when(F.size(parts(x)) == 9, F.trim(F.get(parts(x), 8))).when(F.size(parts(x)) == 1, F.trim(x)))
+    lines = files(boxes).select("receipt_id", F.array_join(F.filter(texts, lambda x: x != ""), "\n").alias("full_text")).where("full_text <> ''")
+    found = F.from_json("value", "company string, date string, address string, total string").alias("e")
+    total = F.replace(F.regexp_extract("e.total", r"[\d,.]+", 0), F.lit(","), F.lit("")).try_cast("double").alias("total")
+    return lines.join(files(entities).select("receipt_id", found).select("receipt_id", "e.company", "e.date", "e.address", total), "receipt_id", "left")

@@ -150,3 +150,32 @@ def test_fuzzy_names_with_spread_substitutions(spark, monkeypatch):
     for i, name in enumerate(names):
         less, best = min((-difflib.SequenceMatcher(None, name.lower(), k).ratio(), k) for k in known)
         assert got[i] == ((best, round(-less, 6)) if -less >= 0.7 else (None, None))
+
+
+def test_annotated_receipts(spark, tmp_path):
+    from tallyguard.operators import templates
+    from tallyguard.sources import readers
+
+    boxes, entities = tmp_path / "box", tmp_path / "entities"
+    boxes.mkdir()
+    entities.mkdir()
+    (boxes / "a1.txt").write_text("1,2,3,4,5,6,7,8,ACME, Ltd\r\n\n1,2,3,4,5,6,7,8,\nplain text\n1,2,short\n")
+    (boxes / "a2.txt").write_text("1,2,3,4,5,6,7,8,Acme shop")
+    (boxes / "a3.txt").write_text("other words")
+    (boxes / "empty.txt").write_text("\n\n")
+    (entities / "a1.txt").write_text('{"company": "ACME LTD", "total": "RM 1,234.50", "date": "01/02/2018"}')
+    (entities / "a2.txt").write_text('{"company": "acme", "total": ""}')
+    (entities / "a3.txt").write_text("no json")
+    rows = readers.annotated_receipts(spark, str(boxes), str(entities))
+    found = {r.receipt_id: (r.full_text, r.company, r.date, r.total) for r in rows.collect()}
+    assert found == {"a1": ("ACME, Ltd\nplain text", "ACME LTD", "01/02/2018", 1234.5), "a2": ("Acme shop", "acme", None, None), "a3": ("other words", None, None, None)}
+    groups = templates.cluster(rows, key="receipt_id", company="company")
+    assert {r["name"]: r.n for r in groups.collect()} == {"acme": 2, "other": 1}
+
+
+def test_packs_are_whole_files(spark, tmp_path):
+    from tallyguard.sources import readers
+
+    (tmp_path / "en.yaml").write_text("id: en\nwords:\n- total\n- tax\n")
+    rows = readers.packs(spark, str(tmp_path), lambda text: (text.split("\n")[0][4:], str(text.count("\n"))))
+    assert [tuple(r) for r in rows.collect()] == [("en", "4")]
