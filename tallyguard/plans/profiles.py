@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import text as X
 from ..operators import geo as G
 from ..operators import profiles as Q
@@ -155,11 +156,7 @@ def domain_packs(spark, sf):
 def receipt_times(spark, sf):
     k = F.col("id")
     text = F.when(k % 4 == 0, F.format_string("at %d:%02d PM", k % 12 + 1, k % 60)).when(k % 4 == 1, F.concat((k % 12 + 1).cast("string"), F.lit(":05am"))).when(k % 4 == 2, F.concat((k % 24).cast("string"), F.lit(":30"))).otherwise("none")
-    hour = F.nullif(F.regexp_extract("t", r"\b(\d{1,2}):(\d{2})", 1), F.lit("")).cast("int")
-    half = F.upper(F.regexp_extract("t", r"\b\d{1,2}:\d{2}\s*(AM|PM|am|pm)\b", 1))
-    full = F.when((half == "PM") & (hour != 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-    time = F.when(hour.isNotNull(), F.concat(F.lpad(full.cast("string"), 2, "0"), F.lit(":"), F.regexp_extract("t", r"\b(\d{1,2}):(\d{2})", 2)))
-    return view(spark, sf, "receipts").select("id", text.alias("t")).select("id", time.alias("time"))
+    return view(spark, sf, "receipts").select("id", D.time(text).alias("time"))
 
 
 @query("receipt_dates", with_views("""SELECT id, CAST(coalesce(TRY_CAST(d AS DATE), try_strptime(d, '%d/%m/%Y')::DATE, try_strptime(d, '%m/%d/%Y')::DATE) AS VARCHAR) AS first_date, coalesce(TRY_CAST(d AS DATE), try_strptime(d, '%m/%d/%Y')::DATE, try_strptime(d, '%d/%m/%Y')::DATE) <> coalesce(TRY_CAST(d AS DATE), try_strptime(d, '%d/%m/%Y')::DATE, try_strptime(d, '%m/%d/%Y')::DATE) AS ambiguous
