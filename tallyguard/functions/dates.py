@@ -9,6 +9,7 @@ those of ASCII.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,13 +60,15 @@ def found(text: Column) -> Column:
     """What looks like a date and is part of no address, by pattern and then by place; null of a null text.
 
     A match is taken whole before its surroundings are asked for, so one that an address hides still uses up its
-    characters: the alternatives after the first differ in the surroundings alone.
+    characters: the alternatives differ in the surroundings alone. All start at a digit or at a month's letter, which
+    is asked first, as it fails soonest.
     """
 
     def one(pattern: str) -> Column:
+        start = "(?i:[JFMASOND])" if pattern.startswith((rf"(?i:\b(?:{_SHORT})", rf"(?i:\b(?:{_LONG})")) else "[0-9]"
         behind = rf"(?<=#\s{{0,{BEFORE - 1}}}|[Nn]o\.)(?>{pattern})"
         before = rf"(?>{pattern})(?=(?i:{_in_address()}))"
-        return F.filter(F.regexp_extract_all(text, F.lit(rf"(?U){behind}|{before}|((?>{pattern}))"), F.lit(1)), lambda x: x != "")
+        return F.filter(F.regexp_extract_all(text, F.lit(rf"(?U)(?={start})(?:{behind}|{before}|((?>{pattern})))"), F.lit(1)), lambda x: x != "")
 
     return F.flatten(F.array(*map(one, PATTERNS)))
 
@@ -111,6 +114,11 @@ def every(dates: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(dates, one)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value taken once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def span(dates: Column) -> Column:
     """Days between the first and the last of ISO dates; null with fewer than two."""
     return F.when(F.size(dates) >= 2, F.datediff(F.array_max(dates), F.array_min(dates)))

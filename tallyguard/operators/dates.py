@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -11,12 +11,16 @@ from ..functions import dates as D
 def scanned(documents: DataFrame, text: str = "full_text") -> DataFrame:
     """``documents`` with ``first_date``, ``all_dates`` (an array), ``date_span`` and ``first_time``, in one pass.
 
-    A null or empty text has no date, no time and an empty array.
+    A null or empty text has no date, no time and an empty array. Columns of these names are replaced. The result is
+    a generated row, so no filter on it takes the text apart a second time.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    dates = documents.withColumn("__found", D.found(body))
-    rows = dates.select("*", D.first(F.col("__found")).alias("first_date"), D.every(F.col("__found")).alias("all_dates"), D.time(body).alias("first_time"))
-    return rows.withColumn("date_span", D.span(F.col("all_dates"))).drop("__found")
+
+    def listed(found: Column) -> Column:
+        return D.once(D.every(found), lambda dates: F.struct(D.first(found).alias("first_date"), dates.alias("all_dates"), D.span(dates).alias("date_span"), D.time(body).alias("first_time")))
+
+    kept = documents.drop("first_date", "all_dates", "date_span", "first_time")
+    return kept.select("*", F.inline(F.array(D.once(D.found(body), listed))))
 
 
 def conflicts(dated: DataFrame, subtype: str = "doc_subtype") -> DataFrame:
