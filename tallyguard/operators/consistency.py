@@ -67,7 +67,7 @@ def postal_states(addresses: DataFrame, circles: DataFrame) -> DataFrame:
     return j.select("id", reason.alias("reason"))
 
 
-def merchant_address(records: DataFrame) -> DataFrame:
+def merchant_fit() -> tuple[Column, Column]:
     """How a merchant's name and its address fit: words in common 0.1, a company at a PO box 0.2; unknown where either is unsure."""
     long_words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
     name = F.array_except(long_words(F.col("merchant")), F.array(*map(F.lit, NO_NAME)))
@@ -78,4 +78,10 @@ def merchant_address(records: DataFrame) -> DataFrame:
     sure = F.col("merchant").isNotNull() & (F.col("merchant_conf") >= 0.6) & (F.col("profile_conf") >= 0.55) & F.col("address_class").isin("PLAUSIBLE_ADDRESS", "STRONG_ADDRESS")
     sure = F.coalesce(sure, F.lit(False))
     status = F.when(~sure, "UNKNOWN").when(tenths == 0, "CONSISTENT").when(tenths == 1, "WEAK_MISMATCH").otherwise("MISMATCH")
-    return records.select("id", status.alias("status"), (F.when(sure, F.least(tenths, F.lit(2))).otherwise(0) / 10.0).alias("score"))
+    return status, F.when(sure, F.least(tenths, F.lit(2))).otherwise(0) / 10.0
+
+
+def merchant_address(records: DataFrame) -> DataFrame:
+    """``merchant_fit`` of every record: ``id``, ``status``, ``score``."""
+    status, score = merchant_fit()
+    return records.select("id", status.alias("status"), score.alias("score"))
