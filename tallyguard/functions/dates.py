@@ -60,15 +60,16 @@ def found(text: Column) -> Column:
     """What looks like a date and is part of no address, by pattern and then by place; null of a null text.
 
     A match is taken whole before its surroundings are asked for, so one that an address hides still uses up its
-    characters: the alternatives differ in the surroundings alone. All start at a digit or at a month's letter, which
-    is asked first, as it fails soonest.
+    characters: the alternatives differ in the surroundings alone. Where a match can't start is asked first: within a
+    word, and before anything but a number and a separator, a number and a month's letter, or a month's letters.
     """
 
     def one(pattern: str) -> Column:
-        start = "(?i:[JFMASOND])" if pattern.startswith((rf"(?i:\b(?:{_SHORT})", rf"(?i:\b(?:{_LONG})")) else "[0-9]"
+        day_of = pattern.startswith(r"(?i:\b[")
+        start = r"[0-9]{1,4}\s*[/-]" if pattern.startswith(r"\b") else r"[0-9]{1,2}\s+(?i:[JFMASOND])" if day_of else "(?i:[JFMASOND][A-Z])"
         behind = rf"(?<=#\s{{0,{BEFORE - 1}}}|[Nn]o\.)(?>{pattern})"
         before = rf"(?>{pattern})(?=(?i:{_in_address()}))"
-        return F.filter(F.regexp_extract_all(text, F.lit(rf"(?U)(?={start})(?:{behind}|{before}|((?>{pattern})))"), F.lit(1)), lambda x: x != "")
+        return F.filter(F.regexp_extract_all(text, F.lit(rf"(?U)(?<![0-9A-Za-z_])(?={start})(?:{behind}|{before}|((?>{pattern})))"), F.lit(1)), lambda x: x != "")
 
     return F.flatten(F.array(*map(one, PATTERNS)))
 
@@ -111,7 +112,7 @@ def every(dates: Column) -> Column:
         word = F.when(written.contains(" "), F.get(F.split(F.trim(written), r"\s+"), F.lit(0))).otherwise(written)
         return F.coalesce(*(read(word, form) for form in MONTH_FIRST))
 
-    return F.array_distinct(F.array_compact(F.transform(dates, one)))
+    return F.array_distinct(F.array_compact(F.transform(F.array_distinct(dates), one)))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
