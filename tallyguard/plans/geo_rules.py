@@ -14,7 +14,7 @@ COUNTRIES = (("IN", ["INR"], "STRICT"), ("US", ["USD"], "STRICT"), ("DE", ["EUR"
 TAXES = (("IN", "GST", "2020-01-01", None), ("IN", "CGST", "2020-01-01", None), ("IN", "SGST", "2020-01-01", None), ("US", "SALES_TAX", "2020-01-01", None), ("DE", "VAT", "2020-01-01", None), ("FR", "VAT", "2020-01-01", None))
 
 #: What a receipt's text and number say of region, currency and tax.
-VIEWS["located"] = """
+VIEWS["geo_located"] = """
 SELECT r.id, CASE WHEN c.id % 37 <> 0 THEN r.merchant END AS merchant, c.geo_country, c.geo_conf, CAST(c.id % 4 AS INT) AS n_geos,
   CASE WHEN c.id % 29 = 0 THEN 'CAD' WHEN c.id % 5 = 0 THEN NULL WHEN r.full_text LIKE '%Total: Rs %' THEN 'INR' WHEN c.id % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
   CASE c.id % 6 WHEN 0 THEN 'GST' WHEN 1 THEN 'VAT' WHEN 2 THEN 'SALES_TAX' WHEN 3 THEN 'CGST' WHEN 4 THEN 'VAT' END AS tax_regime,
@@ -36,11 +36,11 @@ _HEALTH = "(regexp_matches(lower(merchant), 'hospital|clinic|health|medical|phar
   UNION ALL SELECT id, 3, 'GEO_TAX_MISMATCH', CASE WHEN {_TRAVEL} THEN 'WARNING' ELSE 'CRITICAL' END, CASE WHEN {_TRAVEL} THEN 10 ELSE 18 END FROM {{located}} WHERE {_TAX}
   UNION ALL SELECT id, 4, 'GEO_TRAVEL_SOFTENER', 'INFO', 0 FROM {{located}} WHERE {_TRAVEL} AND (coalesce({_CURRENCY}, false) OR coalesce({_TAX}, false))
   UNION ALL SELECT id, 5, 'MERCHANT_CURRENCY_IMPLAUSIBLE', 'CRITICAL', 22 FROM {{located}} WHERE merchant IS NOT NULL AND currency = 'CAD' AND (n_geos = 3 OR (n_geos > 0 AND geo_country = 'US')) AND {_HEALTH}
-  UNION ALL SELECT id, 6, 'MERCHANT_CURRENCY_IMPLAUSIBLE', 'CRITICAL', 18 FROM {{located}} WHERE merchant IS NOT NULL AND currency = 'INR' AND (n_geos = 3 OR (n_geos > 0 AND geo_country = 'US')) AND NOT (n_geos > 0 AND geo_country = 'IN') AND {_HEALTH})"""))
+  UNION ALL SELECT id, 6, 'MERCHANT_CURRENCY_IMPLAUSIBLE', 'CRITICAL', 18 FROM {{located}} WHERE merchant IS NOT NULL AND currency = 'INR' AND (n_geos = 3 OR (n_geos > 0 AND geo_country = 'US')) AND NOT (n_geos > 0 AND geo_country = 'IN') AND {_HEALTH})""", own={"located": VIEWS["geo_located"]}))
 def geo_consistency(spark, sf):
     own = F.array("geo_country")
     geos = F.when(F.col("n_geos") == 0, F.array().cast("array<string>")).when(F.col("n_geos") == 3, F.concat(own, F.array(F.lit("US")))).otherwise(own)
-    records = view(spark, sf, "located").withColumn("geos", geos)
+    records = view(spark, sf, "geo_located").withColumn("geos", geos)
     countries = spark.createDataFrame(list(COUNTRIES), "country string, currencies array<string>, tier string")
     taxes = spark.createDataFrame(list(TAXES), "country string, tax_name string, effective_from string, effective_to string")
     return Q.consistency(records, countries, taxes, "2024-01-31")

@@ -179,3 +179,13 @@ def test_packs_are_whole_files(spark, tmp_path):
     (tmp_path / "en.yaml").write_text("id: en\nwords:\n- total\n- tax\n")
     rows = readers.packs(spark, str(tmp_path), lambda text: (text.split("\n")[0][4:], str(text.count("\n"))))
     assert [tuple(r) for r in rows.collect()] == [("en", "4")]
+
+
+def test_a_view_is_given_once():
+    """A second view of a name would replace the first one under the queries that read it."""
+    import tallyguard.plans  # noqa: F401
+    from tallyguard.sources.views import VIEWS
+
+    assert "n_geos" in VIEWS["geo_located"] and "address" in VIEWS["located"]
+    with pytest.raises(ValueError):
+        VIEWS["located"] = "SELECT 1 AS id"
