@@ -139,7 +139,7 @@ def history_signals(claims: DataFrame, matches: DataFrame, benchmarks: DataFrame
     found = scored.select("id", F.explode(F.array_compact(F.array(*(_signal(n, s, F.col(c)) for n, s, c in above)))).alias("s")).select("id", "s.signal_type", "s.severity")
     vehicle = vin_history(claims).where("signal IS NOT NULL")
     found = found.union(_of(vehicle, F.col("signal"), F.when(F.col("signal") == "VIN_EXCESSIVE_CLAIMS", "HIGH").otherwise("MEDIUM")))
-    found = found.union(_of(odometer_regressions(claims), "ODOMETER_REGRESSION", "HIGH")).union(_of(repeat_claims(claims), "REPEAT_CLAIM_SAME_PART_SHORT_WINDOW", "MEDIUM"))
+    found = found.union(_of(set_back(claims), "ODOMETER_REGRESSION", "HIGH")).union(_of(repeat_claims(claims), "REPEAT_CLAIM_SAME_PART_SHORT_WINDOW", "MEDIUM"))
 
     confirmed = feedback.where("verdict = 'CONFIRMED_FRAUD'").groupBy(F.col("receipt_id").alias("f_id")).agg(F.count("*").alias("frauds"))
     known = claims.join(confirmed, claims["id"] == confirmed["f_id"], "left").groupBy("dealer_id").agg(F.count("*").alias("total_claims"), F.sum(F.coalesce("frauds", F.lit(0))).alias("fraud_confirmed"))
@@ -207,14 +207,19 @@ def benchmark_scores(claims: DataFrame, benchmarks: DataFrame) -> DataFrame:
     )
 
 
+def set_back(claims: DataFrame) -> DataFrame:
+    """Claims whose vehicle had a larger odometer in an earlier claim: one window, without which claim it was. Null vehicles have none."""
+    before = W.partitionBy("vin").orderBy("claim_date", "id").rowsBetween(W.unboundedPreceding, -1)
+    return claims.where("vin IS NOT NULL").withColumn("most", F.max("odometer").over(before)).where("most > odometer")
+
+
 def odometer_regressions(claims: DataFrame) -> DataFrame:
     """Claims whose vehicle had a larger odometer in an earlier claim, with the latest such claim.
 
     A running maximum over the vehicle's earlier claims finds them; only those
     claims are joined with their vehicle's others.
     """
-    before = W.partitionBy("vin").orderBy("claim_date", "id").rowsBetween(W.unboundedPreceding, -1)
-    found = claims.withColumn("most", F.max("odometer").over(before)).where("most > odometer").select("id", "vin", "claim_date", "odometer")
+    found = set_back(claims.select("id", "vin", "claim_date", "odometer")).select("id", "vin", "claim_date", "odometer")
     prior = claims.select(F.col("vin").alias("p_vin"), F.col("id").alias("p_id"), F.col("claim_date").alias("p_date"), F.col("odometer").alias("p_odometer"))
     earlier = F.struct("p_date", "p_id") < F.struct(F.col("claim_date").alias("p_date"), F.col("id").alias("p_id"))
     joined = found.join(prior, (F.col("vin") == F.col("p_vin")) & (F.col("p_odometer") > F.col("odometer")) & earlier)

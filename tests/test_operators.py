@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tallyguard.operators import duplicates, layout, merchants, profiles, templates
+from tallyguard.operators import duplicates, layout, merchants, profiles, templates, warranty
 from tallyguard.plans import QUERIES
 from tallyguard.sources import sinks
 
@@ -126,3 +126,12 @@ def test_template_groups_and_their_merge(spark):
 def test_groups_by_company(spark):
     df = spark.createDataFrame([(1, "ACME Ltd", "x y"), (2, " acme ", "zzzz"), (3, " ", "word"), (4, None, "word")], "id long, company string, full_text string")
     assert {r["name"]: r.n for r in templates.cluster(df, company="company").collect()} == {"acme": 2, "word": 2}
+
+
+def test_set_back_odometers_are_those_of_the_regressions(spark):
+    """The signal needs no join with the vehicle's other claims, and names each claim that the regressions name, once."""
+    rows = [(1, "A", "2020-01-01", 50), (2, "A", "2020-02-01", 40), (3, "A", "2020-02-01", 45), (4, "B", "2020-01-01", 9), (5, "B", "2020-01-02", 9), (6, None, "2020-01-01", 8), (7, None, "2020-01-02", 7), (8, "A", None, 1), (9, "A", "2020-03-01", None)]
+    claims = spark.createDataFrame(rows, "id long, vin string, claim_date string, odometer int")
+    found = warranty.set_back(claims)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in warranty.odometer_regressions(claims).collect()) == [2, 3]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
