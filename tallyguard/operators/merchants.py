@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
+
 HIT, TYPO = 0.85, 0.70
 #: Names of a block.
 BLOCK = 512
+#: Letters up to which names meet by what is left without one of them; longer ones meet in blocks.
+SHORT = 64
 # Words that speak for a language's pack.
 PACKS = {
     "en": ("the", "and", "of", "total", "invoice", "amount", "date", "tax"), "de": ("der", "die", "das", "und", "rechnung", "betrag", "datum", "mwst"),
@@ -41,16 +45,45 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame
     return pd.DataFrame(found, columns=["name", "known", "ratio"])
 
 
+def near_matches(one: DataFrame, two: DataFrame, least: float = TYPO) -> DataFrame:
+    """``name``, ``known``, ``ratio`` of names whose best known one is equal or a letter away, by equi-joins.
+
+    With ``n`` letters, a known name two insertions and deletions away or more has a ratio of n / (n + 1) at most; a
+    name with a better one among its nearest is settled, ties and all. Longer names than ``SHORT`` settle by equality.
+    """
+
+    def without(x: str, most: int) -> Column:
+        return F.explode(F.when(F.length(x) <= most, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(F.col(x), F.lit(1), i - 1), F.substring(F.col(x), i + 1, F.length(x)))))).otherwise(F.array().cast("array<string>")))
+
+    one, two = one.where("name <> ''"), two.where("known <> ''")
+    equal = one.join(two, F.col("name") == F.col("known"))
+    more = one.join(two.select("known", without("known", SHORT + 1).alias("name")), "name").select("name", "known")
+    less = one.select("name", without("name", SHORT).alias("known")).join(two, "known").select("name", "known")
+
+    def ratios(parts):
+        for part in parts:
+            yield part.assign(ratio=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(part["name"], part["known"], strict=True)])
+
+    scored = equal.unionByName(more).unionByName(less).mapInPandas(ratios, "name string, known string, ratio double")
+    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "known")).alias("b"))
+    n, ratio = F.length("name"), -F.col("b.less")
+    sure = (ratio >= least) & ((ratio == 1.0) | ((n <= SHORT) & (ratio > n / (n + 1) + 1e-9)))
+    return best.where(sure).select("name", "b.known", ratio.alias("ratio"))
+
+
 def fuzzy_matches(names: DataFrame, known: DataFrame, least: float = TYPO) -> DataFrame:
     """For each name the best known one whose sequence ratio is ``least`` or more: a hit, or likely a misspelling.
 
-    Distinct names meet all known ones, in pairs of blocks. The letters that
+    Names that are known, or a letter away from a known one, are settled by equi-joins. The other distinct names meet
+    all known ones, in pairs of blocks. The letters that
     two names share, in any order, bound their ratio from above, so the ratio
     is taken only where that bound reaches ``least`` and the best found so far.
     """
     a = names.select("id", F.lower("name").alias("name"))
     one = a.where("name IS NOT NULL").select("name").distinct()
     two = known.select(F.lower("known").alias("known")).where("known IS NOT NULL").distinct()
+    near = stored(near_matches(one, two, least))
+    one = one.join(near.select("name"), "name", "left_anti")
     n, m = (max(1, -(-x.count() // BLOCK)) for x in (one, two))
     one = one.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"))
     two = two.select("known", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("known"), F.lit(m)).alias("j"))
@@ -58,7 +91,7 @@ def fuzzy_matches(names: DataFrame, known: DataFrame, least: float = TYPO) -> Da
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _best(left, right, least)
 
-    scored = one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, "name string, known string, ratio double")
+    scored = one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, "name string, known string, ratio double").unionByName(near)
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "known")).alias("b"))
     top = best.select(F.col("name").alias("t_name"), "b.known", (-F.col("b.less")).alias("ratio"))
     j = a.join(top, a["name"] == top["t_name"], "left")

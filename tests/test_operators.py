@@ -135,3 +135,14 @@ def test_set_back_odometers_are_those_of_the_regressions(spark):
     found = warranty.set_back(claims)
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in warranty.odometer_regressions(claims).collect()) == [2, 3]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_names_need_no_blocks(spark):
+    """Names settled by equi-joins have the same best known name as among all, and those a letter away are settled."""
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(80)} | {"supplier#01", "x" * 70})
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 8))) for _ in range(80)} | {"suplier#01", "x" * 70, "x" * 69, "é"})
+    got = {r.name: (r.known, r.ratio) for r in merchants.near_matches(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in known], "known string")).collect()}
+    best = {x: min((-difflib.SequenceMatcher(None, x, k).ratio(), k) for k in known) for x in names}
+    assert got == {x: (best[x][1], -best[x][0]) for x in got}
+    assert {x for x in names if x in known} | {"suplier#01"} <= set(got) and "x" * 69 not in got and "é" not in got
