@@ -41,7 +41,8 @@ ADDRESS_WORDS = (
 )
 #: Code points before and after a date in which an address shows itself.
 BEFORE, AFTER = 3, 30
-TIMES = (r"\b([0-9]{1,2}):([0-9]{2})\s*(AM|PM|am|pm)\b", r"\b([0-9]{1,2}):([0-9]{2})\b")
+#: A time, with its half of the day where it has one; each place is looked at, as one may begin within what only looks like another.
+TIME = r"(?U)\b(?=([0-9]{1,2}:[0-9]{2}(?:\s*(?:AM|PM|am|pm))?\b))[0-9]"
 CONFLICT_DAYS, POS_HUNDREDTHS, OTHER_HUNDREDTHS = 30, 35, 25
 
 _FIELDS = {
@@ -56,22 +57,45 @@ def _in_address() -> str:
     return "|".join(rf"\s{{0,{AFTER - len(lead + w)}}}{lead}{re.escape(w)}" for w in ADDRESS_WORDS for lead in ("", ", "))
 
 
+#: Where a date may start: each pattern begins with one of these, and never within a word.
+_START = rf"(?=[0-9JFMASONDjfmasondſ])(?<![0-9A-Za-z_])(?:[0-9]{{1,4}}\s*[/-]\s*[0-9]|[0-9]{{1,2}}\s+(?i:{_SHORT})|(?i:(?:{_SHORT})[a-z]*\.?\s+[0-9]))"
+#: All that a match can be made of.
+_RUN = rf"(?:[0-9\s/:,.-]|AM|PM|am|pm|(?i:(?:{_SHORT})[a-z]*+))++"
+#: Dates with their surroundings; one that starts in those of another belongs to the same stretch.
+_DATE = rf"(?={_START}){_RUN}(?:(?!.{{0,{BEFORE}}}{_START}).){{0,{AFTER}}}+"
+#: Dates with their surroundings; one that starts in those of another belongs to the same stretch.
+_NEAR = rf"(?Us).{{{BEFORE}}}{_DATE}(?:.{{0,{BEFORE}}}?{_DATE})*+"
+
+
+def near(text: Column) -> Column:
+    """The stretches of a text in which dates and their surroundings lie, with a mark before each that no date starts after; null of a null text."""
+    stretches = F.regexp_extract_all(F.concat(F.lit(" " * BEFORE), text), F.lit(_NEAR), F.lit(0))
+    return F.concat(F.lit("_"), F.array_join(stretches, " _"))
+
+
 def found(text: Column) -> Column:
     """What looks like a date and is part of no address, by pattern and then by place; null of a null text.
 
     A match is taken whole before its surroundings are asked for, so one that an address hides still uses up its
-    characters: the alternatives differ in the surroundings alone. Where a match can't start is asked first: within a
-    word, and before anything but a number and a separator, a number and a month's letter, or a month's letters.
+    characters: the other alternative takes it without showing it. A text is read once for the stretches in which
+    dates can lie, and the patterns are asked about those, each if what it needs is there.
     """
 
-    def one(pattern: str) -> Column:
+    def one(part: Column, pattern: str) -> Column:
         day_of = pattern.startswith(r"(?i:\b[")
         start = r"[0-9]{1,4}\s*[/-]" if pattern.startswith(r"\b") else r"[0-9]{1,2}\s+(?i:[JFMASOND])" if day_of else "(?i:[JFMASOND][A-Z])"
-        behind = rf"(?<=#\s{{0,{BEFORE - 1}}}|[Nn]o\.)(?>{pattern})"
-        before = rf"(?>{pattern})(?=(?i:{_in_address()}))"
-        return F.filter(F.regexp_extract_all(text, F.lit(rf"(?U)(?<![0-9A-Za-z_])(?={start})(?:{behind}|{before}|((?>{pattern})))"), F.lit(1)), lambda x: x != "")
+        shown = rf"(?<!#\s{{0,{BEFORE - 1}}}|[Nn]o\.)((?>{pattern}))(?!(?i:{_in_address()}))"
+        return F.filter(F.regexp_extract_all(part, F.lit(rf"(?U)(?<![0-9A-Za-z_])(?={start})(?:{shown}|(?>{pattern}))"), F.lit(1)), lambda x: x != "")
+
+    def group(part: Column, needs: str, patterns: tuple[str, ...]) -> Column:
+        return F.when(part.rlike(needs), F.flatten(F.array(*(one(part, p) for p in patterns)))).otherwise(F.array().cast("array<string>"))
+
+    def every_pattern(part: Column) -> Column:
+        plain, timed, spaced, named = "[0-9][/-]", "[0-9]:[0-9]", "[/-]", rf"(?iU)[0-9]\s+(?=[jfmasond])(?:{_SHORT})|(?=[jfmasond])(?:{_SHORT})[a-z]*\.?\s+[0-9]"
+        groups = (group(part, plain, PATTERNS[:2]), group(part, timed, PATTERNS[2:4]), group(part, spaced, PATTERNS[4:6]), group(part, named, PATTERNS[6:]))
+        return F.when(part.isNotNull(), F.flatten(F.array(*groups)))
 
-    return F.flatten(F.array(*map(one, PATTERNS)))
+    return once(near(text), every_pattern)
 
 
 def read(written: Column, form: str) -> Column:
@@ -99,10 +123,24 @@ def read(written: Column, form: str) -> Column:
     return F.when(written.rlike(pattern) & (year != "0000"), iso).try_cast("date").cast("string")
 
 
+def read_first(written: Column, forms: tuple[str, ...]) -> Column:
+    """What the first of the forms that reads a string makes of it; forms are told apart by their separators before they are tried."""
+
+    def of(some: list[str]) -> Column:
+        return F.coalesce(*(read(written, form) for form in some)) if some else F.lit(None).cast("string")
+
+    out, left = None, list(forms)
+    for sign in "/-.":
+        own = [form for form in left if sign in form]
+        left = [form for form in left if sign not in form]
+        out = (F if out is None else out).when(written.contains(sign), of(own))
+    return out.otherwise(of(left))
+
+
 def first(dates: Column) -> Column:
     """The first of ``found`` as ISO text, day before month; as it is written where no form reads it."""
     written = F.get(dates, F.lit(0))
-    return F.coalesce(*(read(written, form) for form in DAY_FIRST), written)
+    return F.coalesce(read_first(written, DAY_FIRST), written)
 
 
 def every(dates: Column) -> Column:
@@ -110,7 +148,7 @@ def every(dates: Column) -> Column:
 
     def one(written: Column) -> Column:
         word = F.when(written.contains(" "), F.get(F.split(F.trim(written), r"\s+"), F.lit(0))).otherwise(written)
-        return F.coalesce(*(read(word, form) for form in MONTH_FIRST))
+        return once(word, lambda w: read_first(w, MONTH_FIRST))
 
     return F.array_distinct(F.array_compact(F.transform(F.array_distinct(dates), one)))
 
@@ -128,10 +166,14 @@ def span(dates: Column) -> Column:
 def time(text: Column) -> Column:
     """The first time with a half of the day, else the first time, as HH:MM of 24 hours; null without any."""
 
-    def one(pattern: str, half: Column | None) -> Column:
-        hour = F.nullif(F.regexp_extract(text, rf"(?U){pattern}", 1), F.lit("")).cast("int")
+    def read_out(written: Column, half: Column | None) -> Column:
+        hour = F.substring_index(written, ":", 1).cast("int")
         if half is not None:
             hour = F.when((half == "PM") & (hour != 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-        return F.when(hour.isNotNull(), F.format_string("%02d:%s", hour, F.regexp_extract(text, rf"(?U){pattern}", 2)))
+        return F.when(written.isNotNull(), F.format_string("%02d:%s", hour, F.substring(F.substring_index(written, ":", -1), 1, 2)))
+
+    def chosen(times: Column) -> Column:
+        with_half = F.get(F.filter(times, lambda x: x.rlike("[Mm]$")), F.lit(0))
+        return F.coalesce(read_out(with_half, F.upper(F.right(with_half, F.lit(2)))), read_out(F.get(times, F.lit(0)), None))
 
-    return F.coalesce(one(TIMES[0], F.upper(F.regexp_extract(text, rf"(?U){TIMES[0]}", 3))), one(TIMES[1], None))
+    return once(F.regexp_extract_all(text, F.lit(TIME), F.lit(1)), chosen)

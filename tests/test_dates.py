@@ -82,3 +82,11 @@ def test_patterns_read_as_the_standard_library_reads_them(spark):
             except ValueError:
                 want = None
             assert row[str(i)] == want, (row.s, form)
+
+
+def test_only_stretches_around_dates_are_read_again(spark):
+    texts = ["word " * 1000, "x" * 500 + " 1/2/2024 " + "y" * 500, "1/2/2024" + " " * 33 + "3/4/2024", None]
+    near = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(D.near(D.F.col("t"))).collect()]
+    assert near[0] == "_" and near[3] is None
+    assert "1/2/2024" in near[1] and len(near[1]) < 60
+    assert near[2].endswith(texts[2])  # one stretch, so nothing between them is lost
