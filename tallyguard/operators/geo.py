@@ -6,6 +6,8 @@ in its own row: no join, no shuffle. Weights are whole hundredths.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,29 +40,50 @@ CITY, CITY_CAP, TERM_CAP, LEAST, HIGH, GAP = 25, 35, 35, 30, 35, 25
 COUNTRIES = tuple(sorted({c for c, *_ in (*POSTAL, *STRONG)} | CITIES.keys() | TERMS.keys()))
 
 
-def _word(text: Column, word: str) -> Column:
-    """Whether a word stands between spaces, or begins or ends the text."""
-    return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {word} ") | text.startswith(word) | text.endswith(word)
+WORDS = tuple(sorted({w for words in CITIES.values() for w in words} | {w for words in TERMS.values() for w, _ in words}))
+
+
+def known_words(norm: Column) -> Column:
+    """The words of ``WORDS`` that stand between spaces of a text, or begin or end it; a word may be named twice."""
+    listed = lambda words: F.array(*map(F.lit, words))
+    padded = F.concat(F.lit(" "), norm, F.lit(" "))
+    single = F.array_intersect(F.split(norm, " ", -1), listed([w for w in WORDS if " " not in w]))
+    several = F.array_compact(F.array(*(F.when(padded.contains(f" {w} "), w) for w in WORDS if " " in w)))
+    return F.concat(single, several, F.filter(listed(WORDS), lambda w: norm.startswith(w) | norm.endswith(w)))
+
+
+def _fits(text: Column, lower: Column, pattern: str) -> Column:
+    """Whether a pattern fits in any case; one that begins with letters is asked only where those are."""
+    fits, lead = text.rlike("(?i)" + pattern), re.match(r"\\b([A-Z]{2,})", pattern)
+    return lower.contains(lead[1].lower()) & fits if lead else fits
 
 
-def scores(text: Column) -> list[Column]:
-    """Points of every country of ``COUNTRIES``, in order."""
-    norm, out = F.regexp_replace(F.lower(text), r"\s+", " "), []
+def scores(text: Column, lower: Column, words: Column) -> list[Column]:
+    """Points of every country of ``COUNTRIES``, in order, of a text, its lower case and its ``known_words``."""
+    out = []
     for country in COUNTRIES:
         points = F.lit(0)
         for c, pattern, weight in (*POSTAL, *STRONG):
             if c == country:
-                points = points + F.when(text.rlike("(?i)" + pattern), weight).otherwise(0)
-        cities = sum((F.when(_word(norm, w), CITY).otherwise(0) for w in CITIES.get(country, ())), F.lit(0))
-        terms = sum((F.when(_word(norm, w), n).otherwise(0) for w, n in TERMS.get(country, ())), F.lit(0))
+                points = points + F.when(_fits(text, lower, pattern), weight).otherwise(0)
+        cities, terms = F.lit(0), F.lit(0)
+        if country in CITIES:
+            cities = F.size(F.array_intersect(words, F.array(*map(F.lit, CITIES[country])))) * CITY
+        if country in TERMS:
+            # a lookup by word, not a branch for each: so many branches make code that the JVM does not compile
+            weights = F.create_map(*(F.lit(x) for pair in TERMS[country] for x in pair))
+            held = F.array_intersect(words, F.array(*(F.lit(w) for w, _ in TERMS[country])))
+            terms = F.aggregate(held, F.lit(0), lambda a, w: a + weights[w])
         out.append(points + F.least(cities, F.lit(CITY_CAP)) + F.least(terms, F.lit(TERM_CAP)))
     return out
 
 
 def infer(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``country`` (UNKNOWN below the limits), ``confidence``, the best and second score, and whether signals are mixed."""
-    ranked = F.sort_array(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("country")) for i, (c, s) in enumerate(zip(COUNTRIES, scores(F.col("t")), strict=True)))), asc=False)
-    rows = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("r", ranked)
+    ranked = F.sort_array(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("country")) for i, (c, s) in enumerate(zip(COUNTRIES, scores(*map(F.col, ("t", "lower", "words"))), strict=True)))), asc=False)
+    rows = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("lower", F.lower("t"))
+    # a text's words are looked up once, and the countries' words among the few that it has
+    rows = rows.withColumn("norm", F.regexp_replace("lower", r"\s+", " ")).withColumn("words", known_words(F.col("norm"))).withColumn("r", ranked)
     top, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))["score"]
     mixed = (second > HIGH) & (top["score"] - second < GAP)
     raw = F.try_divide(top["score"] - second, F.greatest(top["score"], F.lit(1))) * 0.70 + F.least(F.lit(0.30), top["score"] / 100.0 * 0.40)

@@ -33,3 +33,16 @@ def test_events(spark):
     assert events(spark, geo_country="UNKNOWN", currency="EUR") == []
     assert events(spark, merchant="City Dental", currency="CAD", geo_conf=0.1) == [("GEO_CURRENCY_MISMATCH", "INFO", 0.0), ("MERCHANT_CURRENCY_IMPLAUSIBLE", "CRITICAL", 154.0)]
     assert events(spark, merchant="Available goods", currency="USD") == events(spark, merchant=None, full_text=None) == []
+
+
+def test_known_words_are_those_that_stand_alone_or_at_an_end(spark):
+    from pyspark.sql import functions as F
+
+    from tallyguard.operators import geo
+
+    texts = ["gst paid in new york today", "gstin", "a gst", "agst b", "pin code", "newyork pan", "", " rs "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    found = [set(r[0]) for r in rows.orderBy("i").select(geo.known_words(F.col("t"))).collect()]
+    naive = [{w for w in geo.WORDS if f" {w} " in f" {t} " or t.startswith(w) or t.endswith(w)} for t in texts]
+    assert found == naive
+    assert naive[0] == {"gst", "new york"} and naive[7] == {"rs"}
