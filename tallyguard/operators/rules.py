@@ -147,6 +147,14 @@ def evaluate(records: DataFrame, rules: list[RuleSpec]) -> DataFrame:
     return records.withColumn("events", F.array_compact(F.array(*(event(i, r) for i, r in enumerate(rules)))))
 
 
+def exploded(evaluated: DataFrame) -> DataFrame:
+    """``id`` and ``e``, an event, of ``evaluate``.
+
+    By the outer form: the inner one asks for each array's size below the projection, so that all rules are evaluated anew.
+    """
+    return evaluated.select("id", F.explode_outer("events").alias("e")).where("e IS NOT NULL")
+
+
 def score_and_label(evaluated: DataFrame) -> DataFrame:
     """``id``, ``score`` (0 to 1), ``label`` and the ids of the rules that fired, in order."""
     total = F.least(F.lit(1000.0), F.aggregate("events", F.lit(0.0), lambda a, e: a + e["thousandths"]))

@@ -87,9 +87,13 @@ def evaluated(spark, sf):
     return R.evaluate(view(spark, sf, "records"), R.registry(CLAIMS_AS_OF))
 
 
+def events_of(spark, sf):
+    return R.exploded(evaluated(spark, sf))
+
+
 @query("rule_events", with_views("SELECT id, ordinal, rule_id, severity, CAST(CASE WHEN severity = 'HARD_FAIL' THEN hundredths * 10 ELSE hundredths * 7 END AS DOUBLE) AS thousandths FROM {fired}"))
 def rule_events(spark, sf):
-    return evaluated(spark, sf).select("id", F.explode("events").alias("e")).select("id", "e.*")
+    return events_of(spark, sf).select("id", "e.*")
 
 
 @query("score_and_label", with_views("SELECT id, CAST(score AS DOUBLE) AS score, label, rules, n_critical, hard_fail FROM {labelled}"))
@@ -99,7 +103,7 @@ def score_and_label(spark, sf):
 
 @query("rule_statistics", with_views("SELECT rule_id, severity, count(*) AS n, count(DISTINCT id) AS n_records FROM {fired} GROUP BY ALL"))
 def rule_statistics(spark, sf):
-    events = evaluated(spark, sf).select("id", F.explode("events").alias("e"))
+    events = events_of(spark, sf)
     return events.groupBy("e.rule_id", "e.severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_records"))
 
 
