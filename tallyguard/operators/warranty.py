@@ -137,9 +137,7 @@ def history_signals(claims: DataFrame, matches: DataFrame, benchmarks: DataFrame
     scored = benchmark_scores(claims, benchmarks)
     above = (("TOTAL_ABOVE_BENCHMARK", "MEDIUM", "total_above"), ("PARTS_COST_ABOVE_BENCHMARK", "LOW", "parts_above"), ("LABOR_COST_ABOVE_BENCHMARK", "LOW", "labor_above"))
     found = scored.select("id", F.explode(F.array_compact(F.array(*(_signal(n, s, F.col(c)) for n, s, c in above)))).alias("s")).select("id", "s.signal_type", "s.severity")
-    vehicle = vin_history(claims).where("signal IS NOT NULL")
-    found = found.union(_of(vehicle, F.col("signal"), F.when(F.col("signal") == "VIN_EXCESSIVE_CLAIMS", "HIGH").otherwise("MEDIUM")))
-    found = found.union(_of(set_back(claims), "ODOMETER_REGRESSION", "HIGH")).union(_of(repeat_claims(claims), "REPEAT_CLAIM_SAME_PART_SHORT_WINDOW", "MEDIUM"))
+    found = found.union(vehicle_signals(claims)).union(_of(repeat_claims(claims), "REPEAT_CLAIM_SAME_PART_SHORT_WINDOW", "MEDIUM"))
 
     confirmed = feedback.where("verdict = 'CONFIRMED_FRAUD'").groupBy(F.col("receipt_id").alias("f_id")).agg(F.count("*").alias("frauds"))
     known = claims.join(confirmed, claims["id"] == confirmed["f_id"], "left").groupBy("dealer_id").agg(F.count("*").alias("total_claims"), F.sum(F.coalesce("frauds", F.lit(0))).alias("fraud_confirmed"))
@@ -213,6 +211,22 @@ def set_back(claims: DataFrame) -> DataFrame:
     return claims.where("vin IS NOT NULL").withColumn("most", F.max("odometer").over(before)).where("most > odometer")
 
 
+def vehicle_signals(claims: DataFrame) -> DataFrame:
+    """``id``, ``signal_type``, ``severity``: how many claims a claim's vehicle has, and whether its odometer was set back.
+
+    Both from one shuffle and one sort by vehicle. Claims without a vehicle count together, by a sum and not in a window,
+    as they may be many; their odometers tell nothing.
+    """
+    order = W.partitionBy("vin").orderBy("claim_date", "id")
+    rows = claims.where("vin IS NOT NULL").select("id", "vin", "claim_date", "odometer").withColumns({
+        "n": F.count("*").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "most": F.max("odometer").over(order.rowsBetween(W.unboundedPreceding, -1)),
+    })
+    many = F.when(F.col("n") >= 4, F.struct(F.lit("VIN_EXCESSIVE_CLAIMS").alias("signal_type"), F.lit("HIGH").alias("severity"))).when(F.col("n") == 3, F.struct(F.lit("VIN_MULTIPLE_CLAIMS").alias("signal_type"), F.lit("MEDIUM").alias("severity")))
+    told = rows.select("id", F.explode(F.array(many, _signal("ODOMETER_REGRESSION", "HIGH", F.col("most") > F.col("odometer")))).alias("s")).where("s IS NOT NULL").select("id", "s.signal_type", "s.severity")
+    nameless = vin_history(claims.where("vin IS NULL")).where("signal IS NOT NULL")
+    return told.union(_of(nameless, F.col("signal"), F.when(F.col("signal") == "VIN_EXCESSIVE_CLAIMS", "HIGH").otherwise("MEDIUM")))
+
+
 def odometer_regressions(claims: DataFrame) -> DataFrame:
     """Claims whose vehicle had a larger odometer in an earlier claim, with the latest such claim.
 

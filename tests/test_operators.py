@@ -146,3 +146,31 @@ def test_near_names_need_no_blocks(spark):
     best = {x: min((-difflib.SequenceMatcher(None, x, k).ratio(), k) for k in known) for x in names}
     assert got == {x: (best[x][1], -best[x][0]) for x in got}
     assert {x for x in names if x in known} | {"suplier#01"} <= set(got) and "x" * 69 not in got and "é" not in got
+
+
+def test_vehicle_signals_take_one_shuffle_and_count_claims_without_a_vehicle(spark):
+    rows = [(1, "A", "2020-01-01", 50, 1), (2, "A", "2020-02-01", 40, 1), (3, "A", "2020-03-01", 60, 1), *((i, "B", "2020-01-01", 9, 1) for i in range(4, 8)), (8, "C", "2020-01-01", 3, 1), *((i, None, "2020-01-02", 20 - i, 1) for i in range(9, 12))]
+    claims = spark.createDataFrame(rows, "id long, vin string, claim_date string, odometer int, total_c long")
+    found = {tuple(r) for r in warranty.vehicle_signals(claims).collect()}
+    many = {(i, "VIN_MULTIPLE_CLAIMS", "MEDIUM") for i in (1, 2, 3, 9, 10, 11)} | {(i, "VIN_EXCESSIVE_CLAIMS", "HIGH") for i in range(4, 8)}
+    assert found == many | {(2, "ODOMETER_REGRESSION", "HIGH")}
+
+
+def test_addresses_are_counted_in_their_own_row(spark):
+    from tallyguard.operators import profiles
+
+    docs = spark.createDataFrame([(1, "7 Main Street\nPune 411001\nMaharashtra India\nThank you\nFlat 7, Baker Street\nLondon 12345\nUnited Kingdom"), (2, None)], "id long, text string")
+    counted = profiles.multi_address(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.status) for r in counted.orderBy("id").collect()] == [(1, "MULTIPLE"), (2, "UNKNOWN")]
+
+
+def test_events_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from tallyguard.operators import rules
+
+    records = spark.createDataFrame([(1, 5), (2, None), (3, 0)], "id long, n int")
+    events = rules.exploded(rules.evaluate(records, [rules.RuleSpec("A", F.col("n") > 1, "INFO", 1), rules.RuleSpec("B", F.col("n") > 2, "INFO", 1)]))
+    assert "size(" not in events._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.e.rule_id) for r in events.orderBy("id", "e.ordinal").collect()] == [(1, "A"), (1, "B")]
