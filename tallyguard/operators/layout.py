@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,42 +105,124 @@ def text_signals(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, F.explode(found).alias("s")).select(key, "s.*")
 
 
-def distinct_regions(regions: DataFrame, share: float = 0.7) -> DataFrame:
+#: Boxes that are settled together: pages of so many at most are settled whole, of larger ones as many in each cell and round.
+TOGETHER = 50_000
+_SIDES = ("x0", "y0", "x1", "y1")
+_SPOT = ("page", "kx", "ky", "ix", "iy")
+
+
+def _covered(a: np.ndarray, b: np.ndarray, share: float, rows: int = 4096) -> np.ndarray:
+    """Which boxes of ``a`` share more than ``share`` of both together with one of ``b``; columns are boxes, by area, rows x0, y0, x1, y1 and area."""
+    found = np.zeros(a.shape[1], bool)
+    if not a.size or not b.size:
+        return found
+    # a box can be covered by one of 1 / share of its area at most
+    for lo in range(np.searchsorted(-b[4], -a[4, 0] / share * 1.001), b.shape[1], rows):
+        found |= _cover(a, b[:, lo : lo + rows], share).any(axis=1)
+    return found
+
+
+def _cover(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    x0, y0, x1, y1, area = a[:, :, None]
+    both = np.maximum(0, np.minimum(x1, b[2]) - np.maximum(x0, b[0])) * np.maximum(0, np.minimum(y1, b[3]) - np.maximum(y0, b[1]))
+    return both > (area + b[4] - both) * share
+
+
+def _certain(share: float, rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over boxes by place and size: those that are certainly kept. A place begins at ``n`` 1; what it holds are its kept and open boxes.
+
+    A box that is not the place's ``own`` can be covered by boxes that are not here: it is open, and so is what it covers.
+    """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty((5, 0))
+        kept = open_ = none
+        for batch in batches:
+            number = lambda c, of=batch: of.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            boxes, own, starts = np.array([number(c) for c in (*_SIDES, "area")]), batch.column("own").to_numpy(zero_copy_only=False), batch.column("n").to_numpy() == 1
+            cuts = sorted({*range(0, batch.num_rows, rows), *np.flatnonzero(starts).tolist(), batch.num_rows})
+            found = []
+            for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905  neighbours
+                if starts[lo]:
+                    kept = open_ = none
+                at = np.arange(lo, hi)
+                at = at[~_covered(boxes[:, at], kept, share)]
+                doubt, gone = ~own[at] | _covered(boxes[:, at], open_, share), np.zeros(len(at), bool)
+                meet = _cover(boxes[:, at], boxes[:, at], share)
+                for i in range(len(at)):
+                    if not gone[i]:
+                        (doubt if doubt[i] else gone)[i + 1 :] |= meet[i, i + 1 :]
+                sure, unsure = at[~gone & ~doubt], at[~gone & doubt]
+                kept, open_ = np.concatenate([kept, boxes[:, sure]], axis=1), np.concatenate([open_, boxes[:, unsure]], axis=1)
+                found.append(sure)
+            yield batch.take(pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+    return settle
+
+
+def distinct_regions(regions: DataFrame, share: float = 0.7, together: int | None = None) -> DataFrame:
     """Regions of a page, largest first, but those that cover a kept larger one by more than ``share`` of both together.
 
     Of equal areas the lower ``region_id`` goes first; equal boxes are one; boxes
     without an area are kept. ``rank`` counts a page's kept regions by size.
-    Pairs meet by classes of width and height and by cells of their middles: two
-    boxes that share so much differ by one class at most and stand close, so no
-    pair of a page's other boxes is formed. Rounds settle every box whose larger
-    neighbours are all settled; what is open is written between rounds.
+    A box is compared with kept ones only, which are few where boxes are dense,
+    so no pairs of boxes are formed. A page of more than ``together`` boxes (``TOGETHER``) is
+    cut into cells, by classes of width and height and by middles: two boxes that
+    share so much differ by one class at most and stand close, so a cell sees all
+    that its boxes may share with. Rounds keep what is certain in each cell, and
+    what that covers goes; what is open is written between rounds.
     """
+    together = together or TOGETHER
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    boxes = regions.groupBy("page", "x0", "y0", "x1", "y1").agg(F.min("region_id").alias("region_id")).withColumns({"area": (wide * high).cast("double"), "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
-    size = lambda x: F.floor(F.log(x) / math.log(1 / share)).cast("int")
-    sized = boxes.where("x1 > x0 AND y1 > y0").withColumns({"kx": size(wide), "ky": size(high)})
-    cell = lambda at, k: F.floor(at / F.pow(F.lit(1 / share), k + 2))
-    a = sized.withColumns({"ix": cell(F.col("cx"), F.col("kx")), "iy": cell(F.col("cy"), F.col("ky"))})
-    around = lambda x: F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1))
-    b = sized.withColumn("kx", around("kx")).withColumn("ky", around("ky"))
-    # middles are nearer than (1 - share) of the larger side, which is within the cell of the next class
-    for i, c, k in (("ix", "cx", "kx"), ("iy", "cy", "ky")):
-        away = F.pow(F.lit(1 / share), F.col(k) + 2) * (1 - share)
-        b = b.withColumn(i, F.explode(F.sequence(cell(F.col(c) - away, F.col(k)), cell(F.col(c) + away, F.col(k)))))
-    keys = ["page", "kx", "ky", "ix", "iy"]
-    names = ("region_id", "x0", "y0", "x1", "y1", "area")
-    met = a.select(*keys, *(F.col(x).alias(f"a_{x}") for x in names)).join(b.select(*keys, *(F.col(x).alias(f"b_{x}") for x in names)), keys)
-    first = (F.col("a_area") > F.col("b_area")) | ((F.col("a_area") == F.col("b_area")) & (F.col("a_region_id") < F.col("b_region_id")))
-    both = F.greatest(F.lit(0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * F.greatest(F.lit(0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
-    links = stored(met.where(first & (both > (F.col("a_area") + F.col("b_area") - both) * share)).select("page", F.col("a_region_id").alias("larger"), F.col("b_region_id").alias("smaller")))
-    open_, gone = links, None
-    while not open_.isEmpty():
-        # a larger box that is nobody's smaller one is kept, and its neighbours go
-        lower = open_.select("page", F.col("smaller").alias("larger")).distinct()
-        out = stored(open_.join(lower, ["page", "larger"], "left_anti").select("page", "smaller").distinct())
-        gone = out if gone is None else gone.unionByName(out)
-        left = open_.join(out, ["page", "smaller"], "left_anti").join(out.withColumnRenamed("smaller", "larger"), ["page", "larger"], "left_anti")
-        open_ = stored(left.select("page", "larger", "smaller"))
-    kept = boxes if gone is None else boxes.join(gone.withColumnRenamed("smaller", "region_id"), ["page", "region_id"], "left_anti")
+    boxes = stored(regions.groupBy("page", *_SIDES).agg(F.min("region_id").alias("region_id")).withColumn("area", wide.cast("double") * high.cast("double")))
+    has_area = F.coalesce((wide > 0) & (high > 0) & (F.col("area") < float("inf")), F.lit(False))
+    sized = boxes.where(has_area)
+
+    def certain(rows: DataFrame) -> DataFrame:
+        first = F.row_number().over(W.partitionBy(*_SPOT).orderBy(F.desc("area"), "region_id"))
+        ranked = rows.select(*boxes.columns, *_SPOT[1:], "own", first.alias("n")).where(F.col("n") <= together)
+        return ranked.mapInArrow(_certain(share), ranked.schema).drop("own", "n")
+
+    large = sized.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > together).select(F.col("page").alias("large"))
+    is_large = F.col("page").eqNullSafe(F.col("large"))
+    whole = sized.join(large, is_large, "left_anti").select("*", *(F.lit(0).alias(k) for k in _SPOT[1:]), F.lit(True).alias("own"))
+    kept = boxes.where(~has_area).unionByName(certain(whole).select(*boxes.columns))
+    if not large.isEmpty():
+        open_ = stored(_celled(sized.join(large, is_large, "left_semi"), share))
+        while not open_.isEmpty():
+            visitors = _visits(open_, share).where("NOT (kx = own_kx AND ky = own_ky AND ix = own_ix AND iy = own_iy)")
+            found = stored(certain(open_.withColumn("own", F.lit(True)).unionByName(visitors.select(*open_.columns, F.lit(False).alias("own")))))
+            kept = kept.unionByName(found.select(*boxes.columns))
+            a, b = open_.alias("a"), _visits(found, share).alias("b")
+            both = F.greatest(F.lit(0), F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")) * F.greatest(F.lit(0), F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0"))
+            same = lambda names: reduce(and_, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names))
+            over = (both > (F.col("a.area") + F.col("b.area") - both) * share) | same(_SIDES)
+            open_ = stored(a.join(b, same(_SPOT) & over, "left_anti"))
     rank = F.row_number().over(W.partitionBy("page").orderBy(F.desc("area"), "region_id"))
-    return kept.select("page", "region_id", "x0", "y0", "x1", "y1", rank.alias("rank"))
+    return kept.select("page", "region_id", *_SIDES, rank.alias("rank"))
+
+
+def _cell(at: Column, k: Column, share: float) -> Column:
+    return F.floor(at / F.pow(F.lit(1 / share), k + 2))
+
+
+def _middle(i: str) -> Column:
+    return (F.col(f"{i}0") + F.col(f"{i}1")) / 2
+
+
+def _celled(boxes: DataFrame, share: float) -> DataFrame:
+    """Boxes with the classes of their width and height and the cell of their middle."""
+    size = lambda i: F.floor(F.log(F.col(f"{i}1") - F.col(f"{i}0")) / math.log(1 / share)).cast("int").alias(f"k{i}")
+    return boxes.select("*", size("x"), size("y")).withColumns({f"i{i}": _cell(_middle(i), F.col(f"k{i}"), share) for i in "xy"})
+
+
+def _visits(celled: DataFrame, share: float) -> DataFrame:
+    """Boxes in each cell, their own among them, whose boxes they may share so much with; their own is in columns with ``own_`` before them."""
+    out = celled.withColumns({f"own_{k}": F.col(k) for k in _SPOT[1:]})
+    for k in ("kx", "ky"):
+        out = out.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+    # middles are nearer than (1 - share) of the larger side, which is within the cell of the next class
+    for i in "xy":
+        away = F.pow(F.lit(1 / share), F.col(f"k{i}") + 2) * (1 - share)
+        out = out.withColumn(f"i{i}", F.explode(F.sequence(_cell(_middle(i) - away, F.col(f"k{i}"), share), _cell(_middle(i) + away, F.col(f"k{i}"), share))))
+    return out

@@ -104,6 +104,26 @@ def test_regions_as_one_by_one(spark):
     assert layout.distinct_regions(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [60, 50_000])
+def test_regions_of_crowded_pages_form_no_pairs(spark, together, monkeypatch):
+    """Pages cut into cells and rounds keep what is kept one by one, pages without a number are a page, and no written table outgrows the boxes."""
+    rng = random.Random(8)
+    draw = lambda i, far: (lambda x, y, w, h: (i, x, y, x + w, y + h))(rng.randrange(far), rng.randrange(far), rng.choice((20, 21, 23, 26, 50)), rng.choice((20, 22, 25)))
+    pages = {1: [draw(i, 12) for i in range(400)], None: [draw(i, 90) for i in range(200)], 3: [draw(i, 12) for i in range(5)]}
+    rows = [(p, *map(float, b[1:]), b[0]) for p, bs in pages.items() for b in bs] + [(1, 0.0, 0.0, float("inf"), 5.0, 900), (1, float("nan"), 0.0, 9.0, 5.0, 901)]
+    df = spark.createDataFrame(rows, "page long, x0 double, y0 double, x1 double, y1 double, region_id long")
+    written = []
+    monkeypatch.setattr(layout, "stored", lambda t: written.append(sinks.stored(t)) or written[-1])
+    monkeypatch.setattr(layout, "TOGETHER", together, raising=False)
+    found = {}
+    for r in layout.distinct_regions(df).collect():
+        found.setdefault(r.page, set()).add(r.region_id)
+    assert max(t.count() for t in written) <= len(rows)
+    assert found.pop(1) == _greedy(pages[1], 0.7) | {900, 901}
+    assert found == {p: _greedy(pages[p], 0.7) for p in (None, 3)}
+    assert (len(written) > 1) == (together == 60)
+
+
 def test_template_groups_and_their_merge(spark):
     rows = [(1, "Zebra Shop\nTotal 1.00\nTax 2.00\n\n  "), (2, "Zebra Shop\nTotal 1.00"), (3, "shop zebra\n1.00\n2.00\n3.00\n4.00\n5.00\n6.00\n7.00"), (4, "12\n34"), (5, ""), (6, None), (7, "Alpha Beta")]
     df = spark.createDataFrame(rows, "id long, full_text string")
