@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -153,29 +154,78 @@ def learn(said: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of time that a batch of a stream is cut into: a stream cannot sort, so a task holds a range's arrivals, as numbers, to order them.
+RANGES = 64
+_PACKED = "rule_type string, pattern string, run int, ops binary, born timestamp, last timestamp"
+
+
+def _coded(texts: pa.Array, known: dict[str, int]) -> np.ndarray:
+    """A number for each text; new ones are added to ``known``."""
+    found = texts.dictionary_encode()
+    return np.array([known.setdefault(x, len(known)) for x in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each rule's arrivals in one range of time: their ops in order, a byte each, the time of the first that can make a rule, and of the last."""
+    types, ops, patterns = {t: i for i, t in enumerate(TYPES)}, {o: i for i, o in enumerate(OPS)}, {}
+    held, times, run = [], [], 0
+    for b in batches:
+        if b.num_rows:
+            at, ids = (b.column(c).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy() for c in ("created_at", "feedback_id"))
+            rule = _coded(b.column("pattern"), patterns) * len(TYPES) + _coded(b.column("rule_type"), types)
+            held.append((_coded(b.column("op"), ops).astype(np.int8), b.column("part").to_numpy(), ids, at, rule))
+            times.append(b.column("created_at"))
+            run = b.column("run")[0].as_py()
+    if not held:
+        return
+    op, part, ids, at, rule = (np.concatenate(x) for x in zip(*held))  # noqa: B905  columns of one range
+    order = np.lexsort((part, ids, at, rule))
+    op, rule, of, names = op[order], rule[order], pa.chunked_array(times), list(patterns)
+    makes = np.append(np.flatnonzero((op == ops["raise"]) | (op == ops["belie"])), len(op))
+    starts = np.flatnonzero(np.diff(rule, prepend=-1))
+    ends = np.append(starts[1:], len(op))
+    makers = makes[np.searchsorted(makes, starts)]
+    born = pa.array(order[np.minimum(makers, len(op) - 1)], mask=makers >= ends)
+    yield pa.RecordBatch.from_arrays([
+        pa.array([TYPES[r % len(TYPES)] for r in rule[starts]]), pa.array([names[r // len(TYPES)] for r in rule[starts]]), pa.array([run] * len(starts), pa.int32()),
+        pa.array([op[lo:hi].tobytes() for lo, hi in zip(starts, ends, strict=True)], pa.binary()), of.take(born).combine_chunks(), of.take(pa.array(order[ends - 1])).combine_chunks(),
+    ], names=["rule_type", "pattern", "run", "ops", "born", "last"])
+
+
+def packed(said: DataFrame) -> DataFrame:
+    """One row for each rule and range of time, of a table or of each batch of a stream; runs of ops follow each other as ``run`` does."""
+    ranges = said.repartitionByRange(RANGES, *(F.col(c).asc_nulls_last() for c in ("created_at", "feedback_id", "part")))
+    return ranges.withColumn("run", F.spark_partition_id()).mapInArrow(_pack, _PACKED)
+
+
 def learn_stream(said: DataFrame) -> DataFrame:
     """The same fold over a stream: after each batch the rules that it touched come out, with ``version``, the batches so far.
 
     Batches are taken in the order in which they come; within one, arrivals go by time, id and part. State is one row
-    for each rule and does not expire.
+    for each rule and does not expire. A rule's arrivals come to its state as ``packed``: a byte each, not a row.
     """
     state_of = "value int, enabled boolean, white boolean, n long, born timestamp, version long"
+    after, counts = (dict(zip(TYPES, x.tolist(), strict=True)) for x in tables())
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rule_type, pattern = key
         value, on, white, n, born, version = state.get if state.exists else (None, None, None, 0, None, 0)
-        now = None if value is None else (value, on, white)
+        now = 0 if value is None else _INDEX[value, on, white]
+        then, count = after[rule_type], counts[rule_type]
         last = None
-        rows = pd.concat(list(batches)).sort_values(["created_at", "feedback_id", "part"])
-        for op, at in zip(rows["op"], rows["created_at"], strict=True):
-            new, counted = step(now, op, rule_type)
-            born, n, now, last = (at if now is None and new is not None else born), n + counted, new, at
-        if now is None:
+        for ops, at, last in pd.concat(list(batches)).sort_values("run")[["ops", "born", "last"]].itertuples(index=False):  # noqa: B007  the last is used
+            born = at if now == 0 else born
+            for op in ops:
+                n += count[op][now]
+                now = then[op][now]
+        if now == 0:
             return
-        state.update((*now, n, born, version + 1))
+        value, on, white = STATES[now]
+        born, last = (None if pd.isna(x) else x for x in (born, last))
+        state.update((value, on, white, n, born, version + 1))
         yield pd.DataFrame({
-            "rule_type": [rule_type], "pattern": [pattern], "adjustment_c": [now[0]], "enabled": [now[1]], "white": [now[2]],
+            "rule_type": [rule_type], "pattern": [pattern], "adjustment_c": [value], "enabled": [on], "white": [white],
             "learned_from": [n], "first_seen": [born], "last_seen": [last], "version": [version + 1],
         })
 
-    return said.groupBy("rule_type", "pattern").applyInPandasWithState(fold, OUT + ", version long", state_of, "append", GroupStateTimeout.NoTimeout)
+    return packed(said).groupBy("rule_type", "pattern").applyInPandasWithState(fold, OUT + ", version long", state_of, "append", GroupStateTimeout.NoTimeout)

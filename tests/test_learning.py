@@ -108,3 +108,20 @@ def test_stream_equals_batch(spark, tmp_path):
     newest = out.groupBy("rule_type", "pattern").agg(L.F.max_by(L.F.struct(*out.columns), "version").alias("r")).select("r.*")
     assert newest.agg(L.F.max("version")).first()[0] == 3
     assert collected(newest) == by_hand(rows)
+
+
+def test_a_batch_comes_to_the_state_as_bytes(spark):
+    """One row for each rule and range of time, however many arrivals, with the ops in order and the time of the first that makes a rule."""
+    rows = [(i, at(i // 3), 2 - i % 3, "merchant_pattern", "hot" if i % 50 else "cold", "confirm" if i < 900 else L.OPS[i % 4]) for i in range(2000)] + [(5000, None, 0, "merchant_pattern", "hot", "raise")]
+    found = L.packed(spark.createDataFrame(rows, SCHEMA).repartition(5)).orderBy("pattern", "run").collect()
+    assert len(found) <= 2 * L.RANGES
+    for pattern in ("hot", "cold"):
+        mine = sorted((r for r in rows if r[4] == pattern), key=lambda r: (r[1] is None, r[1] or at(0), r[0], r[2]))
+        runs = [r for r in found if r.pattern == pattern]
+        assert [L.OPS[o] for r in runs for o in r.ops] == [r[5] for r in mine]
+        n = 0
+        for r in runs:
+            part = mine[n : n + len(r.ops)]
+            n += len(r.ops)
+            assert r.born == next((x[1] for x in part if x[5] in ("raise", "belie")), None)
+            assert r.last == part[-1][1]
