@@ -105,8 +105,8 @@ def text_signals(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, F.explode(found).alias("s")).select(key, "s.*")
 
 
-#: Boxes that are settled together: pages of so many at most are settled whole, of larger ones as many in each cell and round.
-TOGETHER = 50_000
+#: Boxes that are settled together: pages of so many at most are settled whole; of larger ones, so many in each cell and round.
+TOGETHER, IN_CELL = 50_000, 4_000
 _SIDES = ("x0", "y0", "x1", "y1")
 _SPOT = ("page", "kx", "ky", "ix", "iy")
 
@@ -178,20 +178,20 @@ def distinct_regions(regions: DataFrame, share: float = 0.7, together: int | Non
     has_area = F.coalesce((wide > 0) & (high > 0) & (F.col("area") < float("inf")), F.lit(False))
     sized = boxes.where(has_area)
 
-    def certain(rows: DataFrame) -> DataFrame:
+    def certain(rows: DataFrame, most: int) -> DataFrame:
         first = F.row_number().over(W.partitionBy(*_SPOT).orderBy(F.desc("area"), "region_id"))
-        ranked = rows.select(*boxes.columns, *_SPOT[1:], "own", first.alias("n")).where(F.col("n") <= together)
+        ranked = rows.select(*boxes.columns, *_SPOT[1:], "own", first.alias("n")).where(F.col("n") <= most)
         return ranked.mapInArrow(_certain(share), ranked.schema).drop("own", "n")
 
     large = sized.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > together).select(F.col("page").alias("large"))
     is_large = F.col("page").eqNullSafe(F.col("large"))
     whole = sized.join(large, is_large, "left_anti").select("*", *(F.lit(0).alias(k) for k in _SPOT[1:]), F.lit(True).alias("own"))
-    kept = boxes.where(~has_area).unionByName(certain(whole).select(*boxes.columns))
+    kept = boxes.where(~has_area).unionByName(certain(whole, together).select(*boxes.columns))
     if not large.isEmpty():
         open_ = stored(_celled(sized.join(large, is_large, "left_semi"), share))
         while not open_.isEmpty():
             visitors = _visits(open_, share).where("NOT (kx = own_kx AND ky = own_ky AND ix = own_ix AND iy = own_iy)")
-            found = stored(certain(open_.withColumn("own", F.lit(True)).unionByName(visitors.select(*open_.columns, F.lit(False).alias("own")))))
+            found = stored(certain(open_.withColumn("own", F.lit(True)).unionByName(visitors.select(*open_.columns, F.lit(False).alias("own"))), min(together, IN_CELL)))
             kept = kept.unionByName(found.select(*boxes.columns))
             a, b = open_.alias("a"), _visits(found, share).alias("b")
             both = F.greatest(F.lit(0), F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")) * F.greatest(F.lit(0), F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0"))
