@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .packing import _LONG_RUN, _PLAIN, Encoder, tokenizer_paths
 
-#: Pairs (distinct in their document) of one block at most, unless one document has more.
-BLOCK_PAIRS = 1 << 20
+#: Pairs (distinct in their document) of one block at most, unless one document has more. A block is one row, of which writers, readers,
+#: sorts and groups hold several at once: some 1.6 MB at this size.
+BLOCK_PAIRS = 1 << 17
+#: Blocks that are written, and read again, at once. Parquet itself looks at the size of what it holds every 100 rows only.
+BLOCKS_AT_ONCE = 8
 #: Links that are listed at once.
 LIST_LINKS = 1 << 20
 #: Tokens whose ends are searched together, and every how many a value is searched ahead of its neighbours.
@@ -185,7 +188,7 @@ class Written:
 
 
 _BLOCK = (
-    "block string, pairs array<long>, held array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
+    "block long, pairs array<long>, held array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
     "n_links array<long>, sha array<string>, size array<int>, place array<int>, occ array<long>"
 )
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -224,8 +227,8 @@ def _blocks(docs: DataFrame, paths: tuple[str, str | None, str], block_pairs: in
             nonlocal serial, held
             serial, held = serial + 1, 0
             pairs, place, n = np.unique(np.concatenate([r[6] for r in rows]), return_inverse=True, return_counts=True)
-            cols = [[f"{part}-{serial}"], [pairs], [n], *([[r[k] for r in rows]] for k in range(6)), [[len(r[6]) for r in rows]], [place.ravel()], [np.concatenate([r[7] for r in rows])]]
-            kinds = [pa.string(), *[pa.list_(pa.int64())] * 7, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            cols = [[(part << 32) + serial], [pairs], [n], *([[r[k] for r in rows]] for k in range(6)), [[len(r[6]) for r in rows]], [place.ravel()], [np.concatenate([r[7] for r in rows])]]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 7, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
@@ -261,7 +264,7 @@ def _report(block: pa.Table, counts: pa.Table) -> pa.Table:
         return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
     flat = {c: block.column(c).combine_chunks().flatten() for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha")}
     size, place, occ = (block.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("size", "place", "occ"))
-    n = len(block.column("pairs")[0])
+    n = block.column("n_pairs")[0].as_py()
     count, best = np.zeros(n, np.int64), np.zeros(n, bool)
     at = counts.column("place").to_numpy()
     count[at], best[at] = counts.column("count").to_numpy(), counts.column("best").to_numpy()
@@ -303,11 +306,13 @@ def align(docs: DataFrame, *, json_path: str | None = None, ranks_path: str | No
     width = sentencepiece.SentencePieceProcessor(model_file=paths[2]).get_piece_size()
     spark = docs.sparkSession
     run = Scratch(spark, "alignment")
-    blocks = run(_blocks(docs, paths, block_pairs), "blocks")
+    blocks = run(_blocks(docs, paths, block_pairs), "blocks", **{"parquet.block.row.count.limit": BLOCKS_AT_ONCE})
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     of_pair = run(listed.groupBy("pair").agg(F.sum("held").alias("count")), "counts")
     of_a = F.floor(F.col("pair") / width).cast("long")
     highest = of_pair.groupBy(of_a.alias("a")).agg(F.max("count").alias("highest"))
     of_pair = of_pair.withColumn("a", of_a).join(F.broadcast(highest), "a").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
     counts = listed.select(F.col("block").alias("of_block"), "place", "pair").join(of_pair.hint("merge"), "pair").select("of_block", "place", "count", "best")
-    return blocks.groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(_report, _RESULT)
+    # a block goes without its dictionary: its counts have the places
+    told = blocks.select("block", F.size("pairs").alias("n_pairs"), "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "size", "place", "occ")
+    return told.groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(_report, _RESULT)

@@ -123,3 +123,22 @@ def test_real_texts(spark, pair):
     rows = df.select("doc_id", "text").collect()
     expected = sorted((r[0], *e) for r, e in zip(rows, brute(pair, [r[1] for r in rows]), strict=True))
     assert sorted(map(tuple, alignment.align(df).collect())) == expected
+
+
+def test_blocks_are_small_and_few_at_once(spark, tmp_path, monkeypatch):
+    """Blocks that are held at once don't grow with a partition."""
+    import pyarrow.parquet as pq
+
+    class Kept(alignment.Scratch):
+        def __init__(self, spark, name):
+            super().__init__(spark, name)
+            self.path = str(tmp_path)
+
+    monkeypatch.setattr(alignment, "Scratch", Kept)
+    df = spark.createDataFrame([(i, f"text number {i} of many") for i in range(60)], "doc_id long, text string").coalesce(1)
+    found = alignment.align(df, block_pairs=1)
+    (file,) = tmp_path.glob("blocks-*/*.parquet")
+    held = pq.ParquetFile(file).metadata
+    assert held.num_rows == 60 and max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= 8
+    assert sorted(r.doc_id for r in found.collect()) == list(range(60))
+    assert alignment.BLOCK_PAIRS <= 1 << 17
